@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..deploy import ship
+
 _LOCAL: list[str] = []
 
 
@@ -42,8 +44,9 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of whole texts to a few MB; only lowers the session's setting."""
+def python_ready(spark: SparkSession, rows: int = 1000) -> None:
+    """Send the package to the workers; keep Arrow batches of whole texts to a few MB (only ever lowers it)."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
