@@ -55,9 +55,28 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.digest(_read(spark, sf_dir, "documents"))
 
 
+def op4_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import katz
+
+    return katz.digest(_read(spark, sf_dir, "documents"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pu_classifier
+
+    return pu_classifier.digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    return toxicity.digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     found = (
-        op1_substring_dedup, op2_mixing, op3_quality_rules, op6_secrets, op7_sharding, op8_decontamination, op9_near_dedup,
+        op1_substring_dedup, op2_mixing, op3_quality_rules, op4_katz_backoff, op5_quality_classifier, op6_secrets, op7_sharding,
+        op8_decontamination, op9_near_dedup, op10_toxicity,
     )
     return {f.__name__: f for f in found}
 
