@@ -4,11 +4,12 @@
    a bin's value is its least hash; an empty bin borrows the value of a full bin chosen uniformly by a hash of
    (empty bin, full bin), so two sets choose alike.  ``BINS / ROWS`` bands of ``ROWS`` values are the buckets.
 2. Documents with equal sets form a class at once (by a 128-bit digest of the set); one stands for the class.
-3. In each bucket, the document of least id is the hub and the others are compared with it: pairs grow with the
-   bucket's size, not its square.  Every candidate is confirmed on full sets.
+3. Each bucket has one hub, and a document is compared with the ``HUBS`` hubs it shares most buckets with: pairs
+   grow with the documents, not with the square of a bucket.  Every candidate is confirmed on full sets.
 4. Hubs can miss a link between two others.  A bucket whose members, after that, lie in one component has
-   nothing left to find.  In the rest, every member outside the bucket's main component is compared with the
-   members of other components, so each pair that shares a bucket is compared or already connected.
+   nothing left to find; the open ones take other hubs for ``ROUNDS`` rounds.  In what is still open, every
+   member outside the bucket's main component is compared with the members of other components, so in the end
+   each pair that shares a bucket is compared or already connected.
 5. Components: each vertex moves to its least neighbour and edges are contracted, until none is left.
 
 Defined results: null or empty texts have no shingles and stay alone; texts of fewer than 5 words have the whole
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vecwords as v
@@ -32,6 +33,8 @@ SHINGLE = 5
 PERCENT = 85
 BINS = 256
 ROWS = 8
+HUBS = 2
+ROUNDS = 3
 _U = np.uint64
 
 
@@ -157,6 +160,42 @@ def _near_size(a: str, b: str):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
+def _ordered(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _stars(members: DataFrame, step: int) -> DataFrame:
+    """Pairs (a, b): each member with the hubs of other components that it shares most buckets with."""
+    order = F.col("doc_id") if step == 0 else F.xxhash64(F.lit(step), "doc_id")
+    hubs = members.groupBy("key").agg(
+        F.min_by("doc_id", order).alias("hub"), F.min_by("n", order).alias("hub_n"), F.min_by("comp", order).alias("hub_comp"), F.count("*").alias("m")
+    ).where("m > 1").drop("m")
+    met = members.join(hubs, "key").where((F.col("comp") != F.col("hub_comp")) & _near_size("n", "hub_n"))
+    votes = met.groupBy("doc_id", "hub").agg(F.count("*").alias("votes"))
+    best = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("votes"), "hub"))
+    return votes.withColumn("_k", best).where(F.col("_k") <= HUBS).select(*_ordered("doc_id", "hub")).distinct()
+
+
+def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one component, with their components."""
+    placed = members.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("comp", "doc_id").alias("comp"))
+    placed = materialise(placed, "placed")
+    split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    return placed.join(split, "key", "left_semi")
+
+
+def _rest(members: DataFrame) -> DataFrame:
+    """All pairs that share a bucket over components: members outside the main component with all others."""
+    counted = members.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    main = counted.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
+    outside = materialise(
+        members.join(main, "key").where("comp <> main").select("key", F.col("doc_id").alias("other"), F.col("n").alias("other_n"), F.col("comp").alias("other_comp")),
+        "outside",
+    )
+    met = outside.join(members, "key").where((F.col("other_comp") != F.col("comp")) & _near_size("other_n", "n"))
+    return met.select(*_ordered("other", "doc_id")).distinct()
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
@@ -178,34 +217,22 @@ def classes(docs: DataFrame) -> DataFrame:
         .select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key")).distinct(),
         "buckets",
     )
-    shared = buckets.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("m")).where("m > 1").drop("m")
-    stars = materialise(
-        buckets.join(shared, "key").where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "n").distinct(),
-        "stars",
-    )
-    sizes = known.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na")).distinct()
-    pairs = materialise(stars.join(sizes, "a").where(_near_size("na", "n")).select("a", "b").distinct(), "pairs")
-    links = materialise(_confirmed(texts, pairs), "links")
-    comps = components(links)
-
-    # buckets that still hold two components: compare who is outside the main one
-    placed = materialise(
-        buckets.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("comp", "doc_id").alias("comp")),
-        "placed",
-    )
-    split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    members = materialise(placed.join(split, "key", "left_semi"), "open")
-    counted = members.groupBy("key", "comp").agg(F.count("*").alias("m"))
-    main = counted.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
-    outside = materialise(members.join(main, "key").where("comp <> main").select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), "outside")
-    more = (
-        outside.join(members, "key").where((F.col("ca") != F.col("comp")) & _near_size("na", "n"))
-        .select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
-    again = materialise(_confirmed(texts, materialise(more, "pairs")), "links")
-    if not again.isEmpty():
-        comps = components(links.union(again))
+    alone = buckets.withColumn("comp", F.col("doc_id"))
+    links = compared = materialise(alone.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).where("false"), "links")
+    comps = alone.select(F.col("doc_id").alias("id"), "comp").where("false")
+    open_members = alone
+    for step in range(ROUNDS + 1):
+        pairs = _stars(open_members, step) if step < ROUNDS else _rest(open_members)
+        pairs = materialise(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
+        compared = compared.union(pairs)
+        found = materialise(_confirmed(texts, pairs), "links")
+        if not found.isEmpty():
+            links = links.union(found)
+            comps = components(links)
+        if step < ROUNDS:
+            open_members = materialise(_open(open_members.drop("comp"), comps), "open")
+            if open_members.isEmpty():
+                break
     return (
         member.join(comps, member["rep"] == comps["id"], "left")
         .select("doc_id", "n_shingles", F.coalesce("comp", "rep", "doc_id").alias("component_id"))
