@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..deploy import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
@@ -16,7 +18,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under its function's name, with its SQL if there is one."""
 
     def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        _QUERIES[f.__name__] = run
         if sql:
             _SQL[f.__name__] = sql
         return f
@@ -25,7 +31,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    pass
+    from . import q_core, q_more  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
