@@ -49,7 +49,7 @@ def branch_path(rows: DataFrame, leaves: DataFrame, max_depth: int = 10_000) ->
 
 def fragment_id(conv: Column, start: Column, end: Column) -> Column:
     zero = F.lit(b"\0")
-    return F.sha2(F.concat(conv.cast("binary"), zero, start.cast("binary"), zero, end.cast("binary")), 256)
+    return F.sha2(F.concat(conv.cast("binary"), zero, start.cast("binary"), zero, end.cast("binary"), zero), 256)
 
 
 def fragments(rows: DataFrame, size: int = 8, overlap: int = 2, close_tail: bool = True) -> DataFrame:

@@ -122,7 +122,7 @@ def activity_positions(spark, sf_dir):
     return A.activity_positions(_turns(spark, sf_dir), ["turn"]).select("conv_id", "turn", "activity_position")
 
 
-@query(f"with {TURNS_SQL}, w as (select conv_id, n, unnest(list_distinct(list_concat(case when n >= 8 then range(0, n - 7, 6) else []::bigint[] end, [greatest(n - 8, 0)]))) as a from (select distinct conv_id, n from turns)) select w.conv_id, s.node_id as start_node, e.node_id as end_node, sha256(w.conv_id || chr(0) || s.node_id || chr(0) || e.node_id) as fragment_id from w join turns s on s.conv_id = w.conv_id and s.i = w.a join turns e on e.conv_id = w.conv_id and e.i = least(w.a + 8, w.n) - 1")
+@query(f"with {TURNS_SQL}, w as (select conv_id, n, unnest(list_distinct(list_concat(case when n >= 8 then range(0, n - 7, 6) else []::bigint[] end, [greatest(n - 8, 0)]))) as a from (select distinct conv_id, n from turns)) select w.conv_id, s.node_id as start_node, e.node_id as end_node, sha256(w.conv_id || chr(0) || s.node_id || chr(0) || e.node_id || chr(0)) as fragment_id from w join turns s on s.conv_id = w.conv_id and s.i = w.a join turns e on e.conv_id = w.conv_id and e.i = least(w.a + 8, w.n) - 1")
 def fragment_windows(spark, sf_dir):
     return A.fragments(_turns(spark, sf_dir))
 
