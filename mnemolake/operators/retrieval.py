@@ -109,9 +109,9 @@ def community_centroids(vectors: DataFrame, community: str, key: str, vector: st
 
 def route(centroids: DataFrame, queries: DataFrame, community: str, top: int = 4) -> DataFrame:
     """The communities whose best sub-centroid is nearest to each query."""
-    scored = centroids.join(F.broadcast(queries)).select("query_id", community, V.cosine(F.col("query"), F.col("centroid")).alias("c"))
-    best = scored.groupBy("query_id", community).agg(F.max("c").alias("c"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("c"), community))
+    scored = centroids.join(F.broadcast(queries)).select("query_id", community, V.cosine(F.col("query"), F.col("centroid")).alias("_cos"))
+    best = scored.groupBy("query_id", community).agg(F.max("_cos").alias("_cos"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_cos"), community))
     return best.withColumn("route_rank", rank).where(F.col("route_rank") <= top)
 
 
