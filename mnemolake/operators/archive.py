@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .versioned import running_total
+
 ROLES = ("user", "assistant")
 
 
@@ -25,7 +27,7 @@ def activity_positions(rows: DataFrame, order: list[str], partition: str = "conv
     Counted in each partition, then shifted by the counts before it, so no task sorts the whole archive."""
     active = F.when(F.col("role").isin(*ROLES), 1).otherwise(0)
     counts = rows.groupBy(partition).agg(F.sum(active).alias("_n"))
-    base = counts.withColumn("_base", F.sum("_n").over(Window.orderBy(partition)) - F.col("_n")).drop("_n")
+    base = running_total(counts, [partition], F.col("_n"), "_through").select(partition, (F.col("_through") - F.col("_n")).alias("_base"))
     own = F.sum(active).over(Window.partitionBy(partition).orderBy(*order))
     placed = rows.withColumn("_own", own).join(base, partition)
     return placed.withColumn("activity_position", F.when(active == 1, F.col("_own") + F.col("_base"))).drop("_own", "_base")

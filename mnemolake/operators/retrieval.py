@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from .versioned import with_versions
 
 MAX_QUERIES = 1000
 
@@ -170,5 +171,5 @@ def best_per_key(scores: DataFrame, key: str, ties: list[str]) -> DataFrame:
 
 def offers(eligible: DataFrame, key: str, batch: int = 10) -> DataFrame:
     """Batches by freshness, then key."""
-    w = Window.orderBy(F.desc("freshness"), key)
-    return eligible.withColumn("batch", F.floor((F.row_number().over(w) - 1) / batch).cast("int"))
+    placed = with_versions(eligible.withColumn("_cold", -F.col("freshness")), ["_cold", key], "_rn")
+    return placed.withColumn("batch", F.floor((F.col("_rn") - 1) / batch).cast("int")).drop("_cold", "_rn")

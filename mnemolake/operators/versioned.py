@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 def latest(revisions: DataFrame, key: Sequence[str], version: str) -> DataFrame:
@@ -81,7 +82,9 @@ def insert_once(stored: DataFrame, batch: DataFrame, key: Sequence[str], version
     )
     top = stored.agg(F.coalesce(F.max(version), F.lit(0)).alias("_top"))
     fresh = judged.where("_values = 1 and _new = 1").select(*key, *value)
-    fresh = fresh.join(F.broadcast(top)).withColumn(version, F.col("_top") + F.row_number().over(Window.orderBy(*key))).drop("_top")
+    number = F.col(key[0]) if isinstance(batch.schema[key[0]].dataType, NumericType) else F.xxhash64(*key)
+    fresh = with_versions(fresh.withColumn("_order", number), ["_order", *key], version).drop("_order")
+    fresh = fresh.join(F.broadcast(top)).withColumn(version, F.col(version) + F.col("_top")).drop("_top")
     return fresh, judged.where("_values > 1").select(*key)
 
 
@@ -137,12 +140,22 @@ def budget_page(rows: DataFrame, order: Sequence[str], offset: int, most: int =
     return numbered.withColumn("_sum", F.sum(size).over(w)).where(F.col("_sum") <= most_bytes).drop("_rn", "_sum")
 
 
-def with_versions(rows: DataFrame, order: Sequence[str], version: str, start: int = 0) -> DataFrame:
-    """Consecutive versions in an order, numbered inside ranges of the first column and shifted by their counts."""
+def running_total(rows: DataFrame, order: Sequence[str], value: Column, into: str, parts: int = 64) -> DataFrame:
+    """Add the sum of ``value`` over the rows up to each one; the order's first column is numeric.
+
+    Ranges of that column, cut at ``parts`` quantiles, are summed each on its own and shifted by the sums before
+    them, so no task orders the whole table.  Ranges are an expression of the row: a recomputed task agrees."""
     first = order[0]
-    parts = rows.repartitionByRange(F.col(first))
-    tagged = parts.withColumn("_part", F.spark_partition_id())
-    sizes = tagged.groupBy("_part").agg(F.count("*").alias("_n"))
-    shift = sizes.withColumn("_shift", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return tagged.withColumn(version, local).join(F.broadcast(shift), "_part").withColumn(version, F.col(version) + F.col("_shift") + start).drop("_part", "_shift")
+    found = rows.agg(F.percentile_approx(first, [k / parts for k in range(1, parts)], 10_000)).first()[0]
+    bounds = sorted({b for b in found or [] if b is not None})
+    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(first))) if bounds else F.lit(0)
+    tagged = rows.withColumns({"_bucket": bucket, "_value": value.cast("long")})
+    sums = tagged.groupBy("_bucket").agg(F.sum("_value").alias("_s"))  # at most `parts` rows
+    shift = sums.select("_bucket", (F.sum("_s").over(Window.orderBy("_bucket")) - F.col("_s")).alias("_shift"))
+    own = F.sum("_value").over(Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return tagged.withColumn(into, own).join(F.broadcast(shift), "_bucket").withColumn(into, F.col(into) + F.col("_shift")).drop("_bucket", "_shift", "_value")
+
+
+def with_versions(rows: DataFrame, order: Sequence[str], version: str, start: int = 0) -> DataFrame:
+    """Consecutive versions in an order whose first column is numeric."""
+    return running_total(rows, order, F.lit(1), version).withColumn(version, F.col(version) + start)
