@@ -34,6 +34,8 @@ PERCENT = 85
 BINS = 256
 ROWS = 8
 HUBS = 2
+#: Ids sent to every task, at most.
+BROADCAST_IDS = 50_000
 ROUNDS = 3
 _U = np.uint64
 
@@ -224,6 +226,8 @@ def classes(docs: DataFrame) -> DataFrame:
     for step in range(ROUNDS + 1):
         pairs = _stars(open_members, step) if step < ROUNDS else _rest(open_members)
         pairs = materialise(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
         compared = compared.union(pairs)
         found = materialise(_confirmed(texts, pairs), "links")
         if not found.isEmpty():
@@ -241,7 +245,11 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def _confirmed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    packed = texts.where("doc_id is not null").mapInArrow(_pack, "doc_id bigint, z binary")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = texts.where("doc_id is not null")
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # later rounds: only the texts that are compared
+        wanted = wanted.join(F.broadcast(ids), "doc_id", "left_semi")
+    packed = wanted.mapInArrow(_pack, "doc_id bigint, z binary")
     left = packed.select(F.col("doc_id").alias("a"), F.col("z").alias("za"))
     right = packed.select(F.col("doc_id").alias("b"), F.col("z").alias("zb"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "za", "zb")
