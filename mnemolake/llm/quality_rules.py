@@ -95,6 +95,8 @@ def with_metrics(docs: DataFrame, text_col: str = "text", into: str = "_q") -> D
         _count_of(t, "[!?]").alias("n_marks"),
         _count_of(t, r"\p{Lu}").alias("n_upper"),
         F.size(F.filter(words, lambda w: w.isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+        # not deterministic, so a filter on the metrics stays above them instead of repeating them for each use
+        F.monotonically_increasing_id().alias("barrier"),
     )
     return df.withColumn(into, metrics).drop(text, words, grams, lines)
 
