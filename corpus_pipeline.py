@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from mnemolake.llm import decontam, mixing, near_dedup, quality_rules, sharding
 from mnemolake.llm.scratch import materialise
 
+#: Percent of shared word shingles from which documents are near copies.
+SIMILARITY = 80
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -20,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return near_dedup.drop_copies(docs).select(*COLUMNS)
+    return near_dedup.drop_copies(docs, SIMILARITY).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 1. One pass hashes each text's set of 5-word shingles.  The hashes are dealt to ``BINS`` bins by their top bits;
    a bin's value is its least hash; an empty bin borrows the value of a full bin chosen uniformly by a hash of
-   (empty bin, full bin), so two sets choose alike.  ``BINS / ROWS`` bands of ``ROWS`` values are the buckets.
+   (empty bin, full bin), so two sets choose alike.  Bands of ``rows_for(percent)`` values are the buckets.
 2. Documents with equal sets form a class at once (by a 128-bit digest of the set); one stands for the class.
 3. Each bucket has one hub, and a document is compared with the ``HUBS`` hubs it shares most buckets with: pairs
    grow with the documents, not with the square of a bucket.  Every candidate is confirmed on full sets.
@@ -30,9 +30,12 @@ from . import vecwords as v
 from .scratch import materialise, python_ready
 
 SHINGLE = 5
-PERCENT = 85
+#: Least similarity of a link, of the stages and of op9.
+PERCENT = 80
+OP9_PERCENT = 85
 BINS = 256
-ROWS = 8
+#: Bands miss a pair at the threshold with this probability at most.
+MISS = 1e-4
 HUBS = 2
 #: Ids sent to every task, at most.
 BROADCAST_IDS = 50_000
@@ -67,11 +70,16 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands(sig: np.ndarray) -> np.ndarray:
-    rows = sig.reshape(-1, ROWS)
-    h = np.arange(len(rows), dtype=_U)
-    for k in range(ROWS):
-        h = v.mix64(h * _U(0x9E3779B97F4A7C15) + rows[:, k])
+def rows_for(percent: int) -> int:
+    """Most values a band whose bands miss a pair at the threshold in ``MISS`` of all cases at most."""
+    return max((r for r in range(1, BINS // 2) if (1 - (percent / 100) ** r) ** (BINS // r) <= MISS), default=1)
+
+
+def bands(sig: np.ndarray, rows: int) -> np.ndarray:
+    values = sig[: len(sig) // rows * rows].reshape(-1, rows)
+    h = np.arange(len(values), dtype=_U)
+    for k in range(rows):
+        h = v.mix64(h * _U(0x9E3779B97F4A7C15) + values[:, k])
     return h
 
 
@@ -81,29 +89,34 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-def linkable(n: int) -> bool:
+def linkable(n: int, percent: int) -> bool:
     """Sets so small that one differing shingle breaks the threshold are linked only to equal ones."""
-    return 100 * (n - 1) >= PERCENT * n
+    return 100 * (n - 1) >= percent * n
 
 
 SKETCH = "doc_id bigint, n_shingles bigint, fp1 bigint, fp2 bigint, bands array<bigint>"
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bands", pa.list_(pa.int64()))])
-    for batch in batches:
-        n, a, b, k = [], [], [], []
-        for _, h in v.word_hashes(batch.column("text"), lower=True):
-            s = shingle_set(h)
-            n.append(len(s))
-            x, y = _digest(s)
-            a.append(x)
-            b.append(y)
-            k.append(v.signed(bands(signature(s))) if linkable(len(s)) and len(s) else None)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(k, pa.list_(pa.int64()))],
-            schema=schema,
-        )
+def _sketch(percent: int):
+    rows = rows_for(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+        for batch in batches:
+            n, a, b, k = [], [], [], []
+            for _, h in v.word_hashes(batch.column("text"), lower=True):
+                s = shingle_set(h)
+                n.append(len(s))
+                x, y = _digest(s)
+                a.append(x)
+                b.append(y)
+                k.append(v.signed(bands(signature(s), rows)) if linkable(len(s), percent) and len(s) else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(k, pa.list_(pa.int64()))],
+                schema=schema,
+            )
+
+    return run
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,29 +129,32 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "z"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
-
-    z = zstandard.ZstdDecompressor()
-    last: tuple[int | None, np.ndarray | None] = (None, None)
-    for batch in batches:
-        hubs, leaves = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-        new = np.flatnonzero(np.concatenate([[True], hubs[1:] != hubs[:-1]])) if len(hubs) else np.zeros(0, int)
-        zs = batch.column("za")
-        hub_texts = pa.array([z.decompress(zs[int(i)].as_py()).decode() for i in new], pa.large_string())
-        sets = {int(hubs[i]): shingle_set(h) for i, (_, h) in zip(new, v.word_hashes(hub_texts, lower=True))}
-        if last[0] is not None:
-            sets.setdefault(last[0], last[1])
-        leaf_texts = pa.array([z.decompress(x.as_py()).decode() for x in batch.column("zb")], pa.large_string())
-        ok = []
-        for i, h in v.word_hashes(leaf_texts, lower=True):
-            s, t = sets[int(hubs[i])], shingle_set(h)
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            ok.append(100 * both >= PERCENT * (len(s) + len(t) - both))
-        if len(hubs):
-            last = (int(hubs[-1]), sets[int(hubs[-1])])
-        keep = np.flatnonzero(np.array(ok, bool))
-        yield pa.RecordBatch.from_arrays([pa.array(hubs[keep], pa.int64()), pa.array(leaves[keep], pa.int64())], names=["a", "b"])
+def _verify(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        z = zstandard.ZstdDecompressor()
+        last: tuple[int | None, np.ndarray | None] = (None, None)
+        for batch in batches:
+            hubs, leaves = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+            new = np.flatnonzero(np.concatenate([[True], hubs[1:] != hubs[:-1]])) if len(hubs) else np.zeros(0, int)
+            zs = batch.column("za")
+            hub_texts = pa.array([z.decompress(zs[int(i)].as_py()).decode() for i in new], pa.large_string())
+            sets = {int(hubs[i]): shingle_set(h) for i, (_, h) in zip(new, v.word_hashes(hub_texts, lower=True))}
+            if last[0] is not None:
+                sets.setdefault(last[0], last[1])
+            leaf_texts = pa.array([z.decompress(x.as_py()).decode() for x in batch.column("zb")], pa.large_string())
+            ok = []
+            for i, h in v.word_hashes(leaf_texts, lower=True):
+                s, t = sets[int(hubs[i])], shingle_set(h)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                ok.append(100 * both >= percent * (len(s) + len(t) - both))
+            if len(hubs):
+                last = (int(hubs[-1]), sets[int(hubs[-1])])
+            keep = np.flatnonzero(np.array(ok, bool))
+            yield pa.RecordBatch.from_arrays([pa.array(hubs[keep], pa.int64()), pa.array(leaves[keep], pa.int64())], names=["a", "b"])
+
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -158,21 +174,21 @@ def components(edges: DataFrame) -> DataFrame:
     return comps
 
 
-def _near_size(a: str, b: str):
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+def _near_size(a: str, b: str, percent: int):
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
 def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _stars(members: DataFrame, step: int) -> DataFrame:
+def _stars(members: DataFrame, step: int, percent: int) -> DataFrame:
     """Pairs (a, b): each member with the hubs of other components that it shares most buckets with."""
     order = F.col("doc_id") if step == 0 else F.xxhash64(F.lit(step), "doc_id")
     hubs = members.groupBy("key").agg(
         F.min_by("doc_id", order).alias("hub"), F.min_by("n", order).alias("hub_n"), F.min_by("comp", order).alias("hub_comp"), F.count("*").alias("m")
     ).where("m > 1").drop("m")
-    met = members.join(hubs, "key").where((F.col("comp") != F.col("hub_comp")) & _near_size("n", "hub_n"))
+    met = members.join(hubs, "key").where((F.col("comp") != F.col("hub_comp")) & _near_size("n", "hub_n", percent))
     votes = met.groupBy("doc_id", "hub").agg(F.count("*").alias("votes"))
     best = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("votes"), "hub"))
     return votes.withColumn("_k", best).where(F.col("_k") <= HUBS).select(*_ordered("doc_id", "hub")).distinct()
@@ -186,7 +202,7 @@ def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
     return placed.join(split, "key", "left_semi")
 
 
-def _rest(members: DataFrame) -> DataFrame:
+def _rest(members: DataFrame, percent: int) -> DataFrame:
     """All pairs that share a bucket over components: members outside the main component with all others."""
     counted = members.groupBy("key", "comp").agg(F.count("*").alias("m"))
     main = counted.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
@@ -194,16 +210,16 @@ def _rest(members: DataFrame) -> DataFrame:
         members.join(main, "key").where("comp <> main").select("key", F.col("doc_id").alias("other"), F.col("n").alias("other_n"), F.col("comp").alias("other_comp")),
         "outside",
     )
-    met = outside.join(members, "key").where((F.col("other_comp") != F.col("comp")) & _near_size("other_n", "n"))
+    met = outside.join(members, "key").where((F.col("other_comp") != F.col("comp")) & _near_size("other_n", "n", percent))
     return met.select(*_ordered("other", "doc_id")).distinct()
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, component_id."""
+def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_shingles, component_id; links have a similarity of ``percent``."""
     spark = docs.sparkSession
     python_ready(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = materialise(texts.mapInArrow(_sketch, SKETCH), "sketch")
+    sketch = materialise(texts.mapInArrow(_sketch(percent), SKETCH), "sketch")
     known = sketch.where("doc_id is not null and n_shingles > 0")
     key = ["n_shingles", "fp1", "fp2"]
     equal = materialise(known.groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
@@ -224,12 +240,12 @@ def classes(docs: DataFrame) -> DataFrame:
     comps = alone.select(F.col("doc_id").alias("id"), "comp").where("false")
     open_members = alone
     for step in range(ROUNDS + 1):
-        pairs = _stars(open_members, step) if step < ROUNDS else _rest(open_members)
+        pairs = _stars(open_members, step, percent) if step < ROUNDS else _rest(open_members, percent)
         pairs = materialise(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
         compared = compared.union(pairs)
-        found = materialise(_confirmed(texts, pairs), "links")
+        found = materialise(_confirmed(texts, pairs, percent), "links")
         if not found.isEmpty():
             links = links.union(found)
             comps = components(links)
@@ -243,7 +259,7 @@ def classes(docs: DataFrame) -> DataFrame:
     )
 
 
-def _confirmed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+def _confirmed(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     wanted = texts.where("doc_id is not null")
@@ -253,16 +269,16 @@ def _confirmed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     left = packed.select(F.col("doc_id").alias("a"), F.col("z").alias("za"))
     right = packed.select(F.col("doc_id").alias("b"), F.col("z").alias("zb"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "za", "zb")
-    return both.mapInArrow(_verify, "a bigint, b bigint").distinct()
+    return both.mapInArrow(_verify(percent), "a bigint, b bigint").distinct()
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    return classes(docs).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+def digest(docs: DataFrame, percent: int = OP9_PERCENT) -> DataFrame:
+    return classes(docs, percent).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
+def drop_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each component, with the columns it came with."""
-    kept = materialise(digest(docs).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_m")), "kept")
+    kept = materialise(digest(docs, percent).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_m")), "kept")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     out = docs.join(kept, "doc_id")
     if not kept.where("_m > 1").isEmpty():  # rows that repeat an id

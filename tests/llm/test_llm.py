@@ -109,6 +109,20 @@ def test_near_dedup(docs, rows, empty):
     assert near_dedup.digest(empty).count() == 0
 
 
+def test_near_duplicate_stage_links_at_80(spark):
+    w = [[f"p{k}w{i}" for i in range(60)] for k in range(6)]
+    rows = [(10 * k, " ".join(x)) for k, x in enumerate(w)]
+    rows += [(10 * k + 1, " ".join([*x[:49], *(f"q{k}" for _ in x[49:])])) for k, x in enumerate(w[:3])]  # under 0.8
+    rows += [(10 * k + 1, " ".join([*x[:51], "y", *x[52:]])) for k, x in enumerate(w) if k >= 3]
+    rows += [(10 * k + 2, " ".join([*x, *(f"z{k}{i}" for i in range(13))])) for k, x in enumerate(w[:3])]  # 56 of 69: 0.81
+    rows = [(i, f"{t}", "en", "s", len(t)) for i, t in rows]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == {0, 1, 10, 11, 20, 21, 30, 40, 50}
+    assert {r["doc_id"] for r in near_dedup.digest(docs).where("kept").collect()} == kept | {2, 12, 22, 31, 41, 51}
+    assert near_dedup.rows_for(85) == 8 and near_dedup.rows_for(80) == 6
+
+
 def test_rows_that_repeat_and_rows_without_id(spark):
     t = " ".join(VOCAB[:40])
     df = spark.createDataFrame([(1, t), (1, t), (2, t), (None, t), (None, None)], "doc_id long, text string").withColumns({"key": F.lit(1), "n": F.lit(2), "z": F.lit(3), "hs": F.lit(0)})
