@@ -90,8 +90,8 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def linkable(n: int, percent: int) -> bool:
-    """Sets so small that one differing shingle breaks the threshold are linked only to equal ones."""
-    return 100 * (n - 1) >= percent * n
+    """Sets so small that even a set of one shingle more breaks the threshold are linked only to equal ones."""
+    return 100 * n >= percent * (n + 1)
 
 
 SKETCH = "doc_id bigint, n_shingles bigint, fp1 bigint, fp2 bigint, bands array<bigint>"

@@ -123,6 +123,18 @@ def test_near_duplicate_stage_links_at_80(spark):
     assert near_dedup.rows_for(85) == 8 and near_dedup.rows_for(80) == 6
 
 
+def test_near_dedup_links_the_smallest_sets(spark):
+    rows = []
+    for k in range(40):
+        w = [f"t{k}w{i}" for i in range(10)]  # 6 shingles, and 7 of the longer texts: 0.857
+        rows += [(10 * k, " ".join(w)), (10 * k + 1, " ".join([*w, "more"])), (10 * k + 2, " ".join(["first", *w]))]
+        rows += [(10 * k + 3, " ".join(f"s{k}w{i}" for i in range(9))), (10 * k + 4, " ".join(f"s{k}w{i}" for i in range(10)))]  # 5 of 6: 0.833
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    got = {i: r["component_id"] for i, r in by_id(near_dedup.digest(docs)).items()}
+    assert got == {i: i if i % 10 > 2 else i // 10 * 10 for i, _ in rows}
+    assert near_dedup.drop_copies(docs).count() == 80
+
+
 def test_rows_that_repeat_and_rows_without_id(spark):
     t = " ".join(VOCAB[:40])
     df = spark.createDataFrame([(1, t), (1, t), (2, t), (None, t), (None, None)], "doc_id long, text string").withColumns({"key": F.lit(1), "n": F.lit(2), "z": F.lit(3), "hs": F.lit(0)})
