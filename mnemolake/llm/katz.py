@@ -4,7 +4,8 @@ Counts never travel as one row a token.  Documents are packed into blocks (one f
 vocabulary as sorted hashes, the tokens as places in it.  A block asks for global counts once for each of its
 distinct words, and once for each of its distinct bigrams, by lists of hashes dealt to buckets; a bucket merges the
 lists of all blocks, counts, and answers each list in its own order.  So a bigram costs about 8 bytes for each
-block that holds it.  Blocks lie in a table bucketed by block, which the answers join without moving it.
+block that holds it, and nothing if its first word occurs in one block only: all of that word's bigrams are there,
+and the block counts them itself.  Blocks lie in a table bucketed by block, which the answers join without moving it.
 
     p(w | u) = d(r) r / c(u)                 if the bigram u w occurs r > 0 times and u is a context
              = alpha(u) p(w)                 otherwise, alpha(u) = (1 - sum of the above) / (1 - sum of their p(w))
@@ -12,9 +13,8 @@ block that holds it.  Blocks lie in a table bucketed by block, which the answers
     p(w)     = d1(c) c / N,  and what these leave for the one unseen word type
 
 so each distribution sums to 1 over the vocabulary and the unseen type.  ``d`` are Katz's Good-Turing discounts up
-to 5 occurrences (absolute discounts where the counts of counts do not allow them).  Contexts are words with a
-share of ``CONTEXT_SHARE`` of the training tokens and two occurrences at least, a cutoff that is the same at every
-size.  A text begins after an end token.
+to 5 occurrences (absolute discounts where the counts of counts do not allow them).  Every word that occurs in the
+training rows is a context.  A text begins after an end token.
 
 Answers are tables partitioned by bucket (a bucket holds one context's bigrams; contexts of over ``HOT_SHARE`` of
 the tokens are split by the second word, and there are at most 1 / HOT_SHARE of those).
@@ -40,7 +40,8 @@ from . import vecwords as v
 from .scratch import materialise, python_ready
 
 END = 0x0123456789ABCDEF
-CONTEXT_SHARE = 5e-6
+#: Least occurrences of a context: every word of the training rows is one.
+CONTEXT = 1
 HOT_SHARE = 1e-3
 SALTS = 64
 K = 5
@@ -131,12 +132,13 @@ def _hist(c: np.ndarray) -> list[int]:
 
 
 def _count_words(table: pa.Table) -> pa.Table:
-    """Global training counts of the words of one bucket, as each block asked for them."""
+    """Twice the global training counts of the words of one bucket as each block asked for them, plus 1 for words of one block."""
     lists = [np.frombuffer(x, _U) for x in table.column("keys").to_pylist()]
     keys, at = np.unique(np.concatenate(lists), return_inverse=True)
     own = np.concatenate([_unzip(x, np.int32) for x in table.column("counts").to_pylist()])
     total = np.bincount(at, weights=own, minlength=len(keys)).astype(np.int64)
-    parts = np.split(total[at], np.cumsum([len(x) for x in lists])[:-1])
+    alone = np.bincount(at, minlength=len(keys)) == 1
+    parts = np.split((2 * total + alone)[at], np.cumsum([len(x) for x in lists])[:-1])
     rows = []
     for k, (block, part) in enumerate(zip(table.column("block").to_pylist(), parts)):
         first = k == 0
@@ -179,20 +181,21 @@ class Words:
             self.scale = (1 - self.unseen) / max((n - lost) / n, 1e-300)
         else:
             self.scale = 1.0
-        self.context = max(2.0, n * CONTEXT_SHARE)
+        self.context = CONTEXT
         self.hot = n * HOT_SHARE
 
     def p(self, c: np.ndarray) -> np.ndarray:
         return np.where(c > 0, self.scale * _discounted(c, self.d) / max(self.n, 1), self.unseen)
 
 
-def _known_counts(block: dict, words: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def _known_counts(block: dict, words: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a block, their global training counts, and whether they occur in this block only."""
     vocab = np.frombuffer(block["vocab"], _U)
     counts = np.zeros(len(vocab), np.int64)
     got = dict(zip(words.column("bucket").to_pylist(), words.column("counts").to_pylist()))
     for b, at in _split(_bucket_of(vocab, buckets), buckets):
         counts[at] = _unzip(got[b], np.int64)
-    return vocab, counts
+    return vocab, counts >> 1, (counts & 1).astype(bool)
 
 
 def _pairs(block: dict, vocab: np.ndarray, counts: np.ndarray, model: Words, buckets: int):
@@ -211,23 +214,34 @@ def _pairs(block: dict, vocab: np.ndarray, counts: np.ndarray, model: Words, buc
     return tokens, lens, before, used, use, u, w, bucket
 
 
+def _block_ids(block: dict) -> list:
+    return [x if y else None for x, y in zip(_unzip(block["ids"], np.int64).tolist(), _unzip(block["known"], bool).tolist())]
+
+
+def _own(block: dict, lens: np.ndarray, used: np.ndarray, use: np.ndarray, n: int) -> np.ndarray:
+    """Training counts of a block's distinct bigrams in the block."""
+    train = np.repeat(~held_out(_block_ids(block)), lens)[used]
+    return np.bincount(use[train], minlength=n).astype(np.int32)
+
+
 def _ask_pairs(model: Words, buckets: int):
-    schema = "bucket int, block bigint, contexts binary, runs binary, totals binary, words binary, own binary, known binary"
+    schema = "bucket int, block bigint, contexts binary, runs binary, totals binary, words binary, own binary, known binary, hist array<bigint>"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         for block in left.to_pylist():
-            vocab, counts = _known_counts(block, right, buckets)
+            vocab, counts, alone = _known_counts(block, right, buckets)
             tokens, lens, before, used, use, u, w, bucket = _pairs(block, vocab, counts, model, buckets)
-            ids = [x if y else None for x, y in zip(_unzip(block["ids"], np.int64).tolist(), _unzip(block["known"], bool).tolist())]
-            train = np.repeat(~held_out(ids), lens)[used]
-            own = np.bincount(use[train], minlength=len(u)).astype(np.int32)
-            for b, at in _split(bucket, buckets):
-                first = np.concatenate([[0], np.flatnonzero(np.diff(u[at])) + 1])
+            own = _own(block, lens, used, use, len(u))
+            hist, ask = _hist(own[alone[u]]), ~alone[u]
+            u, w, own, bucket = u[ask], w[ask], own[ask], bucket[ask]
+            asked = list(_split(bucket, buckets)) or [(0, np.zeros(0, np.int64))]  # a row for the counts of counts
+            for k, (b, at) in enumerate(asked):
+                first = np.flatnonzero(np.concatenate([[True], np.diff(u[at]) != 0]))[: len(at)]
                 runs = np.diff(np.concatenate([first, [len(at)]])).astype(np.int32)
                 c = u[at][first]
-                rows.append((b, block["block"], vocab[c].tobytes(), _zip(runs), _zip(counts[c]), vocab[w[at]].tobytes(), _zip(own[at]), _zip(counts[w[at]])))
-        kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 6
+                rows.append((b, block["block"], vocab[c].tobytes(), _zip(runs), _zip(counts[c]), vocab[w[at]].tobytes(), _zip(own[at]), _zip(counts[w[at]]), hist if k == 0 else None))
+        kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 6 + [pa.list_(pa.int64())]
         names = [x.split()[0] for x in schema.split(", ")]
         columns = list(zip(*rows)) if rows else [[] for _ in names]
         return pa.Table.from_arrays([pa.array(list(x), t) for x, t in zip(columns, kinds)], names=names)
@@ -248,7 +262,7 @@ def _count_pairs(model: Words):
         own = np.concatenate([_unzip(x, np.int32) for x in table.column("own").to_pylist()])
         known = np.concatenate([_unzip(x, np.int64) for x in table.column("known").to_pylist()])
         order = np.lexsort((w, u))
-        new = np.concatenate([[True], (np.diff(u[order]) != 0) | (np.diff(w[order]) != 0)])
+        new = np.concatenate([[True], (u[order][1:] != u[order][:-1]) | (w[order][1:] != w[order][:-1])])[: len(order)]
         group = np.cumsum(new) - 1
         r = np.bincount(group, weights=own[order]).astype(np.int64)
         answer = np.empty(len(w), np.int64)
@@ -260,6 +274,7 @@ def _count_pairs(model: Words):
         np.add.at(stats[:, K + 1], u[head][seen], model.p(known[head][seen]))
         hot = totals[first] >= model.hot
         hot_rows = b"".join([names[hot].tobytes(), np.ascontiguousarray(stats[hot]).tobytes()]) if hot.any() else None
+        hist = np.array([_hist(r), *(x for x in table.column("hist").to_pylist() if x)]).sum(axis=0).tolist()
         cuts = np.cumsum([len(x) for x in lists])[:-1]
         parts = np.split(answer, cuts)
         mine = np.split(which, np.cumsum([len(x) for x in contexts])[:-1])
@@ -267,7 +282,7 @@ def _count_pairs(model: Words):
         for k, (block, part) in enumerate(zip(table.column("block").to_pylist(), parts)):
             rows.append((
                 table.column("bucket")[0].as_py(), block, _zip(part.astype(np.int32)), _zip(stats[mine[k]]), 0, 0,
-                _hist(r) if k == 0 else [0] * (K + 1), hot_rows if k == 0 else None,
+                hist if k == 0 else [0] * (K + 1), hot_rows if k == 0 else None,
             ))
         return _answers(rows)
 
@@ -290,18 +305,23 @@ def _score(model: Words, d: np.ndarray, hot: dict[int, np.ndarray], buckets: int
         got = {b: (c, s) for b, c, s in zip(*(bigrams.column(x).to_pylist() for x in ("bucket", "counts", "stats")))}
         out = []
         for block in left.to_pylist():
-            vocab, counts = _known_counts(block, words, buckets)
+            vocab, counts, alone = _known_counts(block, words, buckets)
             tokens, lens, before, used, use, u, w, bucket = _pairs(block, vocab, counts, model, buckets)
-            r = np.zeros(len(u), np.int32)
+            r = np.where(alone[u], _own(block, lens, used, use, len(u)), np.int32(0))
             taken, shared = np.zeros(len(vocab)), np.zeros(len(vocab))  # by context: mass of its seen words, their p(w)
             weight = np.concatenate([d[1:] * np.arange(1, K + 1), [1.0]])
-            for b, at in _split(bucket, buckets):
+            mine = np.flatnonzero(r)
+            taken += np.bincount(u[mine], weights=_discounted(r[mine], d), minlength=len(vocab))
+            shared += np.bincount(u[mine], weights=model.p(counts[w[mine]]), minlength=len(vocab))
+            ask = np.flatnonzero(~alone[u])
+            for b, at in _split(bucket[ask], buckets):
+                at = ask[at]
                 c, s = got[b]
                 r[at] = _unzip(c, np.int32)
                 mine = u[at][np.concatenate([[True], np.diff(u[at]) != 0])]
                 stats = _unzip(s, np.float64).reshape(-1, K + 2)
                 taken[mine], shared[mine] = stats[:, : K + 1] @ weight, stats[:, K + 1]
-            for h in np.flatnonzero(counts >= model.hot):
+            for h in np.flatnonzero((counts >= model.hot) & ~alone):
                 if int(vocab[h]) in hot:
                     stats = hot[int(vocab[h])]
                     taken[h], shared[h] = stats[: K + 1] @ weight, stats[K + 1]
@@ -317,7 +337,7 @@ def _score(model: Words, d: np.ndarray, hot: dict[int, np.ndarray], buckets: int
             c = counts[tokens]
             base = np.log10((c + 0.5) / (model.n + 0.5 * (model.types + 1)))
             start = np.cumsum(lens) - lens
-            ids = [x if y else None for x, y in zip(_unzip(block["ids"], np.int64).tolist(), _unzip(block["known"], bool).tolist())]
+            ids = _block_ids(block)
             out.append((
                 ids, held_out(ids), lens, np.add.reduceat((c > 0).astype(np.int64), start), np.full(len(ids), model.n),
                 np.add.reduceat(base, start), np.add.reduceat(np.log10(np.maximum(p, 1e-300)), start),

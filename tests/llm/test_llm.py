@@ -207,6 +207,25 @@ def test_katz(docs, rows, empty):
     assert katz.digest(empty).count() == 0
 
 
+def test_katz_contexts_do_not_depend_on_the_size():
+    for n in (10, 10**6, 10**10):
+        assert katz.Words(n, n // 2 + 1, [n // 4, 0, 0, 0, 0, 0]).context <= 1
+
+
+def test_katz_uses_the_bigrams_of_rare_words(spark):
+    rng = random.Random(3)
+    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = [i for i in range(400) if i not in train]
+    rows = [(i, words(rng, 30)) for i in train]
+    rows[0] = (train[0], "w1 rare w2")
+    rows += [(held[0], "w1 rare w2"), (held[1], "w1 rare w3"), (held[2], "w1 never w2")]
+    for parts in (1, 4):  # all words in one block; words of several blocks
+        got = by_id(katz.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)))
+        assert len(got) == len(rows)
+        gain = {i: got[i]["score"] - got[i]["base_score"] for i in held[:3]}
+        assert gain[held[0]] > gain[held[1]] + 1 and gain[held[0]] > gain[held[2]]
+
+
 def test_secrets(spark, empty):
     key = "0123456789abcdef0123456789abcdef"
     random_key = "tR9xQ2mLp7Zk4WvB8sYc"
