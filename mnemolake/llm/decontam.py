@@ -19,17 +19,15 @@ from pyspark.sql import functions as F
 
 from .scratch import materialise
 
-#: Fixed masks: 1 compares the token, 0 ignores it.  Each begins with 1.
-MASKS = ("11101101", "110100110011", "1111011")
+#: Fixed masks: 1 compares the token, 0 ignores it.  Each begins with 11.  However the tokens that PERCENT lets differ lie
+#: in a window (or in an item shorter than one), one of these matches inside it, so no window is lost.
+MASKS = ("111011", "11001011", "11111")
 LEAST_TOKENS = 8
 WINDOW = 20
 PERCENT = 80
-#: Items' seeds begin at tokens of so many characters, or at any token where an item has few of those.
-ANCHOR_LENGTH = 5
-FEW_ANCHORS = 12
-#: Size bounds of what goes to every task: seeds of items, and the words that begin them.
+#: Size bounds of what goes to every task: seeds of items, and the pairs of words that begin them.
 BROADCAST_SEEDS = 1_000_000
-ANCHOR_WORDS = 20_000
+BROADCAST_PAIRS = 100_000
 
 
 def tokens(text: Column) -> Column:
@@ -51,6 +49,10 @@ def _seeds(tok: str, starts: Column) -> Column:
     return F.concat(*[of(k, m) for k, m in enumerate(MASKS)])
 
 
+def _pair(tok: str, i: Column) -> Column:
+    return F.xxhash64(F.get(tok, i), F.get(tok, i + 1))
+
+
 def _places(tok: str) -> Column:
     n = F.size(tok)
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -66,17 +68,16 @@ def _exploded(df: DataFrame, id_col: str, place: str) -> DataFrame:
 def alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Distinct (doc_id, item_id, shift) on which a document and an item share a seed."""
     known = items.select("item_id", tokens(F.col("text")).alias("_tok")).where(F.size("_tok") >= LEAST_TOKENS)
-    anchors = F.filter(_places("_tok"), lambda i: F.length(F.get("_tok", i)) >= ANCHOR_LENGTH)
-    known = known.withColumn("_at", F.when(F.size(anchors) >= FEW_ANCHORS, anchors).otherwise(_places("_tok")))
+    known = known.withColumn("_at", _places("_tok"))
     item_seeds = materialise(_exploded(known, "item_id", "_j").distinct(), "seeds")
     few = item_seeds.count() <= BROADCAST_SEEDS
-    first = known.select(F.explode("_at").alias("_i"), "_tok").select(F.get("_tok", F.col("_i")).alias("w")).distinct()
-    words = [r[0] for r in first.limit(ANCHOR_WORDS + 1).collect()]  # bounded
+    first = known.select(F.explode("_at").alias("_i"), "_tok").select(_pair("_tok", F.col("_i")).alias("h")).distinct()
+    pairs = [r[0] for r in first.limit(BROADCAST_PAIRS + 1).collect()]  # bounded
     read = docs.where("doc_id is not null").select("doc_id", tokens(F.col("text")).alias("_tok"))
-    # A seed can only meet an item's seed if its first token begins one: places are dropped before hashing.
+    # A seed can only meet an item's seed if its first two tokens begin one: places are dropped before seeds are hashed.
     starts = _places("_tok")
-    if words and len(words) <= ANCHOR_WORDS:
-        starts = F.filter(starts, lambda i: F.get("_tok", i).isin(words))
+    if pairs and len(pairs) <= BROADCAST_PAIRS:
+        starts = F.filter(starts, lambda i: _pair("_tok", i).isin(pairs))
     doc_seeds = _exploded(read.withColumn("_at", starts), "doc_id", "_i")
     hits = doc_seeds.join(F.broadcast(item_seeds) if few else item_seeds, "_h")
     return hits.select("doc_id", "item_id", (F.col("_i") - F.col("_j")).alias("shift")).distinct()

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -292,6 +293,31 @@ def test_decontamination(spark, empty):
     assert decontam.digest(empty, bench).count() == 0 and decontam.digest(df, bench.where("false")).count() == 0
 
 
+def test_decontamination_masks_lose_no_window():
+    for n in range(decontam.LEAST_TOKENS, decontam.WINDOW + 1):
+        seeds = {sum(1 << (i + j) for j, c in enumerate(m) if c == "1") for m in decontam.MASKS for i in range(n - len(m) + 1)}
+        for gone in itertools.combinations(range(n), n - -(-decontam.PERCENT * n // 100)):
+            off = sum(1 << k for k in gone)
+            assert any(not s & off for s in seeds), (n, gone)
+
+
+def test_decontamination_of_windows_with_replaced_words(spark):
+    rng = random.Random(6)
+    # short words but for twelve at the end: every window has its seeds
+    items = [(k, " ".join([f"{k}{rng.choice('abc')}{i}"[:4] for i in range(40)] + [f"long{k}{i}" for i in range(12)])) for k in range(5)]
+    items.append((5, " ".join(f"s{i}" for i in range(10))))
+    docs = [(900 + k, words(rng, 60)) for k in range(20)]
+    for n in range(300):
+        w = items[n % 6][1].split()
+        at = rng.randrange(max(1, len(w) - 19))
+        w = w[at : at + 20]
+        for k in rng.sample(range(len(w)), len(w) // 5):
+            w[k] = "replaced"
+        docs.append((n, f"{words(rng, 7)} {' '.join(w)} {words(rng, 7)}"))
+    got = decontam.digest(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r["doc_id"] for r in got.collect()} == set(range(300))
+
+
 def test_raking():
     cells = {("a", "x"): 100.0, ("a", "y"): 50.0, ("b", "x"): 20.0, ("b", "y"): 30.0}
     w = mixing.rake(cells, [{"a": 0.5, "b": 0.5}, {"x": 0.3, "y": 0.7}])
