@@ -429,7 +429,7 @@ def freshness_crossings(spark, sf_dir):
 
 @query("with recursive e as (select user_id as memory_id, event_id as position, case when event_type = 'purchase' then 50 when event_type = 'click' then 25 else 5 end as amount, row_number() over (partition by user_id order by event_id) as k, min(event_id) over (partition by user_id) as admitted from events), f as (select memory_id, k, position, admitted, least(100 + amount, 100) as score from e where k = 1 union all select e.memory_id, e.k, e.position, e.admitted, least(greatest(f.score - (floor((e.position - e.admitted) / 10.0) - floor((f.position - e.admitted) / 10.0)), -100) + e.amount, 100) from f join e on e.memory_id = f.memory_id and e.k = f.k + 1), l as (select memory_id, max(k) as k from e group by 1) select f.memory_id, f.admitted, cast(greatest(f.score - (floor((20000 - f.admitted) / 10.0) - floor((f.position - f.admitted) / 10.0)), -100) as int) as score from f join l using (memory_id, k)")
 def freshness_history(spark, sf_dir):
-    return FR.fold(TB.freshness_events(spark, sf_dir), "memory_id", 20000)
+    return FR.fold(TB.freshness_events(spark, sf_dir), "memory_id", 20000, later=True)
 
 
 @query(f"with recursive {REL}, u as (select source as a, target as b from relations where active and source <> target union select target, source from relations where active and source <> target), r(event_id, origin, node, credit) as (select vec_id, label, vec_id, 50 from embeddings where vec_id % 40 = 0 union select event_id, origin, u.b, credit - (case when e.label = origin then 5 else 10 end) from r join u on u.a = r.node join embeddings e on e.vec_id = u.b where credit - (case when e.label = origin then 5 else 10 end) > 0) select event_id, node, max(credit) as credit from r group by 1, 2")

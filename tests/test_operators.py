@@ -45,6 +45,19 @@ def test_traversal_prefers_its_community():
     assert [n for n, _, _ in G.traverse(edges, {1: 1, 3: 1, 5: 1, 2: 2, 4: 2}, [1], 2, 10)] == [1, 3, 2, 5, 4]
 
 
+def test_freshness_history_folds_the_whole_table(spark, tmp_path):
+    rng = random.Random(4)
+    kinds = ["purchase", "click", "view"]
+    rows = [(i, rng.randrange(8) if i < 20_000 else rng.randrange(12), rng.choice(kinds)) for i in sorted(rng.sample(range(60_000), 400))]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    got = registry.queries()["freshness_history"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    ran = con.execute(registry.oracle_sql()["freshness_history"])
+    names = [d[0] for d in ran.description]
+    assert sorted(tuple(r) for r in got.select(*names).collect()) == sorted(ran.fetchall())
+
+
 def test_fold_equals_a_loop(spark):
     rng = random.Random(3)
     rows = [(k, p, p, rng.choice([-60, 5, 25, 50])) for k in range(5) for p in sorted(rng.sample(range(20_000), 60))]
