@@ -248,7 +248,7 @@ def streaming_freshness(spark, sf_dir):
     e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     amount = F.when(F.col("event_type") == "purchase", 50).when(F.col("event_type") == "click", 25).otherwise(5)
     events = e.select(F.col("user_id").alias("memory_id"), F.col("event_id").alias("position"), "event_id", amount.alias("amount"))
-    rows = feeds.run_to_memory(feeds.freshness_state(events), "streaming_freshness", "update")
+    rows = feeds.run_to_table(feeds.freshness_state(events), "streaming_freshness", "update")
     return VR.latest(rows, ["memory_id"], "position").select("memory_id", "score", "position")
 
 
@@ -258,7 +258,7 @@ def streaming_deduplicated(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select("event_id", "event_type", "value")
     once = feeds.deduplicated(e.unionByName(e), ["event_id"])
-    return feeds.run_to_memory(once, "streaming_deduplicated").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return feeds.run_to_table(once, "streaming_deduplicated").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 # context

@@ -5,6 +5,8 @@ The feed's watermark is a sequence number, so contiguity is checked in ``foreach
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -70,8 +72,16 @@ def deduplicated(events: DataFrame, key: list[str]) -> DataFrame:
     return events.dropDuplicates(key)
 
 
-def run_to_memory(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is available and return its rows."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination(300)
-    return df.sparkSession.table(name)
+def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Run a stream over all that is available, however long it takes, and return its rows from the shared folder."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='mnemolake-')}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    spark.createDataFrame([], df.schema).write.parquet(f"{path}/rows/epoch=-1")
+
+    def batch(rows: DataFrame, epoch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")  # a replayed batch writes the same folder
+
+    q = df.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{path}/rows").select(*df.columns)

@@ -58,6 +58,18 @@ def test_freshness_history_folds_the_whole_table(spark, tmp_path):
     assert sorted(tuple(r) for r in got.select(*names).collect()) == sorted(ran.fetchall())
 
 
+@pytest.mark.parametrize("name", ["streaming_deduplicated", "streaming_freshness"])
+def test_streams_are_waited_for(spark, tmp_path, monkeypatch, name):
+    from pyspark.sql.streaming import StreamingQuery
+
+    whole = StreamingQuery.awaitTermination
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda q, timeout=None: whole(q) if timeout is None else whole(q, 0.01))
+    rows = [(i, i % 7, "click", 1.0) for i in range(300)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = registry.queries()[name](spark, str(tmp_path)).collect()
+    assert [r["n"] for r in got] == [300] if name == "streaming_deduplicated" else len(got) == 7
+
+
 def test_fold_equals_a_loop(spark):
     rng = random.Random(3)
     rows = [(k, p, p, rng.choice([-60, 5, 25, 50])) for k in range(5) for p in sorted(rng.sample(range(20_000), 60))]
