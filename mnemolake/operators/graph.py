@@ -118,16 +118,15 @@ def traverse(edges: list[tuple[int, int]], community: dict[int, int], seeds: lis
     return out
 
 
-def closure(seeds: DataFrame, dependencies: DataFrame, most: int = 64) -> DataFrame:
+def closure(seeds: DataFrame, dependencies: DataFrame) -> DataFrame:
     """Fixpoint of seeds over (key, needs)."""
     reached = frontier = seeds.select("key").distinct()
-    for _ in range(most):
+    while True:
         step = frontier.join(dependencies, "key").select(F.col("needs").alias("key")).distinct()
         frontier = _cut(step.join(reached, "key", "left_anti"))
         if frontier.isEmpty():
-            break
+            return reached
         reached = _cut(reached.unionByName(frontier))
-    return reached
 
 
 def community_errors(members: DataFrame, nodes: DataFrame) -> DataFrame:

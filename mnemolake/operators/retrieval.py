@@ -25,11 +25,13 @@ def lexical_search(docs: DataFrame, query: Sequence[str], text: Column, key: str
 def vector_search(vectors: DataFrame, queries: DataFrame, key: str, vector: str, limit: int = 10) -> DataFrame:
     """Exact cosine of a stated set of queries (``query_id``, ``query``) against all vectors; positive, top ``limit`` each.
 
-    The queries are bounded (checked), so they go to the rows; ranking keeps ``limit`` rows a query and task before
+    Up to ``MAX_QUERIES`` queries go to the rows; more meet them in blocks of about so many.  Ranking keeps ``limit`` rows a query and task before
     the shuffle (WindowGroupLimit)."""
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; run them in blocks")
-    pairs = vectors.join(F.broadcast(queries))
+    n = queries.count()
+    if n <= MAX_QUERIES:
+        pairs = vectors.join(F.broadcast(queries))
+    else:
+        pairs = vectors.hint("shuffle_replicate_nl").crossJoin(queries.repartition(-(-n // MAX_QUERIES)))
     scored = pairs.select("query_id", key, V.cosine(F.col("query"), F.col(vector)).alias("score")).where("score > 0")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
     return scored.withColumn("rank", best).where(F.col("rank") <= limit)

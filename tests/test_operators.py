@@ -70,6 +70,21 @@ def test_streams_are_waited_for(spark, tmp_path, monkeypatch, name):
     assert [r["n"] for r in got] == [300] if name == "streaming_deduplicated" else len(got) == 7
 
 
+def test_closure_reaches_the_end_of_a_chain(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(70)], "key long, needs long")
+    assert G.closure(chain.where("key = 0"), chain).count() == 71
+
+
+def test_vector_search_of_many_queries(spark):
+    rows = [(i, [float(i % 7 + 1), float(i % 11 + 1)]) for i in range(2300)]
+    vectors = spark.createDataFrame(rows[:20], "vec_id long, embedding array<float>")
+    queries = spark.createDataFrame(rows, "query_id long, query array<float>")
+    got = R.vector_search(vectors, queries, "vec_id", "embedding", 3)
+    few = R.vector_search(vectors, queries.where("query_id < 1000"), "vec_id", "embedding", 3)
+    assert got.count() == 3 * 2300
+    assert sorted(got.where("query_id < 1000").collect()) == sorted(few.collect())
+
+
 def test_fold_equals_a_loop(spark):
     rng = random.Random(3)
     rows = [(k, p, p, rng.choice([-60, 5, 25, 50])) for k in range(5) for p in sorted(rng.sample(range(20_000), 60))]
