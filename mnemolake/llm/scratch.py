@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..deploy import ship
 
@@ -34,6 +35,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """The table as one struct column ``row``: no name of the input can meet a working column's."""
+    return df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row"))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files behind a table that ``materialise`` made and nothing reads any more."""
     spark = df.sparkSession
