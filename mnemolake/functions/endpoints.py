@@ -59,3 +59,13 @@ def repaired(base: Column, patch: Column) -> Column:
 def probes_compatible(cosines: Column, same_shape: Column) -> Column:
     """Whether the least cosine of the probe vectors lets two profiles share an index."""
     return same_shape & (F.array_min(cosines) + 1e-12 >= 0.99)
+
+
+def decision(decide: Callable[[list, list], list], state: Column, questions: Column, keys: Sequence[str]) -> Column:
+    """A decision endpoint: states and questions as JSON, a batch at a time; an answer without exactly these keys is null."""
+    def run(states: pd.Series, asked: pd.Series) -> pd.Series:
+        return pd.Series(decide(states.tolist(), asked.tolist()), index=states.index)
+
+    run.__annotations__ = {"states": pd.Series, "asked": pd.Series, "return": pd.Series}
+    answer = F.pandas_udf(run, "string")(state, questions)
+    return F.when(has_exactly(answer, keys), answer)

@@ -12,6 +12,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta, timezone
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -40,6 +41,7 @@ NUMBER = r"(?:\d{1,4}|(?:" + "|".join(TENS) + r")(?:[- ](?:" + "|".join(UNITS[:9
 _M = "|".join(MONTHS)
 _S = "|".join(sorted(SHORT, key=len, reverse=True))
 _W = "|".join(WEEKDAYS)
+_LONG = re.compile(r"[a-z]{5,}")
 VOCABULARY = [*MONTHS, *WEEKDAYS, "today", "yesterday", "tomorrow", "weekly", "monthly", "yearly", "quarter"]
 
 
@@ -141,7 +143,9 @@ ANCHORS: list[tuple[str, Absolute, bool]] = [
     (rf"in ({NUMBER}) (day|week|month|year)s?", lambda m, r: span("day", _move(r, m[2], number(m[1]))), True),
     (rf"({NUMBER}) (day|week|month|year)s? ago", lambda m, r: span("day", _move(r, m[2], -number(m[1]))), True),
 ]
-_ANCHORS = [(re.compile(rf"(?<![\w-])(?:{p})(?![\w-])"), h, need) for p, h, need in ANCHORS]
+#: Whether a pattern cannot match without a digit: all but a few, and those that take numbers in words.
+_ANCHORS = [(re.compile(rf"(?<![\w-])(?:{p})(?![\w-])"), h, need, not need or "this|next|last) year" in p) for p, h, need in ANCHORS]
+_DIGIT = re.compile(r"\d")
 _CUE = re.compile(r"(?:\b(from|since|starting|after|until|ending|before|and|to)\s+)$")
 _TIME = re.compile(r"\b(1[0-2]|0?[1-9]):([0-5]\d)(?::([0-5]\d))? ?([ap])\.?m\b")
 _DURATION = re.compile(rf"\b(for|lasting|took|takes|within|about|around|approximately|roughly)\s+(?:(about|around|approximately|roughly)\s+)?({NUMBER})(?:\s*(?:to|-|–)\s*({NUMBER}))? ({UNIT_WORDS})s?\b")
@@ -154,16 +158,17 @@ _AMBIGUOUS = re.compile(r"\b(biweekly|bimonthly)\b")
 _UNRESOLVED = re.compile(rf"\b(soon|recently|lately|today|yesterday|tomorrow|(?:this|next|last) (?:week|month|quarter|year|{_W}|{_M}))\b")
 
 
+@lru_cache(maxsize=1 << 16)
+def _calendar_word(w: str) -> str:
+    if w in VOCABULARY:
+        return w
+    near = [v for v in VOCABULARY if abs(len(v) - len(w)) <= 1 and osa_distance(w, v) == 1]
+    return near[0] if len(near) == 1 else w
+
+
 def corrected(text: str) -> str:
     """Words of five letters or more, one edit from exactly one calendar word, replaced by it."""
-    def fix(m: re.Match) -> str:
-        w = m[0]
-        if w in VOCABULARY:
-            return w
-        near = [v for v in VOCABULARY if abs(len(v) - len(w)) <= 1 and osa_distance(w, v) == 1]
-        return near[0] if len(near) == 1 else w
-
-    return re.sub(r"[a-z]{5,}", fix, text)
+    return _LONG.sub(lambda m: _calendar_word(m[0]), text)
 
 
 def _boundary(cue: str, kind: str, a: int, b: int) -> tuple[str, int | None, int | None]:
@@ -185,12 +190,12 @@ def parse(text: str | None, ref_ns: int | None = None) -> Found:
         return out
     low = corrected(text.lower())
     ref = (datetime(1970, 1, 1) + timedelta(microseconds=ref_ns // 1000)).date() if ref_ns is not None else None
-    claimed = [False] * len(low)
+    claimed = bytearray(len(low))
 
     def free(m: re.Match) -> bool:
         if any(claimed[m.start() : m.end()]):
             return False
-        claimed[m.start() : m.end()] = [True] * (m.end() - m.start())
+        claimed[m.start() : m.end()] = b"\1" * (m.end() - m.start())
         return True
 
     for pattern, keep in ((_MONTHLY, lambda m: ("month", 1, int(m[1]))), (_YEARLY, lambda m: ("year", 1, _month(m[1]) * 100 + int(m[2])))):
@@ -211,8 +216,9 @@ def parse(text: str | None, ref_ns: int | None = None) -> Found:
         else:
             out.recurrences.append((unit, n, 0) if two else (unit, 0, 2))
     spans: list[tuple[int, int, str, int, int]] = []
-    for pattern, handle, need in _ANCHORS:
-        if need and ref is None:
+    digit = _DIGIT.search(low) is not None
+    for pattern, handle, need, numeric in _ANCHORS:
+        if (need and ref is None) or (numeric and not digit):
             continue
         for m in pattern.finditer(low):
             try:
@@ -272,6 +278,101 @@ def analyse(text: Column, ref: Column) -> Column:
     return F.pandas_udf(_parse_series, RESULT)(text, ref)
 
 
+#: Kinds of temporal indications, in order.
+KINDS = ("explicit", "calendar", "relative", "boundary", "recurrence", "duration")
+_EXACT = {
+    **dict.fromkeys([*MONTHS, *WEEKDAYS, *[k for k in SHORT if k not in ("mar", "dec", "sept")], "spring", "summer", "autumn", "winter", "quarter"], "calendar"),
+    **dict.fromkeys(["today", "yesterday", "tomorrow", "ago", "recently", "lately", "soon"], "relative"),
+    **dict.fromkeys([*CADENCES, *AMBIGUOUS], "recurrence"),
+}
+_EDGE = {"since", "until", "before", "after", "from", "starting", "ending"}
+_SPAN_UNITS = {f"{u}{s}" for u in ("minute", "hour", "day", "week", "month", "quarter", "year") for s in ("", "s")}
+_NEAR = {"this", "next", "last"}
+_CUES = {"in", "during", "since", "by", "of", "before", "after", "until", "from"} | set(MONTHS)
+_TOKEN = re.compile(r"[A-Za-z]+|\d+")
+_WHOLE = re.compile(r"\d{4}-\d\d-\d\d(?:T\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:\d\d))?|\b[Qq][1-4][ -]\d{4}\b")
+
+
+def indicated(text: str | None) -> list[tuple[str, int, int, str | None]]:
+    """(kind, start byte, end byte, corrected word) of what in a text points to time, in order.
+
+    Boundary words and "every" need a temporal neighbour, units a number before them or "ago" or "later" after them, and
+    a bare year a cue before it."""
+    if not text:
+        return []
+    at = lambda i: len(text[:i].encode())
+    out = [("explicit", m.start(), m.end(), None) for m in _WHOLE.finditer(text)]
+    tokens = [m for m in _TOKEN.finditer(text) if not any(a <= m.start() < b for _, a, b, _ in out)]
+    low = [_calendar_word(t) if len(t) >= 5 else t for t in (m[0].lower() for m in tokens)]
+    numeric = lambda w: w.isdigit() or w in UNITS or w in TENS
+    timely = lambda k: 0 <= k < len(low) and (low[k] in _EXACT or low[k] in _SPAN_UNITS or low[k] in _NEAR or bool(re.fullmatch(r"[12]\d{3}", low[k])))
+    whole = {a for _, a, _, _ in out}
+    for k, (m, w) in enumerate(zip(tokens, low)):
+        after = low[k + 1] if k + 1 < len(low) else ""
+        before = low[k - 1] if k else ""
+        kind = None
+        if w in _EXACT:
+            kind = _EXACT[w] if w != "may" or m[0][0].isupper() else None
+        elif w in _NEAR and (after in _SPAN_UNITS or after in _EXACT):
+            kind = "relative"
+        elif w in _EDGE and (timely(k + 1) or any(0 <= a - m.end() <= 1 for a in whole)):
+            kind = "boundary"
+        elif w == "every" and (timely(k + 1) or timely(k + 2)):
+            kind = "recurrence"
+        elif w in _SPAN_UNITS and (numeric(before) or after in ("ago", "later")):
+            kind = "duration"
+        elif re.fullmatch(r"(?:19|20)\d\d", w) and before in _CUES:
+            kind = "calendar"
+        if kind:
+            out.append((kind, m.start(), m.end(), w if w != m[0].lower() else None))
+    return [(kind, at(a), at(b), w) for kind, a, b, w in sorted(out, key=lambda x: (x[1], x[2], KINDS.index(x[0])))]
+
+
+INDICATIONS = "array<struct<kind:string,start:int,end:int,normal:string>>"
+
+
+def _indicated_series(text: pd.Series) -> pd.Series:
+    return pd.Series([[dict(zip(("kind", "start", "end", "normal"), x)) for x in indicated(t)] for t in text])
+
+
+def indications(text: Column) -> Column:
+    """What in a text points to time: kinds and byte spans."""
+    return F.pandas_udf(_indicated_series, INDICATIONS)(text)
+
+
+def verifies(expression: Column, kind: Column, ref: Column) -> Column:
+    """Whether an inferred expression, read on its own, resolves fully and as the kind it claims to be."""
+    read = analyse(expression, ref)
+    some = lambda c: F.size(read[c]) > 0
+    edge = F.exists(read["anchors"], lambda a: a["start"].isNull() | a["end"].isNull() | (a["kind"] == "range"))
+    fits = (
+        F.when(kind.isin("explicit", "calendar"), some("anchors")).when(kind == "relative", some("anchors")).when(kind == "boundary", edge)
+        .when(kind == "recurrence", some("recurrences")).when(kind == "duration", some("durations"))
+    )
+    return (read["status"] == "resolved") & F.coalesce(fits, F.lit(False))
+
+
+def merged(base: DataFrame, extra: DataFrame, meaning: list[str]) -> DataFrame:
+    """Two analyses as rows (id, the columns of the meaning, evidence): what means the same counts once, the base's evidence first."""
+    both = base.withColumn("_from", F.lit(0)).unionByName(extra.withColumn("_from", F.lit(1)))
+    return both.groupBy("id", *meaning).agg(F.min_by("evidence", F.struct("_from", "evidence")).alias("evidence"))
+
+
+def with_inferences(texts: DataFrame, inferences: DataFrame) -> DataFrame:
+    """The verdict of each inference (id, kind, start, end, evidence, expression, ref) about a text (id, text).
+
+    It must quote its span, name an indication that the text has, be the only one for it, and verify."""
+    found = texts.select("id", F.explode(indications(F.col("text"))).alias("i")).select("id", "i.kind", "i.start", "i.end", F.lit(True).alias("_seen")).distinct()
+    joined = inferences.join(texts, "id", "left").join(found, ["id", "kind", "start", "end"], "left")
+    quote = F.substring(F.col("text").cast("binary"), F.col("start") + 1, F.col("end") - F.col("start")) == F.col("evidence").cast("binary")
+    many = F.count("*").over(Window.partitionBy("id", "kind", "start", "end"))
+    verdict = (
+        F.when(~F.coalesce(quote, F.lit(False)), "evidence differs").when(F.col("_seen").isNull(), "no such indication").when(many > 1, "repeated")
+        .when(~verifies(F.col("expression"), F.col("kind"), F.col("ref")), "not resolvable").otherwise("accepted")
+    )
+    return joined.select("id", "kind", "start", "end", verdict.alias("verdict"))
+
+
 def iso_days(text: Column) -> Column:
     """The ISO dates of a text by expressions alone: an array of valid dates in order."""
     found = F.regexp_extract_all(text, F.lit(r"\b(\d{4}-\d\d-\d\d)\b"), F.lit(1))

@@ -63,12 +63,15 @@ def lexical_score(text: Column, terms: Sequence[str]) -> Column:
     terms = list(dict.fromkeys(terms))
     if not terms:
         return F.lit(0.0)
-    lower, own = F.lower(F.coalesce(text, F.lit(""))), words(text)
-    counts = [F.when(F.array_contains(own, t), count_within(lower, F.lit(t))).otherwise(0) for t in terms]
-    matched = sum((F.when(c > 0, 1).otherwise(0) for c in counts), F.lit(0))
-    often = sum((F.least(c, F.lit(4)) for c in counts), F.lit(0))
     n = len(terms)
-    return F.lit(0.85) * matched / n + F.lit(0.15) * F.least(often / F.lit(2.0 * n), F.lit(1.0))
+    # text and tokens are bound once a row, whatever the number of terms, and so are the counts
+    bound = F.array(F.struct(F.lower(F.coalesce(text, F.lit(""))).alias("low"), words(text).alias("own")))
+    capped = lambda x, t: F.when(F.array_contains(x["own"], t), F.least(count_within(x["low"], t), F.lit(4))).otherwise(0)
+    counts = F.transform(bound, lambda x: F.transform(F.array(*[F.lit(t) for t in terms]), lambda t: capped(x, t)))
+    matched = lambda c: F.size(F.filter(c, lambda x: x > 0))
+    often = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
+    score = lambda c: F.lit(0.85) * matched(c) / n + F.lit(0.15) * F.least(often(c) / F.lit(2.0 * n), F.lit(1.0))
+    return F.get(F.transform(counts, score), F.lit(0))
 
 
 def long_tokens(text: Column) -> Column:
@@ -105,6 +108,18 @@ def ordered_identity_tokens(x: Column) -> Column:
     return F.array_remove(F.split(F.lower(split), ALNUM_GAP), "")
 
 
+def single_token(x: Column) -> Column:
+    """The one token of a surface that has no other; else null."""
+    t = ordered_identity_tokens(x)
+    return F.when(F.size(t) == 1, F.get(t, F.lit(0)))
+
+
+def discovery_tokens(text: Column, first: int = 512, kept: int = 256) -> Column:
+    """Distinct lower-case tokens among the first ``kept`` of those of more than one byte; only ``first`` are looked at."""
+    long = F.filter(F.array_remove(F.split(F.coalesce(text, F.lit("")), ALNUM_GAP), ""), lambda t: F.octet_length(t) > 1)
+    return F.array_distinct(F.transform(F.slice(F.slice(long, 1, first), 1, kept), F.lower))
+
+
 def identity_tokens(x: Column) -> Column:
     return F.filter(lexical_terms(x), lambda t: (F.octet_length(t) >= 4) & ~t.isin(GENERIC_TOKENS))
 

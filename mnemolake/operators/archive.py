@@ -126,3 +126,29 @@ def transcript_page(rows: DataFrame, conv_id: int, offset: int, limit: int) -> D
     part = rows.where(F.col("conv_id") == conv_id).select("conv_id", "turn", "role", "node_id")
     rn = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
     return part.withColumn("_rn", rn).where((F.col("_rn") > offset) & (F.col("_rn") <= offset + limit)).drop("_rn")
+
+
+def advance_branches(rows: DataFrame, heads: DataFrame, proposals: DataFrame) -> DataFrame:
+    """The verdict of each new leaf (conv_id, branch, leaf): a branch moves only to a leaf that descends from its own."""
+    old = heads.select("conv_id", "branch", F.col("leaf").alias("_old"))
+    path = branch_path(rows, proposals.select("leaf").distinct()).select("leaf", F.col("node_id").alias("_old"), F.lit(True).alias("_above"))
+    node = rows.select(F.col("node_id").alias("leaf"), F.lit(True).alias("_known"))
+    joined = proposals.join(node, "leaf", "left").join(old, ["conv_id", "branch"], "left").join(path, ["leaf", "_old"], "left")
+    verdict = (
+        F.when(F.col("_known").isNull(), "unknown node").when(F.col("_old").isNull(), "created").when(F.col("_old") == F.col("leaf"), "unchanged")
+        .when(F.col("_above"), "advanced").otherwise("not a descendant")
+    )
+    return joined.select("conv_id", "branch", "leaf", verdict.alias("verdict"))
+
+
+def read_turn(rows: DataFrame, conv_id: int, turn: int, max_bytes: int = 128 * 1024) -> DataFrame:
+    """One turn, or an error if its text exceeds the bytes allowed: never cut silently."""
+    text = F.when(F.octet_length(F.coalesce("text", F.lit(""))) <= max_bytes, F.col("text")).otherwise(F.raise_error(F.lit("the turn exceeds the bound")))
+    return rows.where((F.col("conv_id") == conv_id) & (F.col("turn") == turn)).withColumn("text", text)
+
+
+def ancestor_slice(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Turns on the way from ``start`` down to ``end`` for each range (range_id, start, end); none if start is no ancestor."""
+    path = branch_path(rows, ranges.select(F.col("end").alias("leaf")).distinct())
+    begun = ranges.join(path.select(F.col("leaf").alias("end"), F.col("node_id").alias("start"), F.col("depth").alias("_from")), ["end", "start"])
+    return begun.join(path.withColumnRenamed("leaf", "end"), "end").where(F.col("depth") >= F.col("_from")).select("range_id", "node_id", (F.col("depth") - F.col("_from")).alias("place"))

@@ -156,8 +156,11 @@ def propagate(edges: DataFrame, roots: DataFrame, communities: DataFrame, exclud
 
 
 def accept_use(uses: DataFrame, amount: int = DEFAULT.access) -> DataFrame:
-    """One event for each source of each use, whatever the repeats of a receipt: (use_id, source, amount)."""
-    once = uses.dropDuplicates(["use_id"])
+    """One event for each source of each use, whatever the repeats of a receipt: (use_id, source, amount).
+
+    A use_id that comes with different sources is a conflict and yields nothing here; see ``use_conflicts``."""
+    payload = F.array_sort(F.array_distinct("sources"))
+    once = uses.groupBy("use_id").agg(F.min(payload).alias("sources"), F.max(payload).alias("_other")).where(F.col("sources") == F.col("_other"))
     return once.select("use_id", F.explode(F.array_sort(F.array_distinct("sources"))).alias("source"), F.lit(amount).alias("amount"))
 
 
@@ -170,3 +173,133 @@ def semantic_plan(candidates: DataFrame, most: int = 64) -> DataFrame:
     scored = candidates.where("eligible").withColumn("bonus", semantic_bonus(F.col("cosine"))).where("bonus > 0")
     rank = F.row_number().over(Window.partitionBy("fragment_id").orderBy(F.desc("cosine"), "memory_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= most)
+
+
+def use_conflicts(uses: DataFrame) -> DataFrame:
+    """Receipts whose repeats differ in their sources: (use_id, first, other)."""
+    payload = F.array_sort(F.array_distinct("sources"))
+    return uses.groupBy("use_id").agg(F.min(payload).alias("first"), F.max(payload).alias("other")).where("first <> other")
+
+
+def late_events(applied: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """The verdict of each event of a batch against those applied: ``replay`` (same id and payload), ``conflict`` (same id,
+    other payload), ``regressed`` (a position before its record's last) or ``apply``.  Events: key, event_id, position, amount."""
+    old = applied.select("event_id", F.struct(key, "position", "amount").alias("_old"))
+    last = applied.groupBy(key).agg(F.max("position").alias("_last"))
+    joined = batch.join(old, "event_id", "left").join(last, key, "left")
+    same = F.col("_old").eqNullSafe(F.struct(key, "position", "amount"))
+    verdict = F.when(F.col("_old").isNotNull() & same, "replay").when(F.col("_old").isNotNull(), "conflict").when(F.col("position") < F.col("_last"), "regressed").otherwise("apply")
+    return joined.select(key, "event_id", "position", "amount", verdict.alias("verdict"))
+
+
+def availability(memories: DataFrame, evidence: DataFrame, episodes: DataFrame, positions: DataFrame) -> DataFrame:
+    """What a memory's provenance supports: (memory_id, cohort, availability, position, coverage).
+
+    ``memories``: memory_id, episode_id, cohort_id, archived, superseded; ``evidence``: memory_id, node; ``episodes``:
+    episode_id, complete, nodes; ``positions``: node, position of the activity clock.  Supported from the latest position
+    of all its evidence; evidence off the clock, an incomplete episode or none at all support nothing."""
+    episode = episodes.select("episode_id", F.coalesce("complete", F.lit(False)).alias("complete"), F.coalesce("nodes", F.array()).alias("nodes"))
+    known = memories.join(episode, "episode_id", "left")
+    path = known.where("complete").select("memory_id", F.explode("nodes").alias("node"))
+    nodes = evidence.select("memory_id", "node").where("node is not null").unionByName(path)
+    placed = nodes.join(positions.select("node", "position"), "node", "left")
+    found = placed.groupBy("memory_id").agg(F.max("position").alias("position"), F.min(F.when(F.col("position").isNull(), F.col("node"))).alias("missing"))
+    joined = known.join(found, "memory_id", "left")
+    unknown = F.col("episode_id").isNotNull() & F.col("complete").isNull()
+    coverage = (
+        F.when(F.col("archived") | F.col("superseded"), "lifecycle-excluded")
+        .when(unknown, F.raise_error(F.concat(F.lit("unknown episode of memory "), F.col("memory_id").cast("string"))).cast("string"))
+        .when(F.col("episode_id").isNotNull() & ~F.col("complete"), "episode-incomplete")
+        .when(F.col("position").isNull() & F.col("missing").isNull(), "missing-provenance")
+        .when(F.col("missing").isNotNull(), F.concat(F.lit("missing-evidence:"), F.col("missing").cast("string"))).otherwise("supported")
+    )
+    excluded = F.col("archived") | F.col("superseded")
+    cohort = F.when(excluded, F.coalesce("cohort_id", F.col("memory_id").cast("string"))).otherwise(F.coalesce("cohort_id", "episode_id", F.col("memory_id").cast("string")))
+    status = F.when(F.col("coverage") == "supported", "supported").when(F.col("coverage") == "lifecycle-excluded", "credit_excluded").otherwise("unsupported")
+    return joined.withColumn("coverage", coverage).select(
+        "memory_id", cohort.alias("cohort"), status.alias("availability"), F.when(F.col("coverage") == "supported", F.col("position")).alias("position"), "coverage"
+    )
+
+
+def cohort_conflicts(plans: DataFrame) -> DataFrame:
+    """Cohorts whose supported members disagree about the position."""
+    return plans.where("availability = 'supported'").groupBy("cohort").agg(F.min("position").alias("first"), F.max("position").alias("last")).where("first <> last")
+
+
+def propagate_historical(
+    edges: DataFrame, events: DataFrame, communities: DataFrame, authorized: DataFrame, available: DataFrame, excluded: DataFrame | None = None, p: Policy = DEFAULT
+) -> DataFrame:
+    """(event_id, position, node, credit): propagation over the authorised part of a graph, credit by availability.
+
+    ``events``: event_id, position, node (a root), amount.  A memory gets credit if it is supported from a position above 0
+    and not after the event's, and not excluded; what gets none still conducts.  A root that is not authorised is an error."""
+    allowed = authorized.select("node").distinct()
+    inside = edges
+    for end in ("source", "target"):
+        inside = inside.join(allowed.select(F.col("node").alias(end)), end, "left_semi")
+    known = events.join(allowed.withColumn("_ok", F.lit(True)), "node", "left")
+    roots = known.withColumn("node", F.when(F.col("_ok"), F.col("node")).otherwise(F.raise_error(F.lit("a root is not authorised")).cast("bigint")))
+    spread = propagate(inside, roots.select("event_id", "node", "amount"), communities, None, p)
+    at = events.groupBy("event_id").agg(F.max("position").alias("position"))
+    from_ = available.where("availability = 'supported' and position > 0").select(F.col("memory_id").alias("node"), F.col("position").alias("_from"))
+    credit = spread.join(at, "event_id").join(from_, "node").where(F.col("_from") <= F.col("position"))
+    if excluded is not None:
+        credit = credit.join(excluded.select("event_id", "node").distinct(), ["event_id", "node"], "left_anti")
+    return credit.select("event_id", "position", "node", "credit")
+
+
+def dream_events(memories: DataFrame, proofs: DataFrame, links: DataFrame, representatives: DataFrame, p: Policy = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """First-cycle links of imported memories as credits: (events, coverage).
+
+    ``memories``: id, cohort, birth, eligible; ``proofs``: id, completed, roots, duplicate_origin; ``links``: source,
+    target, origin, completed, direct; ``representatives``: id, representative.  A proof's roots are taken as they are;
+    without a proof an eligible memory takes its completed direct links; what neither covers is unsupported.  Roots are
+    replaced by their representatives and must be eligible, born earlier and of another cohort."""
+    direct = links.where("completed and direct and origin = 'organiser'")
+    pairs = direct.select(F.col("source").alias("id"), F.col("target").alias("root")).union(direct.select("target", "source")).groupBy("id").agg(F.collect_set("root").alias("linked"))
+    known = memories.join(proofs.select("id", "completed", "roots", "duplicate_origin", F.lit(True).alias("proof")), "id", "left").join(pairs, "id", "left")
+    proof, some = F.coalesce(F.col("proof"), F.lit(False)), F.size(F.coalesce("roots", F.array())) > 0
+    coverage = (
+        F.when(F.col("birth").isNull() | (proof & ~F.coalesce("completed", F.lit(False))), "unsupported")
+        .when(proof & ~some, "verified-no-link").when(proof & ~F.col("eligible") & ~F.coalesce("duplicate_origin", F.lit(False)), "unsupported")
+        .when(proof, "actual-first-cycle").when(F.col("eligible"), "completed-graph-approximation").otherwise("unsupported")
+    )
+    covered = known.withColumn("coverage", coverage)
+    roots = F.when(F.col("coverage") == "actual-first-cycle", F.col("roots")).when(F.col("coverage") == "completed-graph-approximation", F.col("linked"))
+    asked = covered.select(F.col("id").alias("event_id"), F.col("cohort").alias("_cohort"), F.col("birth").alias("position"), F.explode(roots).alias("root"))
+    chosen = asked.join(representatives.select(F.col("id").alias("root"), "representative"), "root", "left").withColumn("node", F.coalesce("representative", "root"))
+    of = lambda c, names: memories.select(F.col("id").alias(c), *[F.col(x).alias(y) for x, y in names.items()])
+    judged = chosen.join(of("root", {"cohort": "_root_cohort"}), "root").join(of("node", {"cohort": "_node_cohort", "eligible": "_eligible", "birth": "_birth"}), "node")
+    good = judged.where((F.col("_root_cohort") != F.col("_cohort")) & (F.col("_node_cohort") != F.col("_cohort")) & F.col("_eligible") & (F.col("_birth") > 0) & (F.col("_birth") < F.col("position")))
+    events = good.select("event_id", "position", "node", F.lit(p.linkage).alias("amount")).distinct()
+    return events, covered.select("id", "coverage")
+
+
+def semantic_coverage(fragments: DataFrame, targets: DataFrame, pairs: DataFrame, most: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Bonuses of fragments for earlier memories, and why a fragment has none: (effects, coverage).
+
+    ``fragments``: fragment_id, position (null: no activity), evidence, usable; ``targets``: memory_id, position (null or
+    0: not supported), eligible; ``pairs``: fragment_id, memory_id, cosine."""
+    live = fragments.where("position is not null and evidence and usable").select("fragment_id", F.col("position").alias("_at"))
+    able = targets.where("eligible and position > 0").select("memory_id", F.col("position").alias("_from"))
+    met = pairs.join(live, "fragment_id").join(able, "memory_id").where(F.col("_from") <= F.col("_at"))
+    effects = semantic_plan(met.select("fragment_id", "memory_id", "cosine", F.lit(True).alias("eligible")), most)
+    planned = effects.select("fragment_id").distinct().withColumn("_planned", F.lit(True))
+    reason = (
+        F.when(F.col("position").isNull(), "non-activity-only-fragment").when(~F.col("evidence"), "fragment-evidence-unavailable")
+        .when(~F.col("usable"), "complete-no-usable-source-rows").when(F.col("_planned"), "event-planned").otherwise("complete-no-eligible-match")
+    )
+    return effects.select("fragment_id", "memory_id", "bonus", "rank"), fragments.join(planned, "fragment_id", "left").select("fragment_id", reason.alias("coverage"))
+
+
+def score_import(
+    events: DataFrame, retained: DataFrame, edges: DataFrame, communities: DataFrame, authorized: DataFrame, available: DataFrame, cut: int, excluded: DataFrame | None = None, p: Policy = DEFAULT
+) -> DataFrame:
+    """Scores at a cut of what an import's events spread and what was retained: (memory_id, admitted, score).
+
+    ``retained``: memory_id, position, event_id, amount.  An event after the cut is an error, not left out."""
+    inside = F.when(F.col("position") <= cut, F.col("position")).otherwise(F.raise_error(F.lit("an event is after the cut")).cast("bigint"))
+    spread = propagate_historical(edges, events.withColumn("position", inside), communities, authorized, available, excluded, p)
+    columns = ["memory_id", "position", "event_id", "amount"]
+    both = spread.select(F.col("node").alias("memory_id"), "position", "event_id", F.col("credit").alias("amount")).select(*columns).unionByName(retained.select(*columns))
+    return fold(both, "memory_id", cut, p)

@@ -155,3 +155,88 @@ def decided(pairs: DataFrame, decide, schema: str) -> DataFrame:
             yield decide(batch)
 
     return pairs.mapInPandas(run, schema)
+
+
+MANAGED = ("duplicate", "supersedes", "topical", "factual", "causal", "recurrent")
+FAR = (1 << 63) - 1
+
+
+def evaluate(decisions: DataFrame, facts: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What pair decisions change: relations (source, target, kind, change) and lifecycles (id, superseded_by).
+
+    ``decisions``: a, b, relation (none, or a managed kind), direction (a_to_b, b_to_a or none), place; ``facts``: id, time;
+    ``relations``: source, target, kind, active, origin.  Pairs with an unknown memory count for nothing.  Of an evaluated
+    pair, own active edges that no decision wants go; the last decision about a superseded memory holds."""
+    time = lambda c: facts.select(F.col("id").alias(c), F.coalesce("time", F.lit(FAR)).alias(f"_t{c}"))
+    known = decisions.where("a <> b").join(time("a"), "a").join(time("b"), "b")
+    later = F.struct("_ta", "a") > F.struct("_tb", "b")
+    forward = (
+        F.when(F.col("relation") == "duplicate", later)
+        .when(F.col("relation") == "supersedes", F.when(F.col("direction") == "a_to_b", True).when(F.col("direction") == "b_to_a", False))
+        .otherwise(F.col("direction") != "b_to_a")
+    )
+    directed = known.where(F.col("relation").isin(*MANAGED)).withColumn("_f", forward).where("_f is not null")
+    source, target = F.when(F.col("_f"), F.col("a")).otherwise(F.col("b")), F.when(F.col("_f"), F.col("b")).otherwise(F.col("a"))
+    desired = directed.select(source.alias("source"), target.alias("target"), F.col("relation").alias("kind"), "place")
+    own = relations.where(F.col("active") & (F.col("origin") == "organiser")).select("source", "target", "kind").distinct()
+    key = ["source", "target", "kind"]
+    pairs = known.select(*canonical_pair()).distinct()
+    judged = own.where(F.col("kind").isin(*MANAGED)).withColumns({"a": F.least("source", "target"), "b": F.greatest("source", "target")}).join(pairs, ["a", "b"], "left_semi")
+    wanted = desired.select(*key).distinct()
+    changes = wanted.join(own, key, "left_anti").withColumn("change", F.lit("activate")).unionByName(judged.select(*key).join(wanted, key, "left_anti").withColumn("change", F.lit("deactivate")))
+    gone = desired.where("kind = 'supersedes'").groupBy(F.col("target").alias("id")).agg(F.max_by("source", F.struct("place", "source")).alias("superseded_by"))
+    return changes, gone
+
+
+def plan(decisions: DataFrame, facts: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The whole plan of a snapshot: (relation changes, lifecycles).
+
+    Beyond ``evaluate``: every component of active duplicates that a decision touches becomes one chain by (time, id), own
+    edges off the chain go, and edges with a user's edge in either direction are never changed.  ``facts`` also: state,
+    archived, promotes.  A lifecycle that supersedes by a memory that is itself archived is an error."""
+    from .graph import components
+
+    key = ["source", "target", "kind"]
+    changes, gone = evaluate(decisions, facts, relations)
+    user = relations.where("origin = 'user'")
+    protected = user.select(*key).union(user.select("target", "source", "kind")).distinct()
+    free = changes.join(protected, key, "left_anti")
+    now = relations.select(*key, "active").join(free.select(*key, (F.col("change") == "activate").alias("_set")), key, "full_outer").select(*key, F.coalesce("_set", "active").alias("active"))
+    component = components(now.where("kind = 'duplicate'"))
+    touched = decisions.where("relation = 'duplicate' and a <> b").select(F.explode(F.array("a", "b")).alias("node")).join(component, "node").select("component").distinct()
+    members = component.join(touched, "component", "left_semi").join(facts.select(F.col("id").alias("node"), "time"), "node").select("component", F.col("node").alias("id"), "time")
+    chain = duplicate_chain(members).withColumn("kind", F.lit("duplicate"))
+    live = relations.where("active")
+    inside = live.where("origin = 'organiser' and kind = 'duplicate'")
+    for end in ("source", "target"):
+        inside = inside.join(members.select(F.col("id").alias(end), F.col("component").alias(f"_{end}")), end)
+    off = inside.where("_source = _target").select(*key).join(chain, key, "left_anti").withColumn("change", F.lit("deactivate"))
+    on = chain.select(*key).join(live.select(*key), key, "left_anti").withColumn("change", F.lit("activate"))
+    planned = free.where("kind <> 'duplicate'").unionByName(off).unionByName(on).join(protected, key, "left_anti").distinct()
+    sources = decisions.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    after = facts.join(gone, "id", "left").withColumn("_gone", F.col("superseded_by").isNotNull()).join(component.withColumnRenamed("node", "id"), "id", "left")
+    peers = after.where(~F.col("archived") & ~F.col("_gone") & F.col("component").isNotNull()).groupBy("component").agg(F.count("*").alias("_peers"))
+    joined = after.join(peers, "component", "left").join(sources, "id", "left_semi")
+    others = F.coalesce("_peers", F.lit(0)) - F.when(F.col("archived") | F.col("_gone") | F.col("component").isNull(), 0).otherwise(1)
+    life = lifecycle(joined.withColumn("has_duplicate", others > 0)).join(after.select("id", "superseded_by"), "id")
+    dead = life.where("new_archived").select(F.col("id").alias("superseded_by"), F.lit(True).alias("_dead"))
+    bad = F.when(F.col("_dead"), F.raise_error(F.lit("a superseding memory is archived itself")).cast("string")).otherwise(F.col("new_state"))
+    return planned, life.join(dead, "superseded_by", "left").select("id", bad.alias("new_state"), "new_archived", "superseded_by")
+
+
+def live_cuts(cuts: DataFrame, current: DataFrame, graph_version: int, now_version: int) -> DataFrame:
+    """Cuts (id, revision, body_id) against the current state: ``eligible``, ``not eligible`` (state) or ``stale``.
+
+    A graph of another version makes every cut stale."""
+    joined = cuts.join(current.select("id", F.col("revision").alias("_rev"), F.col("body_id").alias("_body"), "state"), "id", "left")
+    same = F.col("revision").eqNullSafe(F.col("_rev")) & F.col("body_id").eqNullSafe(F.col("_body")) & F.lit(graph_version == now_version)
+    verdict = F.when(~same, "stale").when(F.col("state").isin("knowledge", "canonical"), "eligible").otherwise("not eligible")
+    return joined.select("id", verdict.alias("verdict"))
+
+
+def pair_contexts(pairs: DataFrame, memories: DataFrame) -> DataFrame:
+    """Both memories of each pair (a, b) as structs, the older first where times tell."""
+    whole = lambda side: memories.select(F.col("id").alias(side), F.struct(*memories.columns).alias(f"_{side}"))
+    both = pairs.join(whole("a"), "a").join(whole("b"), "b")
+    swap = F.coalesce(F.col("_b.time") < F.col("_a.time"), F.lit(False))
+    return both.select("a", "b", F.when(swap, F.col("_b")).otherwise(F.col("_a")).alias("older"), F.when(swap, F.col("_a")).otherwise(F.col("_b")).alias("newer"))

@@ -2,37 +2,103 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from .graph import _cut
 from .versioned import with_versions
 
+#: Queries that go to every task, at most; and vectors that are compared with them at a time.
 MAX_QUERIES = 1000
+BLOCK_ROWS = 4096
+
+
+def lexical_matches(docs: DataFrame, query: Sequence[str], text: Column, *keep: str) -> DataFrame:
+    """All rows with a positive lexical score, with the columns named."""
+    # not deterministic, so the filter stays above the score instead of taking it twice
+    bound = docs.select(*keep, F.struct(T.lexical_score(text, query).alias("score"), F.monotonically_increasing_id().alias("barrier")).alias("_s"))
+    return bound.where("_s.score > 0").select(*keep, "_s.score")
 
 
 def lexical_search(docs: DataFrame, query: Sequence[str], text: Column, key: str, limit: int | None = 10) -> DataFrame:
-    """Score > 0, best first, ties by key; without a limit, all matches."""
-    hits = docs.select(key, T.lexical_score(text, query).alias("score")).where("score > 0").orderBy(F.desc("score"), key)
-    return hits if limit is None else hits.limit(limit)
+    """Score > 0, best first, ties by key; without a limit all matches, in no order."""
+    hits = lexical_matches(docs, query, text, key)
+    return hits if limit is None else hits.orderBy(F.desc("score"), key).limit(limit)
+
+
+def raw_search(turns: DataFrame, query: Sequence[str], text: Column, key: str, time: str, limit: int = 10) -> DataFrame:
+    """Turns by score, later first, then key."""
+    return lexical_matches(turns, query, text, key, time).orderBy(F.desc("score"), F.desc(time), key).limit(limit)
+
+
+def file_search(files: DataFrame, query: Sequence[str], name: str, key: str, limit: int = 10) -> DataFrame:
+    """File names by score, then name, then key; contents are not read."""
+    return lexical_matches(files, query, F.col(name), key, name).orderBy(F.desc("score"), name, key).limit(limit)
+
+
+def first_of_each(ranked: DataFrame, identity: Sequence[str], rank: Sequence[str]) -> DataFrame:
+    """Of ordered candidates, the first of each identity."""
+    rest = [c for c in ranked.columns if c not in identity]
+    return ranked.groupBy(*identity).agg(F.min_by(F.struct(*rest), F.struct(*rank)).alias("_row")).select(*identity, "_row.*")
+
+
+def _blocks(rows: DataFrame, key: str, vector: str, size: int, prefix: str) -> DataFrame:
+    """Rows of up to ``size`` keys with their vectors as one matrix."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                flat = part.column("v").flatten().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column("k")], pa.list_(pa.int64())), pa.array([flat.astype(np.float64).tobytes()], pa.binary())], names=[f"{prefix}keys", f"{prefix}data"])
+
+    plain = rows.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    return plain.mapInArrow(pack, f"{prefix}keys array<bigint>, {prefix}data binary")
+
+
+def _best(limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best of a block of vectors for each of a block of queries, all of those tied with the last."""
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for keys, data, qkeys, qdata in zip(*(batch.column(c) for c in ("keys", "data", "qkeys", "qdata"))):
+                keys, qkeys = keys.values.to_numpy(), qkeys.values.to_numpy()
+                v, q = (np.frombuffer(x.as_py()).reshape(n, -1) for x, n in ((data, len(keys)), (qdata, len(qkeys))))
+                with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+                    s = (q @ v.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :])
+                s = np.round(np.clip(np.where(np.isfinite(s), s, 0), -1, 1), 12)
+                last = np.partition(s, len(keys) - limit, axis=1)[:, len(keys) - limit] if len(keys) > limit else np.zeros(len(qkeys))
+                i, j = np.nonzero((s >= last[:, None]) & (s > 0))
+                for c, x in zip(out, (qkeys[i], keys[j], s[i, j])):
+                    c.append(x)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["q", "k", "score"])
+
+    return run
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, key: str, vector: str, limit: int = 10) -> DataFrame:
     """Exact cosine of a stated set of queries (``query_id``, ``query``) against all vectors; positive, top ``limit`` each.
 
-    Up to ``MAX_QUERIES`` queries go to the rows; more meet them in blocks of about so many.  Ranking keeps ``limit`` rows a query and task before
-    the shuffle (WindowGroupLimit)."""
-    n = queries.count()
-    if n <= MAX_QUERIES:
-        pairs = vectors.join(F.broadcast(queries))
-    else:
-        pairs = vectors.hint("shuffle_replicate_nl").crossJoin(queries.repartition(-(-n // MAX_QUERIES)))
-    scored = pairs.select("query_id", key, V.cosine(F.col("query"), F.col(vector)).alias("score")).where("score > 0")
+    Vectors and queries meet in blocks, each pair of blocks as one product of matrices of which only the best ``limit`` of
+    each query leave.  A block of up to ``MAX_QUERIES`` queries goes to the vectors; more blocks are paired by a cartesian
+    product of blocks.  Vectors of another length than the queries', zero ones and nulls match nothing."""
+    n, width = queries.agg(F.count("*"), F.max(F.size("query"))).first()
+    kept = lambda df, c: df.where(F.col(c).isNotNull() & (F.size(c) == F.lit(width or 0)) & ~F.exists(c, lambda x: x.isNull()))
+    asked = kept(queries, "query").repartition(max(1, -(-n // MAX_QUERIES)))
+    packed = _blocks(asked, "query_id", "query", MAX_QUERIES, "q")
+    blocks = _blocks(kept(vectors, vector), key, vector, BLOCK_ROWS, "")
+    pairs = blocks.join(F.broadcast(packed)) if n <= MAX_QUERIES else blocks.hint("shuffle_replicate_nl").crossJoin(packed)
+    scored = pairs.mapInArrow(_best(limit), "q bigint, k bigint, score double").select(F.col("q").alias("query_id"), F.col("k").alias(key), "score")
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
     return scored.withColumn("rank", best).where(F.col("rank") <= limit)
 
@@ -61,58 +127,47 @@ def snapshot(memories: DataFrame, bodies: DataFrame, vectors: DataFrame, freshne
     return memories.where("not archived").join(bodies, body).join(vectors, body, "left").join(freshness, key, "left")
 
 
-def mean_vectors(vectors: DataFrame, group: str, vector: str) -> DataFrame:
+def mean_vectors(vectors: DataFrame, group: str | Sequence[str], vector: str) -> DataFrame:
     """Element-wise means by group, combined before the shuffle."""
-    parts = vectors.select(group, F.posexplode(vector).alias("i", "x"))
-    means = parts.groupBy(group, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    return means.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"].cast("float")).alias("mean"))
-
-
-def sub_centroids(members: np.ndarray, k: int = 4, rounds: int = 2) -> np.ndarray:
-    """Up to k centroids: farthest-first seeds from the member nearest the mean, then rounds of reassignment by cosine.
-
-    Members come in the order of their ids.  Nearest and farthest take the last of equals, assignment the last too."""
-    x = members.astype(np.float32)
-    unit = x / np.maximum(np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True), 1e-30)
-    last_max = lambda a: len(a) - 1 - int(np.argmax(a[::-1]))
-    first_min = lambda a: int(np.argmin(a))
-    mean = x.sum(0, dtype=np.float32) * np.float32(1.0 / len(x))
-    seeds = [last_max(unit @ (mean / max(float(np.linalg.norm(mean)), 1e-30)))]
-    while len(seeds) < min(k, len(x)):
-        near = (unit @ unit[seeds].T).max(1)
-        near[seeds] = np.inf
-        seeds.append(first_min(near))
-    centroids = x[seeds].copy()
+    keys = [group] if isinstance(group, str) else list(group)
+    means = vectors.groupBy(*keys).agg(Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>"))).alias("m"))
+    return means.select(*keys, vector_to_array("m").cast("array<float>").alias("mean"))
+
+
+def community_centroids(vectors: DataFrame, community: str, key: str, vector: str, k: int = 4, rounds: int = 2) -> DataFrame:
+    """Up to ``k`` sub-centroids by community: farthest-first seeds from the member nearest the mean, then rounds of
+    reassignment by cosine.  Every step is an aggregate over all members, of all communities at once.
+
+    Of equals, the nearest is the last by key, the farthest the first, and a member goes to the last centroid."""
+    x = vectors.where(F.col(community).isNotNull()).select(F.col(community).alias("c"), F.col(key).alias("k"), F.col(vector).cast("array<float>").alias("v"))
+    near = lambda v, c: F.coalesce(V.cosine(v, c), F.lit(-2.0))
+    first = x.join(mean_vectors(x, "c", "v"), "c").groupBy("c").agg(F.max_by(F.struct("k", "v"), F.struct(near(F.col("v"), F.col("mean")), "k")).alias("s"))
+    seeds = _cut(first.select("c", F.array("s.k").alias("ids"), F.array("s.v").alias("cents")))
+    for _ in range(k - 1):
+        left = x.join(seeds, "c").where(~F.array_contains("ids", F.col("k")))
+        apart = F.array_max(F.transform("cents", lambda s: near(F.col("v"), s)))
+        far = left.groupBy("c").agg(F.min_by(F.struct("k", "v"), F.struct(apart, "k")).alias("s"))
+        grown = seeds.join(far, "c", "left")
+        more = lambda old, new: F.when(F.col("s").isNull(), F.col(old)).otherwise(F.concat(old, F.array(f"s.{new}"))).alias(old)
+        seeds = _cut(grown.select("c", more("ids", "k"), more("cents", "v")))
+    cents = seeds.select("c", F.posexplode("cents").alias("no", "cent"))
     for _ in range(rounds):
-        c = centroids / np.maximum(np.linalg.norm(centroids.astype(np.float64), axis=1, keepdims=True), 1e-30)
-        score = unit @ c.T
-        own = score.shape[1] - 1 - np.argmax(score[:, ::-1], axis=1)
-        for j in range(len(centroids)):
-            if (own == j).any():
-                centroids[j] = x[own == j].sum(0, dtype=np.float32) * np.float32(1.0 / (own == j).sum())
-    return centroids
-
+        whole = cents.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("no", "cent"))).alias("all"))
+        own = F.array_max(F.transform("all", lambda s: F.struct(near(F.col("v"), s["cent"]).alias("near"), s["no"].alias("no"))))["no"]
+        means = mean_vectors(x.join(whole, "c").select("c", own.alias("no"), "v"), ["c", "no"], "v")
+        cents = _cut(cents.join(means, ["c", "no"], "left").select("c", "no", F.coalesce("mean", "cent").alias("cent")))
+    return cents.select(F.col("c").alias(community), F.col("no").cast("int").alias("centroid_no"), F.col("cent").alias("centroid"))
 
-SAMPLE = 20_000
 
-
-def community_centroids(vectors: DataFrame, community: str, key: str, vector: str, sample: int = SAMPLE) -> DataFrame:
-    """Sub-centroids by community; a community of more than ``sample`` members is represented by that many, spread by hash."""
-    order = F.row_number().over(Window.partitionBy(community).orderBy(F.xxhash64(key), key))
-    few = vectors.select(community, key, vector).withColumn("_k", order).where(F.col("_k") <= sample)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        c = sub_centroids(np.stack(pdf[vector].to_numpy()))
-        return pd.DataFrame({community: pdf[community].iloc[0], "centroid_no": range(len(c)), "centroid": [r.tolist() for r in c]})
-
-    kind = vectors.schema[community].dataType.simpleString()
-    return few.groupBy(community).applyInPandas(run, f"{community} {kind}, centroid_no int, centroid array<float>")
+def _asked(rows: DataFrame, queries: DataFrame, few: bool) -> DataFrame:
+    """Every row with every query; few queries go to the rows."""
+    return rows.join(F.broadcast(queries)) if few else rows.hint("shuffle_replicate_nl").crossJoin(queries)
 
 
 def route(centroids: DataFrame, queries: DataFrame, community: str, top: int = 4) -> DataFrame:
     """The communities whose best sub-centroid is nearest to each query."""
-    scored = centroids.join(F.broadcast(queries)).select("query_id", community, V.cosine(F.col("query"), F.col("centroid")).alias("_cos"))
+    few = queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES
+    scored = _asked(centroids, queries, few).select("query_id", community, V.cosine(F.col("query"), F.col("centroid")).alias("_cos"))
     best = scored.groupBy("query_id", community).agg(F.max("_cos").alias("_cos"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_cos"), community))
     return best.withColumn("route_rank", rank).where(F.col("route_rank") <= top)
@@ -121,19 +176,45 @@ def route(centroids: DataFrame, queries: DataFrame, community: str, top: int = 4
 def routed_search(vectors: DataFrame, queries: DataFrame, centroids: DataFrame, key: str, vector: str, community: str, limit: int = 4, top: int = 4) -> DataFrame:
     """Exact cosine over the routed communities and the unassigned; over all, flagged, if there are no communities."""
     fallback = centroids.isEmpty()
-    eligible = vectors
+    few = queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES
+    slim = vectors.select(key, vector, community)
     if fallback:
-        pairs = eligible.join(F.broadcast(queries))
+        pairs = _asked(slim.drop(community), queries, few)
     else:
-        routes = route(centroids, queries, community, top).join(queries, "query_id").select("query_id", "query", community)
-        pairs = eligible.join(F.broadcast(routes), community).unionByName(
-            eligible.where(F.col(community).isNull()).join(F.broadcast(queries)).select("query_id", "query", community, *[c for c in eligible.columns if c != community]), allowMissingColumns=True
-        )
+        routes = route(centroids, queries, community, top).join(queries, "query_id").select("query_id", "query", community)  # at most `top` a query
+        routed = slim.join(F.broadcast(routes) if few else routes, community).select("query_id", "query", key, vector)
+        pairs = routed.unionByName(_asked(slim.where(F.col(community).isNull()).drop(community), queries.select("query_id", "query"), few).select("query_id", "query", key, vector))
     scored = pairs.select("query_id", key, V.cosine(F.col("query"), F.col(vector)).alias("score")).where("score > 0")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit).withColumn("global_fallback", F.lit(fallback))
 
 
+def representatives(members: DataFrame, centroids: DataFrame, community: str, key: str, vector: str, each: int = 2, most: int = 8) -> DataFrame:
+    """Up to ``most`` members of each community, sorted: of each centroid in turn the ``each`` nearest not yet taken, then
+    the nearest to any centroid, then members without a vector by key.
+
+    Only the ``most`` best of each list leave the ranking, enough whatever the lists before have taken."""
+    cos = members.join(centroids, community).select(community, key, "centroid_no", F.round(V.cosine(F.col("centroid"), F.col(vector)), 9).alias("cos")).where("cos is not null")
+    place = F.row_number().over(Window.partitionBy(community, "centroid_no").orderBy(F.desc("cos"), key))
+    lists = cos.withColumn("at", place).where(F.col("at") <= most).groupBy(community, "centroid_no").agg(_in_order(key)).groupBy(community).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("centroid_no", "ids"))), lambda x: x["ids"]).alias("lists")
+    )
+    over = F.row_number().over(Window.partitionBy(community).orderBy(F.desc("cos"), key))
+    near = cos.groupBy(community, key).agg(F.max("cos").alias("cos")).withColumn("at", over).where(F.col("at") <= 2 * most).groupBy(community).agg(_in_order(key).alias("near"))
+    rest = F.row_number().over(Window.partitionBy(community).orderBy(key))
+    plain = members.select(community, key).withColumn("at", rest).where(F.col("at") <= 2 * most).groupBy(community).agg(_in_order(key).alias("plain"))
+    all_of = plain.join(lists, community, "left").join(near, community, "left")
+    take = lambda acc, ids, n: F.concat(acc, F.slice(F.array_except(ids, acc), F.lit(1), F.greatest(F.lit(0), F.least(F.lit(n), most - F.size(acc)))))
+    none = F.slice("plain", F.lit(1), F.lit(0))
+    chosen = F.aggregate(F.coalesce("lists", F.array(none)), none, lambda acc, ids: take(acc, ids, each))
+    chosen = take(chosen, F.coalesce("near", none), most)
+    return all_of.select(community, F.array_sort(take(chosen, F.col("plain"), most)).alias("representatives"))
+
+
+def _in_order(key: str) -> Column:
+    return F.transform(F.array_sort(F.collect_list(F.struct("at", key))), lambda x: x[key]).alias("ids")
+
+
 def diversify(candidates: DataFrame, overlaps: DataFrame, limit: int, pool: int = 1000) -> DataFrame:
     """Greedy ranking per query: score times the product of 1 - overlap with chosen items of the same conversation.
 

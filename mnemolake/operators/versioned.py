@@ -159,3 +159,78 @@ def running_total(rows: DataFrame, order: Sequence[str], value: Column, into: st
 def with_versions(rows: DataFrame, order: Sequence[str], version: str, start: int = 0) -> DataFrame:
     """Consecutive versions in an order whose first column is numeric."""
     return running_total(rows, order, F.lit(1), version).withColumn(version, F.col(version) + start)
+
+
+def rewrite(revisions: DataFrame, kept: DataFrame, tombstones: DataFrame, key: str, version: str, unsupported: DataFrame | None = None) -> DataFrame:
+    """The history of a new owner: revisions and tombstones of the keys kept, in their order, numbered from 1.
+
+    ``change`` tells ``revision`` from ``tombstone``; a tombstone closes its key's history.  Operational state that
+    cannot be carried over is an error, not left out."""
+    if unsupported is not None and not unsupported.isEmpty():
+        raise ValueError("the history holds state that a rewrite does not carry over")
+    rest = [c for c in revisions.columns if c not in (key, version)]
+    live = revisions.join(kept.select(key).distinct(), key, "left_semi").select(key, version, *rest, F.lit("revision").alias("change"))
+    dead = tombstones.join(kept.select(key).distinct(), key, "left_semi").select(key, version, *[F.lit(None).cast(revisions.schema[c].dataType).alias(c) for c in rest], F.lit("tombstone").alias("change"))
+    both = live.unionByName(dead).withColumn("_order", (F.col("change") == "tombstone").cast("int"))
+    return with_versions(both, [version, "_order", key], "new_version").drop("_order", version)
+
+
+def update_records(current: DataFrame, asked: DataFrame, applied: DataFrame, key: str, immutable: Sequence[str]) -> DataFrame:
+    """Guarded updates of records (key, revision, updated_at, immutable fields): the verdict of each mutation.
+
+    A mutation id that was applied before is a replay if its digest is the same and else an error; the revision expected
+    must be the current one, immutable fields stay, and updated_at does not go back."""
+    old = applied.select("mutation_id", F.col("digest").alias("_digest"))
+    now = current.select(key, F.col("revision").alias("_revision"), F.col("updated_at").alias("_updated"), *[F.col(c).alias(f"_{c}") for c in immutable])
+    joined = asked.join(old, "mutation_id", "left").join(now, key, "left")
+    changed = F.lit(False)
+    for c in immutable:
+        changed = changed | (F.col("_revision").isNotNull() & ~F.col(c).eqNullSafe(F.col(f"_{c}")))
+    verdict = (
+        F.when(F.col("_digest").isNotNull() & (F.col("_digest") == F.col("digest")), "replay").when(F.col("_digest").isNotNull(), "reused mutation")
+        .when(F.col("expected") != F.coalesce("_revision", F.lit(0)), "stale").when(changed, "immutable field")
+        .when(F.col("updated_at") < F.col("_updated"), "clock went back").otherwise("applied")
+    )
+    return joined.select(key, "mutation_id", verdict.alias("verdict"))
+
+
+def prune_targets(targets: DataFrame, tombstones: DataFrame, references: DataFrame, guards: DataFrame, key: str, body: str, most: int = 128) -> DataFrame:
+    """The verdict of each of up to ``most`` targets: ``pruned`` or why not.
+
+    A target must be tombstoned; its body must not be shared with a key that is no target, nor be referred to by a guard
+    (a vector, a relation, a manifest)."""
+    if targets.limit(most + 1).count() > most:
+        raise ValueError("too many targets")
+    chosen = targets.select(key).distinct()
+    dead = tombstones.select(key).distinct().withColumn("_dead", F.lit(True))
+    owned = references.select(key, body).distinct()
+    shared = owned.join(chosen, key, "left_anti").select(body).distinct().withColumn("_shared", F.lit(True))
+    held = guards.select(body).distinct().withColumn("_held", F.lit(True))
+    joined = chosen.join(dead, key, "left").join(owned, key, "left").join(shared, body, "left").join(held, body, "left")
+    verdict = F.when(F.col("_dead").isNull(), "not tombstoned").when(F.col("_shared"), "shared body").when(F.col("_held"), "referenced").otherwise("pruned")
+    return joined.groupBy(key).agg(F.max(verdict).alias("verdict"))
+
+
+def page_cursor(rows: DataFrame, order: Sequence[str], cut: int, query: str, cursor: tuple[int, str, int] | None, most: int = 128) -> tuple[DataFrame, tuple[int, str, int]]:
+    """A page of a snapshot and the cursor after it; a cursor of another cut or another query is an error."""
+    import hashlib
+
+    digest = hashlib.sha256(query.encode()).hexdigest()
+    if cursor is not None and cursor[:2] != (cut, digest):
+        raise ValueError("the cursor belongs to another snapshot or query")
+    offset = cursor[2] if cursor else 0
+    return budget_page(rows, order, offset, most), (cut, digest, offset + most)
+
+
+def ego_writes(stored: DataFrame, writes: DataFrame) -> DataFrame:
+    """The verdict of writes (kind, key, expected, previous) to an ego's records (kind, key, revision).
+
+    An identity is written once; a synthesis must name the one before it; personality and anchors follow revisions."""
+    now = stored.groupBy("kind", "key").agg(F.max("revision").alias("_now"))
+    joined = writes.join(now, ["kind", "key"], "left").withColumn("_now", F.coalesce("_now", F.lit(0)))
+    verdict = (
+        F.when((F.col("kind") == "identity") & (F.col("_now") > 0), "identity is fixed")
+        .when((F.col("kind") == "synthesis") & (F.coalesce("previous", F.lit(0)) != F.col("_now")), "not the latest synthesis")
+        .when((F.col("kind") != "synthesis") & (F.col("expected") != F.col("_now")), "stale").otherwise("applied")
+    )
+    return joined.select("kind", "key", verdict.alias("verdict"), F.when(verdict == "applied", F.col("_now") + 1).alias("new_revision"))

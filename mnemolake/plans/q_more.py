@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import temporal as TP
@@ -357,8 +355,7 @@ def chat_export(spark, sf_dir):
         F.struct(F.struct("role").alias("author"), F.col("turn").cast("double").alias("create_time"), F.struct(F.lit("text").alias("content_type"), F.array("text").alias("parts")).alias("content")).alias("message"),
     )
     trees = c.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "conv_id", "turn"), node))).alias("mapping")).select(F.col("conv_id").cast("string").alias("conversation_id"), "mapping")
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='mnemolake-')}"
-    path = f"{base}/export-{spark.sparkContext.applicationId}"
+    path = feeds.scratch(spark, "export")
     trees.write.mode("overwrite").json(path)
     raw = spark.read.schema(S.EXPORT).json(path)
     nodes = raw.select(F.col("conversation_id").alias("conv_id"), "current_node", F.explode("mapping").alias("node_id", "node")).select("conv_id", "current_node", "node_id", F.col("node.parent").alias("parent_id"), F.col("node.message").alias("m"))

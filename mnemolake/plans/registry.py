@@ -31,7 +31,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import q_core, q_inspect, q_more  # noqa: F401
+    from . import q_composed, q_core, q_functions, q_inspect, q_more  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

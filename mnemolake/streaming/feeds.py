@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import queues
+from ..operators import freshness, queues
 
 EVENT = "memory_id bigint, position bigint, event_id bigint, amount int"
 CHANGE = "sequence bigint, kind string, conversation bigint, message bigint, hash string, visible boolean"
@@ -72,11 +72,56 @@ def deduplicated(events: DataFrame, key: list[str]) -> DataFrame:
     return events.dropDuplicates(key)
 
 
+def _checked(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    rows = pd.concat(batches).sort_values(["position", "memory_id", "amount"])
+    known = state.get[0] if state.exists else None
+    said = []
+    for row in rows.itertuples(index=False):
+        own = f"{row.memory_id}:{row.position}:{row.amount}"
+        said.append("apply" if known is None else "replay" if own == known else "conflict")
+        known = own if known is None else known
+    state.update((known,))
+    yield rows.assign(verdict=said)[["memory_id", "position", "event_id", "amount", "verdict"]]
+
+
+def checked(events: DataFrame) -> DataFrame:
+    """Every event with its verdict: ``apply`` the first of its event_id, ``replay`` an equal one, ``conflict`` a different one."""
+    return events.groupBy("event_id").applyInPandasWithState(
+        _checked, f"{EVENT}, verdict string", "payload string", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def due_transitions(spark: SparkSession, records: DataFrame, ticks: DataFrame, target: str, checkpoint: str, key: str = "id") -> StreamingQuery:
+    """State changes of records that fall due as a stream of ``position`` moves the activity clock; each is written once.
+
+    The clock is no event time, so batches compare it with the records' boundaries; a replayed batch writes the same folder."""
+
+    def batch(rows: DataFrame, epoch: int) -> None:
+        session = rows.sparkSession
+        before = int(session.read.text(f"{target}/clock/{epoch}").first()[0]) if epoch else -1
+        now = rows.agg(F.coalesce(F.max("position"), F.lit(before))).first()[0]
+        now = max(before, int(now))
+        due = freshness.crossings(records, now, key).where(F.col("boundary") > before)
+        due.write.mode("overwrite").parquet(f"{target}/due/epoch={epoch}")
+        session.createDataFrame([(str(now),)], "value string").write.mode("overwrite").text(f"{target}/clock/{epoch + 1}")
+
+    return ticks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the one that all machines share; on one machine, below a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = f"file://{tempfile.mkdtemp(prefix='mnemolake-')}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is available, however long it takes, and return its rows from the shared folder."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='mnemolake-')}"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     spark.createDataFrame([], df.schema).write.parquet(f"{path}/rows/epoch=-1")
 
     def batch(rows: DataFrame, epoch: int) -> None:

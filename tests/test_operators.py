@@ -1,12 +1,16 @@
 """Operators on small tables, and all oracle queries on the smallest scale."""
 
+import collections
+import heapq
 import os
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from mnemolake.operators import agentic as AG
 from mnemolake.operators import freshness as FR
 from mnemolake.operators import graph as G
 from mnemolake.operators import queues as QU
@@ -40,9 +44,129 @@ def test_oracle(spark, name):
     assert sorted(names) == sorted(df.columns) and got == want
 
 
-def test_traversal_prefers_its_community():
-    edges = [(1, 2), (1, 3), (2, 4), (3, 5)]
-    assert [n for n, _, _ in G.traverse(edges, {1: 1, 3: 1, 5: 1, 2: 2, 4: 2}, [1], 2, 10)] == [1, 3, 2, 5, 4]
+def _walk(edges, community, seeds, max_depth, budget, prefer):
+    """A bounded best-first walk, one node at a time."""
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    best, heap, n, out, done = {}, [], 0, [], set()
+    for s in seeds:
+        if s not in best:
+            best[s] = (0, 0)
+            heapq.heappush(heap, (0, 0, n, s))
+            n += 1
+    while heap and len(out) < budget:
+        depth, crossed, _, node = heapq.heappop(heap)
+        own = best[node]
+        if node in done or (depth, own[0] if prefer else 0) != (own[1], crossed):
+            continue
+        done.add(node)
+        out.append((node, depth, own[0]))
+        if depth < max_depth:
+            for other in sorted(near.get(node, ())):
+                found = (own[0] + (community.get(node) != community.get(other)), depth + 1)
+                if other not in done and (other not in best or found < best[other]):
+                    best[other] = found
+                    heapq.heappush(heap, (found[1], found[0] if prefer else 0, n, other))
+                    n += 1
+    return out
+
+
+def _graph(spark, edges):
+    return spark.createDataFrame([(a, b, "topical", True, "user", 1) for a, b in edges], "source long, target long, kind string, active boolean, origin string, version long")
+
+
+def test_traversal_prefers_its_community(spark):
+    edges, own = [(1, 2), (1, 3), (2, 4), (3, 5)], {1: 1, 3: 1, 5: 1, 2: 2, 4: 2}
+    com = spark.createDataFrame(list(own.items()), "node long, community int")
+    got = G.traverse(_graph(spark, edges), com, spark.createDataFrame([(0, 1, 0)], "walk long, node long, place long"), 2, 10)
+    assert [r["node"] for r in got.orderBy("place").collect()] == [1, 3, 2, 5, 4]
+
+
+def test_traversal_equals_a_loop(spark):
+    rng = random.Random(8)
+    edges = [(a, b) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(110)) if a != b]
+    own = {i: rng.randrange(3) for i in range(55)}
+    com = spark.createDataFrame(list(own.items()), "node long, community int")
+    walks = [(w, [rng.randrange(60) for _ in range(2)]) for w in range(6)]
+    seeds = spark.createDataFrame([(w, s, k) for w, ss in walks for k, s in enumerate(ss)], "walk long, node long, place long")
+    for prefer, depth, budget in ((True, 5, 40), (False, 4, 25)):
+        rows = G.traverse(_graph(spark, edges), com, seeds, depth, budget, prefer).orderBy("walk", "place").collect()
+        for w, ss in walks:
+            assert [(r["node"], r["depth"], r["boundaries"]) for r in rows if r["walk"] == w] == _walk(edges, own, ss, depth, budget, prefer), (w, prefer)
+
+
+def test_duplicate_context_refuses_what_is_too_large(spark):
+    edges = _graph(spark, [(i, i + 1) for i in range(140)]).withColumn("kind", F.lit("duplicate"))
+    seed = spark.createDataFrame([(130,)], "node long")
+    assert G.duplicate_context(edges.where("source >= 100"), seed)[0].count() == 41
+    with pytest.raises(ValueError, match="ids"):
+        G.duplicate_context(edges, seed, 12)
+    with pytest.raises(ValueError, match="seeds"):
+        G.duplicate_context(edges, spark.range(20).withColumnRenamed("id", "node"))
+
+
+def test_community_generations(spark):
+    members = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "node long, community string")
+    nodes = members.select("node")
+    assert {r["community"]: r["members"] for r in G.publish_communities(1, 2, members, nodes).collect()} == {"a": [1, 2], "b": [3]}
+    for args in ((1, 3, members, nodes), (1, 2, members, nodes.where("node < 3")), (1, 2, members.union(members), nodes)):
+        with pytest.raises(ValueError):
+            G.publish_communities(*args)
+
+
+def test_components_of_a_chain(spark):
+    got = dict(tuple(r) for r in G.components(_graph(spark, [(i, i + 1) for i in range(2000)])).collect())
+    assert got == dict.fromkeys(range(2001), 0)
+
+
+def test_cursors_are_bound_to_snapshot_and_query(spark):
+    rows = spark.range(300)
+    page, cursor = VR.page_cursor(rows, ["id"], 7, "all", None, 100)
+    assert [r["id"] for r in page.collect()] == list(range(100))
+    page, _ = VR.page_cursor(rows, ["id"], 7, "all", cursor, 100)
+    assert page.first()["id"] == 100
+    for cut, query in ((8, "all"), (7, "other")):
+        with pytest.raises(ValueError, match="cursor"):
+            VR.page_cursor(rows, ["id"], cut, query, cursor)
+
+
+def test_approvals_must_be_offered(spark):
+    offered = spark.createDataFrame([(1, 5), (1, 6)], "session long, id long")
+    assert AG.approved(offered, lambda o: o.where("id = 5")).count() == 1
+    for bad in (lambda o: o.union(o), lambda o: o.withColumn("id", F.col("id") + 10)):
+        with pytest.raises(Exception, match="repeated or not offered"):
+            AG.approved(offered, bad).collect()
+    searched = spark.createDataFrame([(1, 5)], "session long, id long")
+    assert AG.confirm(searched, searched.where("false"), searched).count() == 1
+    with pytest.raises(Exception, match="not evaluated"):
+        AG.confirm(searched, searched.where("false"), offered).collect()
+
+
+def test_centroids_equal_a_loop(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 6)).astype(np.float32)
+    community = rng.integers(0, 4, 300)
+    rows = [(int(i), int(community[i]), x[i].tolist()) for i in range(300)] + [(900, 9, [1.0] * 6), (901, 9, [0.0, 1.0, 0.0, 0.0, 0.0, 0.0])]
+    got = collections.defaultdict(dict)
+    for r in R.community_centroids(spark.createDataFrame(rows, "id long, c int, v array<float>"), "c", "id", "v").collect():
+        got[r["c"]][r["centroid_no"]] = r["centroid"]
+    for c in range(4):
+        m = x[community == c]
+        unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+        mean = m.mean(0)
+        seeds = [int(np.argmax(unit @ mean))]
+        while len(seeds) < 4:
+            near = (unit @ unit[seeds].T).max(1)
+            near[seeds] = np.inf
+            seeds.append(int(np.argmin(near)))
+        cent = m[seeds].copy()
+        for _ in range(2):
+            own = np.argmax(unit @ (cent / np.linalg.norm(cent, axis=1, keepdims=True)).T, axis=1)
+            cent = np.stack([m[own == j].mean(0) if (own == j).any() else cent[j] for j in range(4)])
+        assert np.allclose(cent, np.array([got[c][j] for j in range(4)]), atol=1e-5)
+    assert len(got[9]) == 2
 
 
 def test_freshness_history_folds_the_whole_table(spark, tmp_path):
