@@ -8,11 +8,11 @@ proportion), decided by a hash of its id, so a rerun picks the same documents.
 Targets default to the corpus shares tempered by an exponent, which lifts small sources and languages.
 
 Only cell totals leave the executors, and only while there are at most ``MAX_CELLS``; with more cells the raking
-itself runs as joins and aggregations on a table of cells.
+itself runs as joins and aggregations on a table of cells, with the same targets, rounds, tolerance and results.
 
 Defined results: null source, language or text count as values of their own ("", and no tokens); a document
 without words weighs one token, so that it has a cell; rows that repeat an id are kept or dropped together; an
-empty table gives no rows; the input's columns are kept.
+empty table gives no rows; the input's columns are kept, but for one named like the struct that is added.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import drop, materialise
+from .scratch import drop, materialise, packed, quoted
 
 DIMENSIONS = ("source", "lang", "topic")
 MAX_CELLS = 100_000
@@ -46,17 +46,14 @@ def topic(text: Column) -> Column:
     )
 
 
-def with_cells(docs: DataFrame) -> DataFrame:
-    """Add the struct ``_mix``: source, lang, topic, tokens."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn(
-        "_mix",
-        F.struct(
-            F.coalesce(F.col("source"), F.lit("")).alias("source"),
-            F.coalesce(F.col("lang"), F.lit("")).alias("lang"),
-            topic(text).alias("topic"),
-            F.greatest(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(1)).cast("long").alias("tokens"),
-        ),
+def _cell(topics: Column | None = None) -> Column:
+    """Source, language, topic and tokens of ``row``."""
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    return F.struct(
+        F.coalesce(F.col("row.source").cast("string"), F.lit("")).alias("source"),
+        F.coalesce(F.col("row.lang").cast("string"), F.lit("")).alias("lang"),
+        F.coalesce(topic(text) if topics is None else topics, F.lit("")).alias("topic"),
+        F.greatest(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(1)).cast("long").alias("tokens"),
     )
 
 
@@ -98,52 +95,58 @@ def probabilities(cells: dict[tuple, float], weights: dict[tuple, float], budget
         full |= over
 
 
-def _rake_table(cells: DataFrame, power: float, budget: float, rounds: int = 12) -> DataFrame:
-    """The same on a table of cells: a join and an aggregation for each marginal, lineage cut each round."""
-    total = cells.agg(F.sum("tokens")).first()[0]
-    w = cells.withColumn("w", F.col("tokens") / F.lit(float(total)))
-    goals = {}
-    for d in DIMENSIONS:
-        raised = cells.groupBy(d).agg((F.sum("tokens") / F.lit(float(total)) ** 1).alias("_g")).withColumn("_g", F.pow("_g", F.lit(power)))
-        scale = raised.agg(F.sum("_g")).first()[0]
-        goals[d] = materialise(raised.withColumn("_g", F.col("_g") / F.lit(scale)), "goal")
+def _goal(spark, cells: DataFrame, d: str, total: float, target: dict[str, float] | None, power: float) -> DataFrame:
+    if target:
+        return spark.createDataFrame([(str(k), float(x)) for k, x in target.items()], f"{d} string, goal double")
+    raised = cells.groupBy(d).agg(F.pow(F.sum("tokens") / F.lit(total), F.lit(power)).alias("goal"))
+    return raised.withColumn("goal", F.col("goal") / F.lit(raised.agg(F.sum("goal")).first()[0]))
+
+
+def _rake_table(cells: DataFrame, targets: dict[str, dict[str, float]] | None, power: float, budget: float) -> DataFrame:
+    """``rake`` and ``probabilities`` on a table of cells: a join and an aggregation for each marginal, lineage cut each round."""
+    spark = cells.sparkSession
+    total = float(cells.agg(F.sum("tokens")).first()[0])
+    w = cells.withColumn("w", F.col("tokens") / F.lit(total))
+    goals = {d: materialise(_goal(spark, cells, d, total, (targets or {}).get(d), power), "goal") for d in DIMENSIONS}
     last = None
-    for _ in range(rounds):
+    for _ in range(ROUNDS):
+        worst = 0.0
         for d in DIMENSIONS:
-            now = w.groupBy(d).agg(F.sum("w").alias("_now")).join(goals[d], d)
-            w = w.join(now, d).withColumn("w", F.col("w") * F.col("_g") / F.col("_now")).drop("_now", "_g")
-        w = materialise(w.select(*DIMENSIONS, "tokens", "w"), "rake")
-        if last is not None:
-            drop(last)
-        last = w
+            now = materialise(w.groupBy(d).agg(F.sum("w").alias("now")).join(goals[d], d, "left").select(d, "now", F.coalesce("goal", F.lit(0.0)).alias("goal")), "marginal")
+            worst = max(worst, now.agg(F.max(F.abs(F.col("goal") - F.col("now")))).first()[0])
+            factor = now.select(d, F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(0.0).alias("factor"))
+            w = w.join(factor, d).withColumn("w", F.col("w") * F.col("factor")).select(*DIMENSIONS, "tokens", "w")
+            w = materialise(w, "rake")
+            if last is not None:
+                drop(last)
+            last = w
+        if worst < TOLERANCE:
+            break
     want = budget * total
-    full = w.where("false")
-    for _ in range(30):
+    full = materialise(w.where("false"), "full")
+    while True:
         room = want - (full.agg(F.sum("tokens")).first()[0] or 0)
         free = w.join(full.select(*DIMENSIONS), list(DIMENSIONS), "left_anti")
         rest = free.agg(F.sum("w")).first()[0] or 0.0
         scale = room / rest if rest > 0 else 0.0
-        bigger = materialise(full.unionByName(free.where(F.col("w") * F.lit(scale) >= F.col("tokens"))), "full")
-        if bigger.count() == full.count():
+        over = materialise(free.where(F.col("w") * F.lit(scale) >= F.col("tokens")), "over")
+        if over.isEmpty():
             break
-        full = bigger
-    p = F.least(F.lit(1.0), F.col("w") * F.lit(float(scale)) / F.col("tokens"))
-    return w.select(*DIMENSIONS, F.col("w").alias("weight"), p.alias("probability"))
+        full = materialise(full.unionByName(over), "full")
+    given = full.select(*DIMENSIONS, F.lit(1.0).alias("given"))
+    p = F.coalesce("given", F.greatest(F.lit(0.0), F.col("w") * F.lit(float(scale)) / F.col("tokens")))
+    return w.join(given, list(DIMENSIONS), "left").select(*DIMENSIONS, F.col("w").alias("weight"), p.alias("probability"))
 
 
-def calibrated(
-    docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = TEMPER, budget: float = BUDGET,
-    max_cells: int = MAX_CELLS,
-) -> DataFrame:
-    """The documents with ``_mix``, ``_weight`` (of the cell), ``_probability`` and ``_picked``."""
-    spark = docs.sparkSession
-    df = docs if "_mix" in docs.columns else with_cells(docs)
-    cells = materialise(df.groupBy(*[F.col(f"_mix.{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("_mix.tokens").alias("tokens")), "cells")
+def _weighed(df: DataFrame, targets: dict[str, dict[str, float]] | None, power: float, budget: float, max_cells: int) -> DataFrame:
+    """(row, cell) with weight, probability and picked."""
+    spark = df.sparkSession
+    cells = materialise(df.groupBy(*[F.col(f"cell.{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("cell.tokens").alias("tokens")), "cells")
     few = cells.limit(max_cells + 1).count() <= max_cells
     if few:
         table = {tuple(r[:3]): float(r[3]) for r in cells.collect()}  # at most max_cells rows
         if not table:
-            return df.withColumns({"_weight": F.lit(0.0), "_probability": F.lit(0.0), "_picked": F.lit(False)})
+            return df.withColumns({"weight": F.lit(0.0), "probability": F.lit(0.0), "picked": F.lit(False)})
         goals = []
         for k, d in enumerate(DIMENSIONS):
             shares: dict[str, float] = defaultdict(float)
@@ -153,27 +156,37 @@ def calibrated(
         weights = rake(table, goals)
         p = probabilities(table, weights, budget)
         rows = [(*k, float(weights[k]), float(p[k])) for k in sorted(table)]
-        schema = "source string, lang string, topic string, weight double, probability double"
-        found = spark.createDataFrame(rows, schema)
+        found = spark.createDataFrame(rows, "source string, lang string, topic string, weight double, probability double")
     else:
-        found = _rake_table(cells, power, budget)
-    found = found.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], F.col("weight").alias("_weight"), F.col("probability").alias("_probability"))
-    same = [F.col(f"_mix.{d}") == F.col(f"_{d}") for d in DIMENSIONS]
-    joined = df.join(F.broadcast(found) if few else found, same).drop(*[f"_{d}" for d in DIMENSIONS])
-    chance = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col("doc_id")), 11)) / F.lit(float(1 << 53))
-    return joined.withColumn("_picked", chance < F.col("_probability"))
+        found = _rake_table(cells, targets, power, budget)
+    same = [F.col(f"cell.{d}") == F.col(d) for d in DIMENSIONS]
+    joined = df.join(F.broadcast(found) if few else found, same)
+    chance = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col("row.doc_id")), 11) / F.lit(float(1 << 53))
+    return joined.select("row", "cell", "weight", "probability", (chance < F.col("probability")).alias("picked"))
+
+
+def calibrated(
+    docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = TEMPER, budget: float = BUDGET,
+    max_cells: int = MAX_CELLS, topics: str | None = None, into: str = "_mix",
+) -> DataFrame:
+    """The documents with the struct ``into``: source, lang, topic, tokens, weight (of the cell), probability and picked.
+
+    ``topics`` names a column that holds topics; without it a coarse form of the text stands for one."""
+    own = None if topics is None else F.col(f"row.{quoted(topics)}").cast("string")
+    done = _weighed(packed(docs).withColumn("cell", _cell(own)), targets, power, budget, max_cells)
+    kept = [F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns if c.lower() != into.lower()]
+    return done.select(*kept, F.struct("cell.*", "weight", "probability", "picked").alias(into))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The sampled documents, with the columns they came with."""
-    return calibrated(docs, **options).where("_picked").select(*[F.col(f"`{c}`") for c in docs.columns])
+    topics = options.pop("topics", None)
+    own = None if topics is None else F.col(f"row.{quoted(topics)}").cast("string")
+    usual = {"targets": None, "power": TEMPER, "budget": BUDGET, "max_cells": MAX_CELLS}
+    return _weighed(packed(docs).withColumn("cell", _cell(own)), **(usual | options)).where("picked").select("row.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    m = F.col("_mix")
-    slim = materialise(with_cells(docs).select("doc_id", "_mix"), "cells-of-documents")  # the texts are read once
-    return calibrated(slim).select(
-        "doc_id", m["source"].alias("source"), m["lang"].alias("lang"), m["topic"].alias("topic"),
-        m["tokens"].alias("tokens"), F.col("_weight").alias("weight"), F.col("_probability").alias("probability"),
-        F.col("_picked").alias("selected"),
-    )
+    cells = packed(docs).select(F.struct("row.doc_id").alias("row"), _cell().alias("cell"))
+    done = _weighed(materialise(cells, "cells-of-documents"), None, TEMPER, BUDGET, MAX_CELLS)  # the texts are read once
+    return done.select("row.doc_id", "cell.source", "cell.lang", "cell.topic", "cell.tokens", "weight", "probability", F.col("picked").alias("selected"))

@@ -6,13 +6,16 @@ label.  A small network on measures of a text's form minimises the non-negative
     prior * R_P(+) + max(0, R_U(-) - prior * R_P(-))
 
 with the logistic loss; where the second part is negative, its gradient is followed backwards.  The class prior
-is the share of good rows among the training labels, smoothed; rows labelled bad serve nothing else.
+is estimated from positives and unlabelled text alone: a network that tells them apart is learned on one half of the
+sample, and on the other half the share of unlabelled texts above a score is divided by that of positives, at the
+score where the bound of that ratio is least.  Rows labelled bad serve nothing.
 
-Learning reads at most ``FIT_POSITIVE`` positives and ``FIT_UNLABELLED`` other rows, chosen by a hash of the id;
-scoring reads all whole texts.
+Learning reads at most ``FIT_POSITIVE`` positives and ``FIT_UNLABELLED`` other texts, chosen by a hash of the id, one
+for each id; scoring reads all whole texts.
 
 Defined results: null or empty texts have measures of 0 and a score like any other; rows that repeat an id are
-scored one by one; without positives all scores are the prior; an empty table gives no rows.
+scored one by one, and the least of their measures is learned from; without positives all scores are 0.5; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -88,8 +91,10 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.forward(self.inputs(x))[1], -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, batch: int = 512, rate: float = 0.01, decay: float = 1e-4) -> Network:
-    """Adam on the non-negative risk."""
+def fit(
+    positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, epochs: int = 60, batch: int = 512, rate: float = 0.01, decay: float = 1e-4
+) -> Network:
+    """Adam on the non-negative risk; without a prior, on the risk of telling positives from unlabelled texts."""
     both = np.vstack([positive, unlabelled])
     net = Network(both.mean(0), both.std(0) + 1e-3)
     zp, zu = net.inputs(positive), net.inputs(unlabelled)
@@ -106,10 +111,11 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int
             p = zp[rng.integers(0, len(zp), min(batch, len(zp)))]
             ap, gp = net.forward(p)
             au, gu = net.forward(u)
-            risk = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()  # of the negatives, unbiased
-            minus = [x - y for x, y in zip(net.gradient(u, au, sigmoid(gu) / len(u)), net.gradient(p, ap, prior * sigmoid(gp) / len(p)))]
+            part = prior or 0.0
+            risk = np.logaddexp(0, gu).mean() - part * np.logaddexp(0, gp).mean()  # of the negatives, unbiased
+            minus = [x - y for x, y in zip(net.gradient(u, au, sigmoid(gu) / len(u)), net.gradient(p, ap, part * sigmoid(gp) / len(p)))]
             if risk >= 0:
-                plus = net.gradient(p, ap, -prior * sigmoid(-gp) / len(p))
+                plus = net.gradient(p, ap, -(prior or 1.0) * sigmoid(-gp) / len(p))
                 grad = [x + y for x, y in zip(plus, minus)]
             else:
                 grad = [-x for x in minus]
@@ -123,22 +129,40 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int
     return net
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, confidence: float = 0.1) -> float:
+    """The share of positives among unlabelled texts."""
+    rng = np.random.default_rng(8)
+    p, u = rng.permutation(len(positive)), rng.permutation(len(unlabelled))
+    halves = lambda x, at: (x[at[: len(at) // 2]], x[at[len(at) // 2 :]])
+    (p1, p2), (u1, u2) = halves(positive, p), halves(unlabelled, u)
+    if not len(p1) or not len(u1):
+        return 0.5
+    net = fit(p1, u1, None, epochs=20)
+    sp, su = np.sort(net.score(p2)), np.sort(net.score(u2))
+    above = lambda s, at: 1 - np.searchsorted(s, at, side="left") / len(s)
+    at = sp[: max(1, int(0.99 * len(sp)))]
+    ratio = above(su, at) / above(sp, at)
+    slack = ((np.log(4 / confidence) / 2) ** 0.5 * (len(su) ** -0.5 + len(sp) ** -0.5)) / above(sp, at)
+    return float(min(max(ratio[np.argmin(ratio + slack)], 0.01), 0.98))
+
+
 def scored(docs: DataFrame, labels: DataFrame, held_out) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row; rows where ``held_out`` holds are never learned from."""
+    """doc_id, held_out, score, predicted, class_prior for every row; rows where ``held_out`` holds are never learned from."""
     python_ready(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marks = labels.where("doc_id is not null and quality is not null").where(~held_out).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("good"))
-    n, good = marks.agg(F.count("*"), F.sum("good")).first()
-    prior = min(0.98, ((good or 0) + 1) / (n + 2))
-    chance = F.xxhash64(F.lit(13), "doc_id")
-    positive = marks.where("good = 1").orderBy(chance, "doc_id").limit(FIT_POSITIVE).select("doc_id", F.lit(1).alias("p"))
-    ids = texts.where("doc_id is not null").where(~held_out).select("doc_id")
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("good")).where("doc_id is not null and good is not null")
+    good = marks.where(~held_out).groupBy("doc_id").agg(F.max("good").alias("good")).where("good = 1")
+    ids = texts.where("doc_id is not null").where(~held_out).select("doc_id").distinct()
+    positive = ids.join(good, "doc_id", "left_semi").orderBy(F.xxhash64(F.lit(13), "doc_id"), "doc_id").limit(FIT_POSITIVE).select("doc_id", F.lit(1).alias("p"))
     unlabelled = ids.orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id").limit(FIT_UNLABELLED).select("doc_id", F.lit(0).alias("p"))
     chosen = materialise(positive.unionByName(unlabelled), "chosen")
     picked = texts.join(chosen.select("doc_id").distinct(), "doc_id")
-    rows = picked.mapInArrow(_measured, SCHEMA).join(chosen, "doc_id").select("p", "x").toPandas()
+    learned = picked.mapInArrow(_measured, SCHEMA).groupBy("doc_id").agg(F.min("x").alias("x"))
+    rows = learned.join(chosen, "doc_id").select("p", "x").toPandas()  # at most FIT_POSITIVE + FIT_UNLABELLED rows
     x, p = np.array(rows["x"].tolist()).reshape(-1, N_MEASURES), rows["p"].to_numpy()
-    net = fit(x[p == 1], x[p == 0], prior) if (p == 1).any() and (p == 0).any() else None
+    able = (p == 1).any() and (p == 0).any()
+    prior = estimated_prior(x[p == 1], x[p == 0]) if able else 0.5
+    net = fit(x[p == 1], x[p == 0], prior) if able else None
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _measured(batches):
@@ -147,8 +171,8 @@ def scored(docs: DataFrame, labels: DataFrame, held_out) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
     done = texts.mapInArrow(score, "doc_id bigint, score double")
-    return done.select("doc_id", held_out.alias("held_out"), "score").withColumn(
-        "predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0)
+    return done.select(
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"), F.lit(prior).alias("class_prior")
     )
 
 

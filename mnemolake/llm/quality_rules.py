@@ -4,8 +4,8 @@ Every metric is a column expression and every rule a comparison on metrics, so t
 map without a shuffle, whatever the size of the table.
 
 Defined results: a null or empty text has no words and fails; repeated rows are judged one by one; an
-empty table gives no rows; columns of the input are kept by ``apply_rules`` and metrics go into one struct,
-so names cannot clash.
+empty table gives no rows; columns of the input are kept by ``judge`` and ``apply_rules``, but for those named
+like the three that ``judge`` adds.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import packed, quoted
+
 WORD_GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 
@@ -119,22 +121,25 @@ def base_failed(into: str = "_q", min_words: int = MIN_WORDS, max_repeat: int =
     return (q["n_words"] < min_words) | (100 * q["n_repeat_words"] > max_repeat * q["n_words"])
 
 
+def _judged(docs: DataFrame, rules: tuple[Rule, ...], text_col: str) -> DataFrame:
+    """(row, q, base_failed, kept)"""
+    df = packed(docs).withColumn("content", F.col(f"row.{quoted(text_col)}"))
+    df = with_metrics(df, "content", "q").withColumn("base_failed", base_failed("q"))
+    return df.withColumn("kept", ~F.col("base_failed") & compile_rules(rules, "q"))
+
+
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """The documents with the struct ``_q`` of metrics and booleans ``_base_failed`` and ``_kept``."""
-    df = with_metrics(docs, text_col).withColumn("_base_failed", base_failed())
-    return df.withColumn("_kept", ~F.col("_base_failed") & compile_rules(rules))
+    rest = [F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns if c.lower() not in ("_q", "_base_failed", "_kept")]
+    done = _judged(docs, rules, text_col)
+    return done.select(*rest, F.col("q").alias("_q"), F.col("base_failed").alias("_base_failed"), F.col("kept").alias("_kept"))
 
 
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    return judge(docs, rules, text_col).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _judged(docs, rules, text_col).where("kept").select("row.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    q = F.col("_q")
-    return judge(docs).select(
-        "doc_id",
-        *[q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-        F.col("_base_failed").alias("base_failed"),
-        F.col("_kept").alias("kept"),
-    )
+    done = _judged(docs.select("doc_id", "text"), RULES, "text")
+    return done.select("row.doc_id", *[f"q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")

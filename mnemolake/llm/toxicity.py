@@ -8,11 +8,11 @@ a log-odds weight, kept where the likelihood ratio stands out among all beginnin
 longest entry.  Exception phrases (an entry with the word before or after it) are learned from clean documents and
 their hits do not count.  Weights per length and in total go through a logistic curve.
 
-Learning reads at most ``FIT_TOXIC`` + ``FIT_CLEAN`` labelled rows, chosen by a hash of the id; scoring reads all.
+Learning reads at most ``FIT_TOXIC`` + ``FIT_CLEAN`` labelled texts, chosen by a hash of the id, one for each id; scoring reads all.
 The lexicon, at most ``LEXICON`` entries, and ``EXCEPTIONS`` phrases go to every task.
 
-Defined results: null or empty texts score as texts without hits; rows that repeat an id are scored one by one;
-without labelled rows nothing is learned and all scores are 0; an empty table gives no rows.
+Defined results: null or empty texts score as texts without hits; rows that repeat an id are scored one by one, and the
+least text of each id is learned from; without labelled rows nothing is learned and all scores are 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -178,7 +178,8 @@ def scored(docs: DataFrame, labels: DataFrame, held_out) -> DataFrame:
     chance = F.xxhash64(F.lit(11), "doc_id")
     few = lambda k, n: marks.where(F.col("toxic") == k).orderBy(chance, "doc_id").limit(n)
     chosen = materialise(few(1, FIT_TOXIC).unionByName(few(0, FIT_CLEAN)), "chosen")
-    sample = materialise(texts.join(chosen, "doc_id"), "sample")
+    one = texts.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    sample = materialise(one, "sample")
     size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     lexicon: dict[str, float] = {}
     exceptions: frozenset[str] = frozenset()
