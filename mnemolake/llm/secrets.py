@@ -4,14 +4,15 @@ DataFrame functions only.  Places of matches come from splitting a text at its m
 of pieces; sums run in blocks, so a text with many matches costs no quadratic work.  Offsets are code points,
 ends exclusive.
 
-Entropy: a candidate is a maximal run of key characters.  A window slides over it; its entropy changes only by
-the character that leaves and the one that enters, so each step recounts those two (``log2 W - S / W`` with
-``S`` the sum of c * log2 c over the counts).  The largest value counts, against a threshold for the
-candidate's character class.  Allow-listed forms (single-case words, identifiers joined from words, UUIDs,
-decimal numbers, one character repeated) are suppressed.
+Entropy: a candidate is a maximal run of key characters.  A window slides over it; counts of its characters are
+carried from step to step, one taken off for the character that leaves and one added for the one that enters, and
+with them the sum S of c * log2 c over the counts, so that the window's entropy is log2 W - S / W.  A window's
+character class is the narrowest that holds all its characters, counted the same way, and each class has its own
+threshold; a candidate is a secret if a window of it reaches the threshold of its class.  Candidates on the
+allow-list are suppressed: UUIDs, and names made of words and short numbers joined by marks.  All patterns are linear.
 
 Defined results: a null text counts as empty and has no spans; repeated rows are scanned one by one; an empty
-table gives no rows; the input's columns are kept by ``scan``.
+table gives no rows; the input's columns are kept by ``scan``, but for those named like the two that it adds.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import packed, quoted
+
 #: Fixed patterns: kind, pattern, group whose length counts, least length.
 BASE = (
     (
@@ -34,13 +37,17 @@ BASE = (
 )
 CANDIDATE = r"[A-Za-z0-9+/=_-]{20,}"
 WINDOW = 20
-#: Bits a character at least, by class of the candidate.
+#: Bits a character at least, by class of the window; windows of digits only are no secrets.
 THRESHOLDS = {"hex": 2.9, "alnum": 3.4, "base64": 3.5}
-ALLOW = (
-    r"^[a-z]+$|^[A-Z]+$|^[A-Z]?[a-z]+$|^[0-9=+/_-]+$|^(.)\1+$"
-    r"|^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-    r"|^[A-Za-z]+([-_/=+]+[A-Za-z]*)+$|^[-_/=+]*([A-Z]?[a-z]+)+[-_/=+]*$"
-)
+UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+#: In names of words and numbers no letter touches a digit, and numbers are short.
+NO_NAME = "[0-9][A-Za-z]|[A-Za-z][0-9]|[0-9]{5}"
+#: Windows that begin in the same so many characters are taken together.
+CHUNK = 1024
+FIRST_CODE, LAST_CODE = ord("+"), ord("z")
+#: A count takes 5 bits, and 12 counts a long.
+COUNT, PACKED = 32, 12
+LONGS = (LAST_CODE - FIRST_CODE) // PACKED + 1
 BLOCK = 256
 SPAN = "array<struct<start:bigint,ord:int,end:bigint,kind:string,size:bigint>>"
 
@@ -107,55 +114,110 @@ def _spans(df: DataFrame, text: str, pattern: str, group: int, least: int, kind:
     return df.withColumn(into, F.when(lengths.isNotNull(), kept).otherwise(F.array().cast(SPAN))).drop(f"{into}_m")
 
 
-def window_entropy(s: Column, width: int = WINDOW) -> Column:
-    """The largest entropy, bits a character, of the windows of ``width`` characters in ``s``."""
-    weight = [c * math.log2(c) if c else 0.0 for c in range(width + 1)]
-    table = F.array(*[F.lit(x) for x in weight])
-    at = lambda c: F.get(table, c)
-    count = lambda part, ch: F.length(part) - F.length(F.replace(part, ch, F.lit("")))
-    first = F.substring(s, 1, width)
-    letters = F.array_distinct(F.split(first, ""))
-    start = F.aggregate(letters, F.lit(0.0), lambda acc, ch: acc + F.when(ch == "", 0.0).otherwise(at(count(first, ch))))
-
-    def step(acc: Column, i: Column) -> Column:
-        # the window of width - 1 characters that both share, the one that leaves and the one that enters
-        shared = F.substr(s, i + 1, F.lit(width - 1))
-        gone, new = F.substr(s, i, F.lit(1)), F.substr(s, i + width, F.lit(1))
-        a, b = count(shared, gone), count(shared, new)
-        total = acc["s"] + at(a) - at(a + 1) + at(b + 1) - at(b)
-        return F.struct(total.alias("s"), F.least(acc["low"], total).alias("low"))
-
-    steps = F.when(F.length(s) > width, F.sequence(F.lit(1), F.length(s) - width)).otherwise(F.array().cast("array<int>"))
-    low = F.aggregate(
-        steps, F.struct(start.alias("s"), start.alias("low")), step, lambda acc: acc["low"]
-    )
-    return F.lit(math.log2(width)) - low / F.lit(float(width))
+def _ints(values: list[int]) -> Column:
+    return F.array(*[F.lit(x) for x in values])
+
+
+def _codes(s: Column) -> Column:
+    """Characters as numbers: place from ``FIRST_CODE``, plus 128, 256 and 512 if no digit, no hex digit, no letter or digit."""
+    known = []
+    for c in map(chr, range(128)):
+        place = min(max(ord(c), FIRST_CODE), LAST_CODE) - FIRST_CODE
+        known.append(place + 128 * (not c.isdigit()) + 256 * (c not in "0123456789abcdefABCDEF") + 512 * (not c.isalnum()))
+    return F.transform(F.slice(F.split(s, ""), F.lit(1), F.length(s)), lambda c: F.get(_ints(known), F.least(F.ascii(c), F.lit(127))))
+
+
+def _whole(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b)
+
+
+class _Window:
+    """Counts of a window's characters and what follows from them, as a struct that ``aggregate`` carries."""
+
+    def __init__(self, width: int):
+        self.width = width
+        self.weight = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(width + 1)])
+        self.units = F.array(*[F.lit(COUNT ** (k % PACKED)).cast("long") for k in range(LONGS * PACKED)])
+
+    def empty(self) -> Column:
+        zero = F.lit(0).cast("long")
+        return F.struct(*[zero.alias(f"c{k}") for k in range(LONGS)], *[F.lit(0).alias(x) for x in ("nd", "nh", "na")], F.lit(0.0).alias("s"), F.lit(-1e9).alias("best"))
+
+    def change(self, acc: Column, code: Column, by: int) -> Column:
+        """One character more or less."""
+        place = F.pmod(code, F.lit(128))
+        group = _whole(place, F.lit(PACKED))
+        unit = F.get(self.units, place)
+        own = F.when(group == 0, acc["c0"])
+        for k in range(1, LONGS):
+            own = own.when(group == k, acc[f"c{k}"])
+        count = F.pmod(_whole(own, unit), F.lit(COUNT)).cast("int")
+        bit = lambda n: F.pmod(_whole(code, F.lit(n)), F.lit(2)).cast("int")
+        return F.struct(
+            *[(acc[f"c{k}"] + F.when(group == k, by * unit).otherwise(F.lit(0).cast("long"))).alias(f"c{k}") for k in range(LONGS)],
+            *[(acc[x] + by * bit(n)).alias(x) for x, n in (("nd", 128), ("nh", 256), ("na", 512))],
+            (acc["s"] + F.get(self.weight, count + by) - F.get(self.weight, count)).alias("s"),
+            acc["best"].alias("best"),
+        )
+
+    def judged(self, acc: Column) -> Column:
+        """The best margin over a threshold so far, with the window as it is now."""
+        bits = F.lit(math.log2(self.width)) - acc["s"] / float(self.width)
+        least = F.when(acc["nh"] == 0, THRESHOLDS["hex"]).when(acc["na"] == 0, THRESHOLDS["alnum"]).otherwise(THRESHOLDS["base64"])
+        return F.greatest(acc["best"], F.when(acc["nd"] == 0, F.lit(-1e9)).otherwise(bits - least))
+
+
+def window_margin(s: Column, width: int = WINDOW) -> Column:
+    """By how many bits a character the entropy of a window of ``width`` characters passes the threshold of its class, at most."""
+    w = _Window(width)
+
+    def of_chunk(chunk: Column) -> Column:
+        codes = _codes(chunk)
+        more = F.greatest(F.length(chunk) - width, F.lit(0))
+        moves = F.zip_with(F.slice(codes, F.lit(1), more), F.slice(codes, F.lit(width + 1), more), lambda out, new: out * 1024 + new)
+        first = F.aggregate(F.slice(codes, F.lit(1), F.lit(width)), w.empty(), lambda acc, c: w.change(acc, c, 1))
+
+        def step(acc: Column, move: Column) -> Column:
+            # two changes, each on a struct bound once, then the verdict
+            less = F.transform(F.array(acc), lambda a: w.change(a, _whole(move, F.lit(1024)).cast("int"), -1))
+            both = F.transform(less, lambda a: w.change(a, F.pmod(move, F.lit(1024)), 1))
+            return F.get(F.transform(both, lambda a: a.withField("best", w.judged(a))), F.lit(0))
+
+        begun = F.get(F.transform(F.array(first), lambda a: a.withField("best", w.judged(a))), F.lit(0))
+        return F.when(F.length(chunk) >= width, F.aggregate(moves, begun, step, lambda acc: acc["best"])).otherwise(-1e9)
+
+    chunks = F.regexp_extract_all(s, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    after = F.concat(F.slice(F.transform(chunks, lambda c: F.substring(c, 1, width - 1)), F.lit(2), F.size(chunks)), F.array(F.lit("")))
+    return F.array_max(F.zip_with(chunks, after, lambda c, n: of_chunk(F.concat(c, n))))
 
 
 def _is_secret(s: Column) -> Column:
-    bits = window_entropy(s)
-    least = (
-        F.when(s.rlike("^[0-9a-fA-F]+$"), THRESHOLDS["hex"])
-        .when(s.rlike("^[0-9A-Za-z]+$"), THRESHOLDS["alnum"])
-        .otherwise(THRESHOLDS["base64"])
-    )
-    return s.rlike("[0-9]") & s.rlike("[A-Za-z]") & ~s.rlike(ALLOW) & (bits >= least)
+    named = s.rlike(UUID) | (s.rlike("^[A-Za-z]") & ~s.rlike(NO_NAME))
+    return s.rlike("[0-9]") & s.rlike("[A-Za-z]") & ~named & (window_margin(s) >= 0)
 
 
-def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``_base`` and ``_spans``: arrays of structs (start, ord, end, kind), sorted."""
-    df = docs.withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
+def scan(docs: DataFrame, text_col: str = "text", base_col: str = "_base", spans_col: str = "_spans") -> DataFrame:
+    """Add ``base_col`` and ``spans_col``: arrays of structs (start, ord, end, kind, size), sorted."""
+    df = packed(docs).withColumn("t", F.coalesce(F.col(f"row.{quoted(text_col)}"), F.lit("")))
     for k, (kind, pattern, group, least) in enumerate(BASE):
-        df = _spans(df, "_t", pattern, group, least, kind, k, f"_{kind}").drop(f"_{kind}_l")
-    df = df.withColumn("_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
-    df = _spans(df, "_t", CANDIDATE, 0, WINDOW, "entropy", len(BASE), "_cand")
-    base = F.col("_base")
+        df = _spans(df, "t", pattern, group, least, kind, k, kind).drop(f"{kind}_l")
+    df = df.withColumn("base", F.array_sort(F.concat(*[k for k, *_ in BASE])))
+    df = _spans(df, "t", CANDIDATE, 0, WINDOW, "entropy", len(BASE), "found")
+    base, blocks = F.col("base"), F.col("blocks")
+    block = lambda b: F.slice(base, b * BLOCK + 1, F.lit(BLOCK))
+    # base spans in blocks with their bounds, so a text with many spans and many candidates stays cheap
+    df = df.withColumn("blocks", F.transform(
+        F.filter(F.sequence(F.lit(0), F.ceil(F.size(base) / F.lit(BLOCK)).cast("int")), lambda b: b * BLOCK < F.size(base)),
+        lambda b: F.struct(F.get(base, b * BLOCK)["start"].alias("start"), F.array_max(F.transform(block(b), lambda x: x["end"])).alias("end"), block(b).alias("spans")),
+    ))
+    meets = lambda b, c: (b["start"] < c["end"]) & (c["start"] < b["end"])
     strong = F.filter(
-        F.zip_with("_cand", "_cand_l", lambda c, x: F.struct(c.alias("c"), x["m"].alias("m"))),
-        lambda x: _is_secret(x["m"]) & ~F.exists(base, lambda b: (b["start"] < x["c"]["end"]) & (x["c"]["start"] < b["end"])),
+        F.zip_with("found", "found_l", lambda c, x: F.struct(c.alias("c"), x["m"].alias("m"))),
+        lambda x: ((F.size(blocks) == 0) | ~F.exists(blocks, lambda b: meets(b, x["c"]) & F.exists(b["spans"], lambda y: meets(y, x["c"])))) & _is_secret(x["m"]),
     )
-    extra = F.when(F.size("_cand") > 0, F.transform(strong, lambda x: x["c"])).otherwise(F.array().cast(SPAN))
-    return df.withColumn("_spans", F.array_sort(F.concat(base, extra))).drop("_t", "_cand", "_cand_l")
+    extra = F.when(F.size("found") > 0, F.transform(strong, lambda x: x["c"])).otherwise(F.array().cast(SPAN))
+    kept = [F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns if c.lower() not in (base_col.lower(), spans_col.lower())]
+    return df.select(*kept, base.alias(base_col), F.array_sort(F.concat(base, extra)).alias(spans_col))
 
 
 def _text_of(spans: Column) -> Column:
@@ -163,10 +225,8 @@ def _text_of(spans: Column) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    done = scan(docs.select("doc_id", "text"))
-    return done.select(
-        "doc_id",
-        *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
-        F.sha2(_text_of(F.col("_base")).cast("binary"), 256).alias("base_sha256"),
-        _text_of(F.col("_spans")).alias("spans"),
+    base, spans = F.col("base"), F.col("spans")
+    of = lambda kind: F.size(F.filter(base, lambda b: b["kind"] == kind)).cast("long")
+    return scan(docs.select("doc_id", "text"), base_col="base", spans_col="spans").select(
+        "doc_id", *[of(k).alias(f"n_{k}") for k, *_ in BASE], F.sha2(_text_of(base).cast("binary"), 256).alias("base_sha256"), _text_of(spans).alias("spans")
     )
