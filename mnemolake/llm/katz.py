@@ -1,10 +1,10 @@
 """Language-model scoring: a Katz backoff bigram model with Good-Turing discounts.
 
-Counts never travel as one row a token.  Documents are packed into blocks (one for each Arrow batch): the block's
-vocabulary as sorted hashes, the tokens as places in it.  A block asks for global counts once for each of its
+Counts never travel as one row a token.  Documents are packed into blocks of about a million tokens: the block's
+vocabulary as hashes, the tokens as places in it.  A block asks for global counts once for each of its
 distinct words, and once for each of its distinct bigrams, by lists of hashes dealt to buckets; a bucket merges the
-lists of all blocks, counts, and answers each list in its own order.  So a bigram costs about 8 bytes for each
-block that holds it, and nothing if its first word occurs in one block only: all of that word's bigrams are there,
+lists of all blocks, counts, and answers each list in its own order.  Words get numbers with their counts, small for
+frequent ones, and bigrams travel as ascending numbers, so one costs about 3 bytes for each block that holds it, and nothing if its first word occurs in one block only: all of that word's bigrams are there,
 and the block counts them itself.  Blocks lie in a table bucketed by block, which the answers join without moving it.
 
     p(w | u) = d(r) r / c(u)                 if the bigram u w occurs r > 0 times and u is a context
@@ -45,6 +45,8 @@ CONTEXT = 1
 HOT_SHARE = 1e-3
 SALTS = 64
 K = 5
+#: Tokens of a block.
+BLOCK_TOKENS = 1_000_000
 _U = np.uint64
 FOLDS = 5
 
@@ -61,6 +63,33 @@ def _unzip(b: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
 
 
+def _zip_planes(a: np.ndarray) -> bytes:
+    """Whole numbers by their bytes' places: the high bytes of small numbers vanish."""
+    import zstandard
+
+    planes = a.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _unzip_planes(b: bytes) -> np.ndarray:
+    planes = _unzip(b, np.uint8).reshape(8, -1).T
+    return np.ascontiguousarray(planes).view("<u8").ravel().astype(np.int64)
+
+
+def _deltas(x: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Numbers that ascend from each head on, as steps; heads stay."""
+    d = np.diff(x, prepend=0)
+    d[heads] = x[heads]
+    return d
+
+
+def _summed(d: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    x = np.cumsum(d)
+    if len(heads):
+        x -= np.repeat(x[heads] - d[heads], np.diff(heads, append=len(d)))
+    return x
+
+
 def held_out(ids) -> np.ndarray:
     return np.array([x is not None and zlib.crc32(str(x).encode()) % FOLDS == 1 for x in ids], bool)
 
@@ -68,25 +97,40 @@ def held_out(ids) -> np.ndarray:
 BLOCK = "block bigint, ids binary, known binary, lens binary, vocab binary, counts binary, tokens binary"
 
 
+def _block_of(part: int, k: int, ids: list, texts: list[np.ndarray]) -> pa.RecordBatch:
+    lens = np.array([len(x) for x in texts], np.int64)
+    vocab, at, n = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")  # frequent words first, so places are small
+    place = np.empty(len(vocab), np.int64)
+    place[order] = np.arange(len(vocab))
+    at = place[at]
+    counts = np.bincount(at[np.repeat(~held_out(ids), lens)], minlength=len(vocab))
+    row = {
+        "block": [(part << 32) + k],
+        "ids": [_zip(np.array([x or 0 for x in ids], np.int64))], "known": [_zip(np.array([x is not None for x in ids]))],
+        "lens": [_zip_planes(lens)], "vocab": [vocab[order].tobytes()], "counts": [_zip_planes(counts)], "tokens": [_zip_planes(at)],
+    }
+    kinds = [pa.int64()] + [pa.binary()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row.values(), kinds)], names=list(row))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part = TaskContext.get().partitionId()
-    for k, batch in enumerate(batches):
-        ids = batch.column("doc_id").to_pylist()
-        train = ~held_out(ids)
-        end = np.array([END], _U)
-        texts = [np.concatenate([h, end]) for _, h in v.word_hashes(batch.column("text"), lower=True)]
-        if not texts:
-            continue
-        lens = np.array([len(x) for x in texts], np.int64)
-        vocab, at = np.unique(np.concatenate(texts), return_inverse=True)
-        counts = np.bincount(at[np.repeat(train, lens)], minlength=len(vocab)).astype(np.int32)
-        row = {
-            "block": [(part << 32) + k],
-            "ids": [_zip(np.array([x or 0 for x in ids], np.int64))], "known": [_zip(np.array([x is not None for x in ids]))],
-            "lens": [_zip(lens)], "vocab": [vocab.tobytes()], "counts": [_zip(counts)], "tokens": [_zip(at.astype(np.int32))],
-        }
-        kinds = [pa.int64()] + [pa.binary()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row.values(), kinds)], names=list(row))
+    """Blocks of about ``BLOCK_TOKENS`` tokens, whatever the length of the texts; a longer text is a block of its own."""
+    part, k, end = TaskContext.get().partitionId(), 0, np.array([END], _U)
+    ids: list = []
+    texts: list[np.ndarray] = []
+    size = 0
+    for batch in batches:
+        names = batch.column("doc_id").to_pylist()
+        for i, h in v.word_hashes(batch.column("text"), lower=True):
+            if ids and size + len(h) > BLOCK_TOKENS:
+                yield _block_of(part, k, ids, texts)
+                ids, texts, size, k = [], [], 0, k + 1
+            ids.append(names[i])
+            texts.append(np.concatenate([h, end]))
+            size += len(h) + 1
+    if ids:
+        yield _block_of(part, k, ids, texts)
 
 
 def _split(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -107,8 +151,8 @@ def _ask_words(buckets: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 vocab = np.frombuffer(batch.column("vocab")[i].as_py(), _U)
-                counts = _unzip(batch.column("counts")[i].as_py(), np.int32)
-                rows = [(b, vocab[at].tobytes(), _zip(counts[at])) for b, at in _split(_bucket_of(vocab, buckets), buckets)]
+                counts = _unzip_planes(batch.column("counts")[i].as_py())
+                rows = [(b, vocab[at].tobytes(), _zip_planes(counts[at])) for b, at in _split(_bucket_of(vocab, buckets), buckets)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([b for b, _, _ in rows], pa.int32()), pa.array([batch.column("block")[i].as_py()] * len(rows), pa.int64()),
                      pa.array([k for _, k, _ in rows], pa.binary()), pa.array([c for _, _, c in rows], pa.binary())],
@@ -118,8 +162,8 @@ def _ask_words(buckets: int):
     return run
 
 
-ANSWER = "bucket int, block bigint, counts binary, stats binary, types bigint, tokens bigint, hist array<bigint>, hot binary"
-_ANSWER_TYPES = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+ANSWER = "bucket int, block bigint, counts binary, ids binary, stats binary, shared binary, types bigint, tokens bigint, hist array<bigint>, hot binary"
+_ANSWER_TYPES = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
 
 
 def _answers(rows: list[tuple]) -> pa.Table:
@@ -131,22 +175,30 @@ def _hist(c: np.ndarray) -> list[int]:
     return [int((c == r).sum()) for r in range(1, K + 2)]
 
 
-def _count_words(table: pa.Table) -> pa.Table:
-    """Twice the global training counts of the words of one bucket as each block asked for them, plus 1 for words of one block."""
-    lists = [np.frombuffer(x, _U) for x in table.column("keys").to_pylist()]
-    keys, at = np.unique(np.concatenate(lists), return_inverse=True)
-    own = np.concatenate([_unzip(x, np.int32) for x in table.column("counts").to_pylist()])
-    total = np.bincount(at, weights=own, minlength=len(keys)).astype(np.int64)
-    alone = np.bincount(at, minlength=len(keys)) == 1
-    parts = np.split((2 * total + alone)[at], np.cumsum([len(x) for x in lists])[:-1])
-    rows = []
-    for k, (block, part) in enumerate(zip(table.column("block").to_pylist(), parts)):
-        first = k == 0
-        rows.append((
-            table.column("bucket")[0].as_py(), block, _zip(part), None, int((total > 0).sum()) if first else 0,
-            int(total.sum()) if first else 0, _hist(total) if first else [0] * (K + 1), None,
-        ))
-    return _answers(rows)
+def _count_words(buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Twice the global training counts of the words of one bucket as each block asked for them, plus 1 for words of one
+        block; and the words' numbers, small for frequent words."""
+        lists = [np.frombuffer(x, _U) for x in table.column("keys").to_pylist()]
+        keys, at = np.unique(np.concatenate(lists), return_inverse=True)
+        own = np.concatenate([_unzip_planes(x) for x in table.column("counts").to_pylist()])
+        total = np.bincount(at, weights=own, minlength=len(keys)).astype(np.int64)
+        held = np.bincount(at, minlength=len(keys))
+        bucket = table.column("bucket")[0].as_py()
+        number = np.empty(len(keys), np.int64)
+        number[np.lexsort((keys, -held, -total))] = np.arange(len(keys))
+        number = number * buckets + bucket
+        cuts = np.cumsum([len(x) for x in lists])[:-1]
+        rows = []
+        for k, (block, part, names) in enumerate(zip(table.column("block").to_pylist(), np.split((2 * total + (held == 1))[at], cuts), np.split(number[at], cuts))):
+            first = k == 0
+            rows.append((
+                bucket, block, _zip_planes(part), _zip_planes(names), None, None, int((total > 0).sum()) if first else 0,
+                int(total.sum()) if first else 0, _hist(total) if first else [0] * (K + 1), None,
+            ))
+        return _answers(rows)
+
+    return run
 
 
 def discounts(hist: list[int]) -> np.ndarray:
@@ -188,27 +240,29 @@ class Words:
         return np.where(c > 0, self.scale * _discounted(c, self.d) / max(self.n, 1), self.unseen)
 
 
-def _known_counts(block: dict, words: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words of a block, their global training counts, and whether they occur in this block only."""
+def _known_counts(block: dict, words: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a block, their global training counts, whether they occur in this block only, and their numbers."""
     vocab = np.frombuffer(block["vocab"], _U)
-    counts = np.zeros(len(vocab), np.int64)
-    got = dict(zip(words.column("bucket").to_pylist(), words.column("counts").to_pylist()))
+    counts, numbers = np.zeros(len(vocab), np.int64), np.zeros(len(vocab), np.int64)
+    got = {b: (c, n) for b, c, n in zip(*(words.column(x).to_pylist() for x in ("bucket", "counts", "ids")))}
     for b, at in _split(_bucket_of(vocab, buckets), buckets):
-        counts[at] = _unzip(got[b], np.int64)
-    return vocab, counts >> 1, (counts & 1).astype(bool)
+        counts[at], numbers[at] = map(_unzip_planes, got[b])
+    return vocab, counts >> 1, (counts & 1).astype(bool), numbers
 
 
-def _pairs(block: dict, vocab: np.ndarray, counts: np.ndarray, model: Words, buckets: int):
-    """Distinct bigrams of contexts in a block, ordered by (bucket, context, word), and how tokens use them."""
-    tokens = _unzip(block["tokens"], np.int32).astype(np.int64)
-    lens = _unzip(block["lens"], np.int64)
-    end = int(np.searchsorted(vocab, _U(END)))
+def _pairs(block: dict, vocab: np.ndarray, counts: np.ndarray, numbers: np.ndarray, model: Words, buckets: int):
+    """Distinct bigrams of contexts in a block, ordered by the numbers of context and word, and how tokens use them."""
+    tokens, lens = _unzip_planes(block["tokens"]), _unzip_planes(block["lens"])
+    end = int(np.flatnonzero(vocab == _U(END))[0])
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
     before[np.cumsum(lens) - lens] = end
     used = np.flatnonzero(counts[before] >= model.context)
-    key, use = np.unique(before[used] * len(vocab) + tokens[used], return_inverse=True)
-    u, w = key // len(vocab), key % len(vocab)
+    by_number = np.argsort(numbers)
+    rank = np.empty(len(vocab), np.int64)
+    rank[by_number] = np.arange(len(vocab))
+    key, use = np.unique(rank[before[used]] * len(vocab) + rank[tokens[used]], return_inverse=True)
+    u, w = by_number[key // len(vocab)], by_number[key % len(vocab)]
     salt = np.where(counts[u] >= model.hot, vocab[w] % _U(SALTS) + _U(1), _U(0))
     bucket = _bucket_of(vocab[u] + salt * _U(0x9E3779B97F4A7C15), buckets)
     return tokens, lens, before, used, use, u, w, bucket
@@ -221,7 +275,7 @@ def _block_ids(block: dict) -> list:
 def _own(block: dict, lens: np.ndarray, used: np.ndarray, use: np.ndarray, n: int) -> np.ndarray:
     """Training counts of a block's distinct bigrams in the block."""
     train = np.repeat(~held_out(_block_ids(block)), lens)[used]
-    return np.bincount(use[train], minlength=n).astype(np.int32)
+    return np.bincount(use[train], minlength=n)
 
 
 def _ask_pairs(model: Words, buckets: int):
@@ -230,17 +284,19 @@ def _ask_pairs(model: Words, buckets: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         for block in left.to_pylist():
-            vocab, counts, alone = _known_counts(block, right, buckets)
-            tokens, lens, before, used, use, u, w, bucket = _pairs(block, vocab, counts, model, buckets)
+            vocab, counts, alone, numbers = _known_counts(block, right, buckets)
+            tokens, lens, before, used, use, u, w, bucket = _pairs(block, vocab, counts, numbers, model, buckets)
             own = _own(block, lens, used, use, len(u))
             hist, ask = _hist(own[alone[u]]), ~alone[u]
             u, w, own, bucket = u[ask], w[ask], own[ask], bucket[ask]
             asked = list(_split(bucket, buckets)) or [(0, np.zeros(0, np.int64))]  # a row for the counts of counts
             for k, (b, at) in enumerate(asked):
-                first = np.flatnonzero(np.concatenate([[True], np.diff(u[at]) != 0]))[: len(at)]
-                runs = np.diff(np.concatenate([first, [len(at)]])).astype(np.int32)
-                c = u[at][first]
-                rows.append((b, block["block"], vocab[c].tobytes(), _zip(runs), _zip(counts[c]), vocab[w[at]].tobytes(), _zip(own[at]), _zip(counts[w[at]]), hist if k == 0 else None))
+                heads = _heads(u[at])
+                c = u[at][heads]
+                rows.append((
+                    b, block["block"], _zip_planes(_deltas(numbers[c], np.zeros(0, np.int64))), _zip_planes(np.diff(heads, append=len(at))), _zip_planes(counts[c]),
+                    _zip_planes(_deltas(numbers[w[at]], heads)), _zip_planes(own[at]), _zip_planes(counts[w[at]]), hist if k == 0 else None,
+                ))
         kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 6 + [pa.list_(pa.int64())]
         names = [x.split()[0] for x in schema.split(", ")]
         columns = list(zip(*rows)) if rows else [[] for _ in names]
@@ -249,18 +305,22 @@ def _ask_pairs(model: Words, buckets: int):
     return run, schema
 
 
+def _heads(u: np.ndarray) -> np.ndarray:
+    """Places where a run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.zeros(0, np.int64)
+
+
 def _count_pairs(model: Words):
     def run(table: pa.Table) -> pa.Table:
         """Counts of the bigrams of one bucket, and for each context what its seen words take of the mass."""
-        lists = [np.frombuffer(x, _U) for x in table.column("words").to_pylist()]
-        contexts = [np.frombuffer(x, _U) for x in table.column("contexts").to_pylist()]
-        runs = [_unzip(x, np.int32) for x in table.column("runs").to_pylist()]
-        totals = np.concatenate([_unzip(x, np.int64) for x in table.column("totals").to_pylist()])
+        of = lambda name: [_unzip_planes(x) for x in table.column(name).to_pylist()]
+        contexts, runs = [np.cumsum(x) for x in of("contexts")], of("runs")
+        lists = [_summed(x, np.cumsum(r) - r) for x, r in zip(of("words"), runs)]
+        totals = np.concatenate(of("totals"))
         names, which, first = _unique3(np.concatenate(contexts))
         u = np.repeat(which, np.concatenate(runs))
         w = np.concatenate(lists)
-        own = np.concatenate([_unzip(x, np.int32) for x in table.column("own").to_pylist()])
-        known = np.concatenate([_unzip(x, np.int64) for x in table.column("known").to_pylist()])
+        own, known = np.concatenate(of("own")), np.concatenate(of("known"))
         order = np.lexsort((w, u))
         new = np.concatenate([[True], (u[order][1:] != u[order][:-1]) | (w[order][1:] != w[order][:-1])])[: len(order)]
         group = np.cumsum(new) - 1
@@ -280,8 +340,9 @@ def _count_pairs(model: Words):
         mine = np.split(which, np.cumsum([len(x) for x in contexts])[:-1])
         rows = []
         for k, (block, part) in enumerate(zip(table.column("block").to_pylist(), parts)):
+            own_stats = stats[mine[k]]
             rows.append((
-                table.column("bucket")[0].as_py(), block, _zip(part.astype(np.int32)), _zip(stats[mine[k]]), 0, 0,
+                table.column("bucket")[0].as_py(), block, _zip_planes(part), None, _zip_planes(own_stats[:, : K + 1].ravel()), _zip(own_stats[:, K + 1]), 0, 0,
                 hist if k == 0 else [0] * (K + 1), hot_rows if k == 0 else None,
             ))
         return _answers(rows)
@@ -302,12 +363,12 @@ def _score(model: Words, d: np.ndarray, hot: dict[int, np.ndarray], buckets: int
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         kind = np.array(right.column("kind").to_pylist(), int)
         words, bigrams = right.filter(pa.array(kind == 0)), right.filter(pa.array(kind == 1))
-        got = {b: (c, s) for b, c, s in zip(*(bigrams.column(x).to_pylist() for x in ("bucket", "counts", "stats")))}
+        got = {b: (c, (s, m)) for b, c, s, m in zip(*(bigrams.column(x).to_pylist() for x in ("bucket", "counts", "stats", "shared")))}
         out = []
         for block in left.to_pylist():
-            vocab, counts, alone = _known_counts(block, words, buckets)
-            tokens, lens, before, used, use, u, w, bucket = _pairs(block, vocab, counts, model, buckets)
-            r = np.where(alone[u], _own(block, lens, used, use, len(u)), np.int32(0))
+            vocab, counts, alone, numbers = _known_counts(block, words, buckets)
+            tokens, lens, before, used, use, u, w, bucket = _pairs(block, vocab, counts, numbers, model, buckets)
+            r = np.where(alone[u], _own(block, lens, used, use, len(u)), 0)
             taken, shared = np.zeros(len(vocab)), np.zeros(len(vocab))  # by context: mass of its seen words, their p(w)
             weight = np.concatenate([d[1:] * np.arange(1, K + 1), [1.0]])
             mine = np.flatnonzero(r)
@@ -317,13 +378,12 @@ def _score(model: Words, d: np.ndarray, hot: dict[int, np.ndarray], buckets: int
             for b, at in _split(bucket[ask], buckets):
                 at = ask[at]
                 c, s = got[b]
-                r[at] = _unzip(c, np.int32)
-                mine = u[at][np.concatenate([[True], np.diff(u[at]) != 0])]
-                stats = _unzip(s, np.float64).reshape(-1, K + 2)
-                taken[mine], shared[mine] = stats[:, : K + 1] @ weight, stats[:, K + 1]
+                r[at] = _unzip_planes(c)
+                mine = u[at][_heads(u[at])]
+                taken[mine], shared[mine] = _unzip_planes(s[0]).reshape(-1, K + 1) @ weight, _unzip(s[1], np.float64)
             for h in np.flatnonzero((counts >= model.hot) & ~alone):
-                if int(vocab[h]) in hot:
-                    stats = hot[int(vocab[h])]
+                if int(numbers[h]) in hot:
+                    stats = hot[int(numbers[h])]
                     taken[h], shared[h] = stats[: K + 1] @ weight, stats[K + 1]
             total = np.maximum(counts.astype(float), 1)
             total = np.where(taken > total - 1e-6, total + 1, total)  # nothing discounted: one occurrence for the rest
@@ -350,10 +410,10 @@ def _score(model: Words, d: np.ndarray, hot: dict[int, np.ndarray], buckets: int
     return run
 
 
-def scored(docs: DataFrame, rows: int = 3000) -> DataFrame:
+def scored(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs`` with the base and the model's log10 probability of its text."""
     spark = docs.sparkSession
-    python_ready(spark, rows)
+    python_ready(spark, 500)
     buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = materialise(texts.mapInArrow(_blocks, BLOCK), "blocks")
@@ -362,7 +422,7 @@ def scored(docs: DataFrame, rows: int = 3000) -> DataFrame:
     spark.conf.set(key, "4")  # rows are whole blocks here
     try:
         asked = blocks.select("block", "vocab", "counts").mapInArrow(_ask_words(buckets), "bucket int, block bigint, keys binary, counts binary")
-        words = materialise(asked.groupBy("bucket").applyInArrow(_count_words, ANSWER), "words")
+        words = materialise(asked.groupBy("bucket").applyInArrow(_count_words(buckets), ANSWER), "words")
         model = Words(*_totals(words))
         ask, schema = _ask_pairs(model, buckets)
         pairs = blocks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(ask, schema)
@@ -370,7 +430,7 @@ def scored(docs: DataFrame, rows: int = 3000) -> DataFrame:
         d = discounts(_totals(bigrams)[2])
         hot = _hot_contexts(bigrams)
         both = words.withColumn("kind", F.lit(0)).unionByName(bigrams.withColumn("kind", F.lit(1)))
-        both = both.select("block", "bucket", "kind", "counts", "stats")
+        both = both.select("block", "bucket", "kind", "counts", "ids", "stats", "shared")
         done = materialise(blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_score(model, d, hot, buckets), SCORE), "scores")
     finally:
         spark.conf.set(key, usual)
@@ -388,7 +448,7 @@ def _hot_contexts(bigrams: DataFrame) -> dict[int, np.ndarray]:
     for row in bigrams.where("hot is not null").select("hot").toLocalIterator():
         raw = bytes(row[0])
         n = len(raw) // (8 * (K + 3))
-        names = np.frombuffer(raw[: 8 * n], _U)
+        names = np.frombuffer(raw[: 8 * n], np.int64)
         stats = np.frombuffer(raw[8 * n :], np.float64).reshape(n, K + 2)
         for name, s in zip(names.tolist(), stats):
             out[name] = out.get(name, 0) + s
