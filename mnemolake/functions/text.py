@@ -259,26 +259,34 @@ RECEIPT_UNITS = (
     "prompt", "prompts", "phase", "phases", "step", "steps", "test run", "tests", "commit", "push", "merge",
     "verification", "cleanup", "worktree", "branch", "milestone",
 )
+#: Words of a finished task.
 RECEIPT_DONE = (
     "completed", "complete", "done", "finished", "passed", "pushed", "merged", "committed", "verified", "reached", "clean",
 )
+#: Phrases of lasting facts.
 DURABLE_SIGNALS = (
     "uses", "owns", "references", "stores", "requires", "configured", "now uses", "moved to", "lives in", "returns",
     "sends", "persists", "wired through", "routes through", "supports", "rejects", "accepts",
 )
+#: Words of progress.
 PROGRESS = (
     "completed", "complete", "done", "finished", "passed", "reached", "checkpoint", "milestone", "progress", "through", "up to",
 )
+#: Phrases that make a question a statement.
 QUESTION_EXCEPTIONS = ("have to", "has to", "must", "will", "i prefer", "i don't want", "i do not want")
+#: Words that begin a question.
 QUESTION_STARTS = (
     "what why how when where who can could would should is are am do does did will have has".split()
 )
+#: Endings of tag questions.
 TAG_ENDINGS = ("right", "correct", "is it", "isn't it", "are they", "aren't they", "don't they", "doesn't it", "yeah", "no")
+#: Answers that say yes and nothing else.
 ACKNOWLEDGEMENTS = (
     "sounds good", "that works", "this works", "good rule", "do that", "do this", "do it", "add that", "add this",
     "change that", "change this", "finish that", "finish this", "finish it", "get it done", "get that done",
     "alright do that then", "alright that works", "ok done", "okay done",
 )
+#: Verbs that say what is to be remembered.
 INLINE_PREDICATES = (
     "am is are was were use uses prefer prefers want wants need needs should must will have has own owns run runs "
     "store stores require requires"

@@ -70,16 +70,16 @@ def crossings(records: DataFrame, turn: int, key: str, p: Policy = DEFAULT) -> D
     return rows.where(F.col("boundary") <= turn)
 
 
-def fold(events: DataFrame, key: str, cut: int, p: Policy = DEFAULT, start: int = 100, later: bool = False) -> DataFrame:
+def fold(events: DataFrame, key: str, cut: int, p: Policy = DEFAULT, start: int = 100) -> DataFrame:
     """Scores from (key, position, event_id, amount) events in order: decay since the last, floor, add, cap.
 
-    Scores are as of the turn ``cut``; events after it are folded too if ``later``.
+    Scores are as of the turn ``cut``; events after it do not count.
     The first event admits the record.  Steps between are x -> min(max(x - d, low) + a, high), and such maps
     compose into one of the same kind, (add, low, high): so a key's events are composed in chunks first and a hot
     key's history never meets in one task as rows."""
     ordered = F.array_sort(F.collect_list(F.struct("position", "event_id", "amount")))
     chunk = F.floor(F.col("position") / 4096)
-    parts = (events if later else events.where(F.col("position") <= cut)).dropDuplicates([key, "event_id"]).groupBy(key, chunk.alias("_c")).agg(ordered.alias("_e"))
+    parts = events.where(F.col("position") <= cut).dropDuplicates([key, "event_id"]).groupBy(key, chunk.alias("_c")).agg(ordered.alias("_e"))
     firsts = parts.groupBy(key).agg(F.min(F.get("_e", F.lit(0))["position"]).alias("admitted"))
     parts = parts.join(firsts, key)
     d = p.decay

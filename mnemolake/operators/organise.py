@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import rrf, splitmix64
+from ..functions.vectors import rrf
 
 LANES = {"semantic": 24, "prior": 3, "lexical": 8, "temporal": 8}
 SELECTED = 12
@@ -59,35 +58,6 @@ def unseen_pairs(pairs: DataFrame, evaluated: DataFrame, edges: DataFrame) -> Da
     return p.join(evaluated.select(*canonical_pair()).union(live).distinct(), ["a", "b"], "left_anti")
 
 
-TABLES, BITS = 4, 12
-
-
-def _planes(dimensions: int) -> np.ndarray:
-    """Signs of hyperplanes: one hash bit a (table, bit, dimension)."""
-    i = np.arange(TABLES * BITS * dimensions, dtype=np.uint64)
-    return np.where(splitmix64(i) >> np.uint64(63), 1.0, -1.0).reshape(TABLES * BITS, dimensions)
-
-
-def _codes(x: pd.Series) -> pd.Series:
-    v = np.stack([np.asarray(a, float) for a in x]) if len(x) else np.zeros((0, 1))
-    bits = (v @ _planes(v.shape[1]).T > 0).reshape(len(v), TABLES, BITS)
-    return pd.Series((bits << np.arange(BITS)).sum(2).tolist())
-
-
-def lsh_candidates(vectors: DataFrame, key: str, vector: str, per_bucket: int = 16, most: int = 64) -> DataFrame:
-    """(source, id): sign-hash buckets, exact and with one bit flipped; nearest codes first, ``most`` a source.
-
-    A bucket offers its ``per_bucket`` least ids, so pairs grow with the sources and not with a bucket."""
-    codes = vectors.select(key, F.posexplode(F.pandas_udf(_codes, "array<int>")(vector)).alias("table", "code"))
-    small = F.row_number().over(Window.partitionBy("table", "code").orderBy(key))
-    offers = codes.withColumn("_k", small).where(F.col("_k") <= per_bucket).select(F.col(key).alias("id"), "table", "code")
-    flips = F.array(F.lit(0), *[F.lit(1 << b) for b in range(BITS)])
-    probes = codes.select(F.col(key).alias("source"), "table", "code", F.explode(flips).alias("flip")).select("source", "table", F.col("code").bitwiseXOR(F.col("flip")).alias("code"), (F.col("flip") != 0).cast("int").alias("far"))
-    met = probes.join(offers, ["table", "code"]).where("source <> id").groupBy("source", "id").agg(F.min("far").alias("far"), F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("source").orderBy("far", F.desc("n"), "id"))
-    return met.withColumn("_k", rank).where(F.col("_k") <= most).select("source", "id")
-
-
 def rare_term_candidates(terms: DataFrame, key: str, term: str, rarest: int = 16, postings: int = 4, most: int = 32) -> DataFrame:
     """(source, id) over each source's rarest terms, a few postings each, by hits then id."""
     df = terms.groupBy(term).agg(F.count("*").alias("_df"))

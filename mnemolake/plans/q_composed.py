@@ -54,6 +54,15 @@ POOL_SQL = (
 )
 
 
+LSH_SQL = POOL_SQL[: POOL_SQL.index("tt as (")].rstrip(", ")
+
+
+@query(f"with {LSH_SQL.replace(' from codes where id % 20 = 0)', ' from codes)')} select source, id from sem")
+def lsh_candidates(spark, sf_dir):
+    m = _memories(spark, sf_dir)
+    return CD.semantic_pool(m, m, DIMENSIONS)
+
+
 def _memories(spark, sf_dir):
     d = TB.read(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source", T.discovery_tokens(F.lower("text")).alias("terms"))
     joined = _embeddings(spark, sf_dir).join(d, F.col("vec_id") == F.col("doc_id"))

@@ -64,18 +64,29 @@ def policy_text(spark, sf_dir):
     return c.select("conv_id", "turn", T.normalize(F.col("text")).alias("normal"), T.informative_tokens(F.col("text")).alias("informative"))
 
 
-@query("select conv_id, turn, trim(text) like '%?' as asks from conversations where trim(text) like '%?' and not left(trim(text), length(trim(text)) - 1) like '%. %' and not left(trim(text), length(trim(text)) - 1) like '%! %' and not regexp_matches(' ' || " + NORM.format("text") + " || ' ', ' (have to|has to|must|will|i prefer|i don''t want|i do not want) ')")
+@query("select conv_id, turn, trim(text) like '%?' as asks from (select conv_id, turn, case when turn % 3 = 0 then regexp_replace(text, '[.!\\s]+', ' ', 'g') || '?' else text end as text from conversations) where trim(text) like '%?' and not left(trim(text), length(trim(text)) - 1) like '%. %' and not left(trim(text), length(trim(text)) - 1) like '%! %' and not regexp_matches(' ' || " + NORM.format("text") + " || ' ', ' (have to|has to|must|will|i prefer|i don''t want|i do not want) ')")
 def unsupported_questions(spark, sf_dir):
-    c = TB.read(spark, sf_dir, "conversations")
+    """Every third turn ends as a question."""
+    c = TB.read(spark, sf_dir, "conversations").withColumn("text", F.when(F.col("turn") % 3 == 0, F.concat(F.regexp_replace("text", "[.!\\s]+", " "), F.lit("?"))).otherwise(F.col("text")))
     return c.where(T.unsupported_question(F.col("text"), F.lit("preference"))).select("conv_id", "turn", F.lit(True).alias("asks"))
 
 
-@query()
+#: Made quotes, one for each rule and some for none, and what the policy says of each as a direct and an adopted memory.
+QUOTES = (
+    ("I prefer dark mode in the editor", None), ("sounds good", "vague authority"), ("do that then please", "vague authority"), ("is the cache large enough?", "question"),
+    ("it must be faster, right?", None), ("the tests passed and the branch merged", "execution receipt"), ("the service uses redis for tests that passed", None), ("remember the plan we discussed earlier", None),
+)
+_QUOTES = ", ".join(f"({i}, {'null' if r is None else repr(r)})" for i, (_, r) in enumerate(QUOTES))
+
+
+@query(f"select p_partkey, case when p_partkey % 3 = 1 then 'authority source not allowed' when p_partkey % 3 = 2 then 'adoption needs an authority source' else r end as rejection from part join (values {_QUOTES}) t(i, r) on i = p_partkey % {len(QUOTES)}")
 def candidate_authority_policy(spark, sf_dir):
-    c = TB.read(spark, sf_dir, "conversations")
-    kind = F.when(F.col("role") == "user", "direct").otherwise("adoption")
-    reason = T.authority_rejection(kind, F.lit("fact"), F.left("text", F.lit(40)), F.col("text"), F.col("text"), F.col("turn") % 2 == 0, F.lit(False))
-    return c.select("conv_id", "turn", reason.alias("rejection"))
+    k = F.col("p_partkey")
+    quote = F.element_at(F.array(*[F.lit(q) for q, _ in QUOTES]), (k % len(QUOTES) + 1).cast("int"))
+    kind = F.when(k % 3 == 2, "adoption").otherwise("direct")
+    content = F.when(quote.isin("sounds good", "do that then please"), "the nightly backup copies five databases elsewhere").otherwise(quote)
+    reason = T.authority_rejection(kind, F.lit("fact"), F.lit("a title"), quote, content, k % 3 == 1, F.lit(False))
+    return TB.read(spark, sf_dir, "part").select("p_partkey", reason.alias("rejection"))
 
 
 @query("select p_partkey, lower(regexp_replace(p_name, '[^\\p{L}\\p{N}]', '', 'g')) as surface, replace(lower(trim(p_type)), '-', '_') as label, lower(hex(p_brand)) as hex, trim(p_name) <> '' and strlen(p_name) <= 512 as valid from part")
@@ -84,10 +95,11 @@ def surface_keys(spark, sf_dir):
     return p.select("p_partkey", T.surface_key(F.col("p_name")).alias("surface"), T.canonical_label(F.col("p_type")).alias("label"), T.hex_of(F.col("p_brand")).alias("hex"), T.valid_identifier(F.col("p_name")).alias("valid"))
 
 
-@query()
+@query("select p_partkey, array_to_string(list_sort(list_distinct([b || n || 'module', b || n, substr(b, 6) || n || 'module', n || 'module', n])), ',') as keys from (select p_partkey, replace(lower(p_brand), '#', '') as b, replace(p_name, ' ', '') as n from part)")
 def identity_guard_keys(spark, sf_dir):
     p = TB.read(spark, sf_dir, "part")
-    return p.select("p_partkey", T.guard_keys(F.concat(F.col("p_brand"), F.lit("/"), F.col("p_name"), F.lit("Module")), ["brand"]).alias("keys"))
+    keys = T.guard_keys(F.concat(F.col("p_brand"), F.lit("/"), F.col("p_name"), F.lit("Module")), ["brand"])
+    return p.select("p_partkey", F.array_join(keys, ",").alias("keys"))
 
 
 @query("select conv_id, turn, substr(text, 3, 4) <> '' and turn % 2 = 0 as ok from conversations")
@@ -132,10 +144,11 @@ def packed_segments(spark, sf_dir):
     return A.pack_segments(_turns(spark, sf_dir))
 
 
-@query("select 1 as conv_id, 1 as turn, 0 as covered where false")
+@query("select conv_id, turn, 0 as covered from conversations where conv_id % 5 = 0")
 def segment_validation(spark, sf_dir):
+    """The segments of every fifth conversation are missing."""
     t = _turns(spark, sf_dir)
-    return A.segment_errors(t, A.pack_segments(t)).select(F.col("conv_id").cast("int").alias("conv_id"), F.col("turn").cast("int").alias("turn"), F.col("covered").cast("int").alias("covered"))
+    return A.segment_errors(t, A.pack_segments(t).where("conv_id % 5 > 0")).select("conv_id", "turn", F.col("covered").cast("int").alias("covered"))
 
 
 @query(f"with {TURNS_SQL} select conv_id || ':' || max(turn) over (partition by conv_id) as leaf, node_id, i as depth from turns")
@@ -204,11 +217,11 @@ def revision_filter(spark, sf_dir):
     return VR.revision_filter(TB.revisions(spark, sf_dir), "memory_id", "version", "version", "since", 9900).select("memory_id", "version")
 
 
-@query("select 'conflict' as outcome, count(*) as n from customer where c_custkey <= 100 and c_custkey % 10 = 0 union all select 'appended', count(*) from customer where c_custkey > 100 and c_custkey <= 150")
+@query("select 'conflict' as outcome, count(*) as n from customer where c_custkey % 3 > 0 and c_custkey % 10 = 0 union all select 'appended', count(*) from customer where c_custkey % 3 = 0")
 def idempotent_insert(spark, sf_dir):
     c = TB.read(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    stored = c.where("c_custkey <= 100").withColumn("v", F.col("c_custkey"))
-    batch = c.where("c_custkey <= 150").withColumn("c_name", F.when((F.col("c_custkey") % 10 == 0) & (F.col("c_custkey") <= 100), F.lit("other")).otherwise(F.col("c_name")))
+    stored = c.where("c_custkey % 3 > 0").withColumn("v", F.col("c_custkey"))
+    batch = c.withColumn("c_name", F.when((F.col("c_custkey") % 10 == 0) & (F.col("c_custkey") % 3 > 0), F.lit("other")).otherwise(F.col("c_name")))
     fresh, conflicts = VR.insert_once(stored, batch, ["c_custkey"], "v")
     return conflicts.agg(F.lit("conflict").alias("outcome"), F.count("*").alias("n")).union(fresh.agg(F.lit("appended"), F.count("*")))
 
@@ -383,15 +396,15 @@ def duplicate_components(spark, sf_dir):
     return G.components(TB.relations(spark, sf_dir).where("kind = 'duplicate'"))
 
 
-@query(f"with recursive {REL}, u as (select source as a, target as b from relations where active and source <> target union select target, source from relations where active and source <> target), r(seed, node, depth) as (select vec_id, vec_id, 0 from embeddings where vec_id % 50 = 0 union select seed, b, depth + 1 from r join u on u.a = r.node where depth < 3) select seed, node, min(depth) as depth from r group by 1, 2")
+@query(f"with recursive {REL}, u as (select source as a, target as b from relations where active and source <> target union select target, source from relations where active and source <> target), r(seed, node, depth) as (select vec_id, vec_id, 0 from embeddings where vec_id % 20 = 0 union select seed, b, depth + 1 from r join u on u.a = r.node where depth < 3) select seed, node, min(depth) as depth from r group by 1, 2")
 def bounded_hops(spark, sf_dir):
-    seeds = TB.read(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("node"))
+    seeds = TB.read(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("node"))
     return G.within_hops(TB.relations(spark, sf_dir), seeds, 3)
 
 
-@query(f"with recursive {REL}, c(key) as (select vec_id from embeddings where vec_id % 100 = 1 union select target from c join relations on source = key) select key from c")
+@query(f"with recursive {REL}, c(key) as (select vec_id from embeddings where vec_id % 20 = 0 union select target from c join relations on source = key) select key from c")
 def dependency_closure(spark, sf_dir):
-    seeds = TB.read(spark, sf_dir, "embeddings").where("vec_id % 100 = 1").select(F.col("vec_id").alias("key"))
+    seeds = TB.read(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("key"))
     return G.closure(seeds, TB.relations(spark, sf_dir).select(F.col("source").alias("key"), F.col("target").alias("needs")))
 
 
@@ -427,15 +440,16 @@ def freshness_crossings(spark, sf_dir):
     return FR.crossings(_records(spark, sf_dir), 900, "id")
 
 
-@query("with recursive e as (select user_id as memory_id, event_id as position, case when event_type = 'purchase' then 50 when event_type = 'click' then 25 else 5 end as amount, row_number() over (partition by user_id order by event_id) as k, min(event_id) over (partition by user_id) as admitted from events), f as (select memory_id, k, position, admitted, least(100 + amount, 100) as score from e where k = 1 union all select e.memory_id, e.k, e.position, e.admitted, least(greatest(f.score - (floor((e.position - e.admitted) / 10.0) - floor((f.position - e.admitted) / 10.0)), -100) + e.amount, 100) from f join e on e.memory_id = f.memory_id and e.k = f.k + 1), l as (select memory_id, max(k) as k from e group by 1) select f.memory_id, f.admitted, cast(greatest(f.score - (floor((20000 - f.admitted) / 10.0) - floor((f.position - f.admitted) / 10.0)), -100) as int) as score from f join l using (memory_id, k)")
+@query("with recursive e as (select user_id as memory_id, event_id as position, case when event_type = 'purchase' then 50 when event_type = 'click' then 25 else 5 end as amount, row_number() over (partition by user_id order by event_id) as k, min(event_id) over (partition by user_id) as admitted from events), f as (select memory_id, k, position, admitted, least(100 + amount, 100) as score from e where k = 1 union all select e.memory_id, e.k, e.position, e.admitted, least(greatest(f.score - (floor((e.position - e.admitted) / 10.0) - floor((f.position - e.admitted) / 10.0)), -100) + e.amount, 100) from f join e on e.memory_id = f.memory_id and e.k = f.k + 1), l as (select memory_id, max(k) as k from e group by 1) select f.memory_id, f.admitted, cast(greatest(f.score - (floor(((select max(event_id) from events) - f.admitted) / 10.0) - floor((f.position - f.admitted) / 10.0)), -100) as int) as score from f join l using (memory_id, k)")
 def freshness_history(spark, sf_dir):
-    return FR.fold(TB.freshness_events(spark, sf_dir), "memory_id", 20000, later=True)
+    events = TB.freshness_events(spark, sf_dir)
+    return FR.fold(events, "memory_id", events.agg(F.coalesce(F.max("position"), F.lit(0))).first()[0])
 
 
-@query(f"with recursive {REL}, u as (select source as a, target as b from relations where active and source <> target union select target, source from relations where active and source <> target), r(event_id, origin, node, credit) as (select vec_id, label, vec_id, 50 from embeddings where vec_id % 40 = 0 union select event_id, origin, u.b, credit - (case when e.label = origin then 5 else 10 end) from r join u on u.a = r.node join embeddings e on e.vec_id = u.b where credit - (case when e.label = origin then 5 else 10 end) > 0) select event_id, node, max(credit) as credit from r group by 1, 2")
+@query(f"with recursive {REL}, u as (select source as a, target as b from relations where active and source <> target union select target, source from relations where active and source <> target), r(event_id, origin, node, credit) as (select vec_id, label, vec_id, 50 from embeddings where vec_id % 20 = 0 union select event_id, origin, u.b, credit - (case when e.label = origin then 5 else 10 end) from r join u on u.a = r.node join embeddings e on e.vec_id = u.b where credit - (case when e.label = origin then 5 else 10 end) > 0) select event_id, node, max(credit) as credit from r group by 1, 2")
 def freshness_propagation(spark, sf_dir):
     e = TB.read(spark, sf_dir, "embeddings")
-    roots = e.where("vec_id % 40 = 0").select(F.col("vec_id").alias("event_id"), F.col("vec_id").alias("node"), F.lit(50).alias("amount"))
+    roots = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("event_id"), F.col("vec_id").alias("node"), F.lit(50).alias("amount"))
     return FR.propagate(TB.relations(spark, sf_dir), roots, e.select(F.col("vec_id").alias("node"), F.col("label").alias("community")))
 
 
@@ -445,10 +459,10 @@ def accepted_uses(spark, sf_dir):
     return FR.accept_use(uses.union(uses))
 
 
-@query(f"with {Q_SQL}, s as (select query_id as fragment_id, vec_id as memory_id, {COS.format('embedding')} as c from q, embeddings where vec_id < query_id), b as (select *, cast(least(1 + floor((c - 0.75) * 9 / 0.25), 10) as int) as bonus from s where c >= 0.75), r as (select *, row_number() over (partition by fragment_id order by round(c, 9) desc, memory_id) as rank from b) select fragment_id, memory_id, bonus, rank from r where rank <= 64")
+@query(f"with {Q_SQL}, s as (select query_id as fragment_id, vec_id as memory_id, {COS.format('embedding')} * 0.5 + 0.6 as c from q, embeddings where vec_id < query_id), b as (select *, cast(least(1 + floor((c - 0.75) * 9 / 0.25), 10) as int) as bonus from s where c >= 0.75), r as (select *, row_number() over (partition by fragment_id order by round(c, 9) desc, memory_id) as rank from b) select fragment_id, memory_id, bonus, rank from r where rank <= 64")
 def semantic_bonus_plan(spark, sf_dir):
     v, q = _vectors(spark, sf_dir), _vector_queries(spark, sf_dir)
-    cand = v.join(F.broadcast(q), F.col("vec_id") < F.col("query_id")).select(F.col("query_id").alias("fragment_id"), F.col("vec_id").alias("memory_id"), V.cosine(F.col("query"), F.col("embedding")).alias("cosine"), F.lit(True).alias("eligible"))
+    cand = v.join(q, F.col("vec_id") < F.col("query_id")).select(F.col("query_id").alias("fragment_id"), F.col("vec_id").alias("memory_id"), (V.cosine(F.col("query"), F.col("embedding")) * 0.5 + 0.6).alias("cosine"), F.lit(True).alias("eligible"))
     return FR.semantic_plan(cand).select("fragment_id", "memory_id", "bonus", "rank")
 
 

@@ -64,11 +64,6 @@ def unseen_pairs(spark, sf_dir):
     return O.unseen_pairs(pairs, done, TB.relations(spark, sf_dir))
 
 
-@query()
-def lsh_candidates(spark, sf_dir):
-    return O.lsh_candidates(TB.read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-
-
 TERMS = "terms as (select distinct conv_id * 1000 + turn as id, unnest(" + "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')" + ") as term from conversations)"
 
 
@@ -136,13 +131,13 @@ def entity_reconciliation(spark, sf_dir):
     return E.reconciliation_pairs(_entities(spark, sf_dir), None)
 
 
-@query()
+@query("select proposal, entity, rank from (select b.p_partkey + 100000 as proposal, a.p_partkey as entity, row_number() over (partition by b.p_partkey order by a.p_partkey) as rank from part a join part b on a.p_name = b.p_name and (case when a.p_size % 10 = 0 then 'principal' else a.p_type end) = (case when b.p_size % 10 = 0 then 'principal' else b.p_type end)) where rank <= 8")
 def entity_creation_conflicts(spark, sf_dir):
     e = _entities(spark, sf_dir)
     return E.creation_conflicts(e, e.select((F.col("id") + 100000).alias("id"), "name", "kind"))
 
 
-@query()
+@query("select mention_id, entity, how, rank from (select b.p_partkey as mention_id, a.p_partkey as entity, 1 as how, row_number() over (partition by b.p_partkey order by a.p_partkey) as rank from part a join part b on a.p_name = b.p_name) where rank <= 8")
 def mention_candidates(spark, sf_dir):
     e = _entities(spark, sf_dir)
     return E.mention_candidates(e.select(F.col("id").alias("mention_id"), F.upper("name").alias("surface")), e)
@@ -162,12 +157,22 @@ def entity_judgments(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", E.fast_path(F.col("l_quantity") / 50, F.col("l_discount"), F.col("l_linenumber") <= 2).alias("accepted"), E.judgment(choice, relation, F.col("l_tax") > 0.02).alias("verdict"))
 
 
-@query()
+#: Made mentions: surface, context, kind, summary, recurrences, and the verdict.
+MENTIONS = (
+    ("The Tool", "we use it", "other", "a thing", 3, "generic_role"), ("release-7", "on branch release-7 today", "other", "a thing", 3, "transient_value"), ("commit 4f3a9bc1", "it broke", "other", "a thing", 3, "transient_value"),
+    ("4f3a9bc1", "the rollback of it", "other", "a thing", 3, "transient_value"), ("build #1042", "it broke", "other", "a thing", 3, "transient_value"), ("run id: ab12cd", "it broke", "other", "a thing", 3, "transient_value"),
+    ("parseTree", "in the code", "code_symbol", "a function", 1, "recurrence_required"), ("parseTree", "in the code", "code_symbol", "a function", 2, None), ("falcon", "it runs", "service", "A temporary branch of work", 3, "transient_value"),
+    ("falcon", "it runs", "other", "A broad concept of birds", 3, "wrapper_category"), ("falcon", "it runs", "service", "A broad concept of birds", 3, None), ("falcon", "it runs", "other", "the service that sends mail", 0, None),
+)
+_MENTIONS = ", ".join(f"({i}, {'null' if m[5] is None else repr(m[5])})" for i, m in enumerate(MENTIONS))
+
+
+@query(f"select p_partkey, v as verdict from part join (values {_MENTIONS}) t(i, v) on i = p_partkey % {len(MENTIONS)}")
 def entity_admission(spark, sf_dir):
-    c = TB.read(spark, sf_dir, "conversations")
-    word = F.get(T.words(F.col("text")), F.lit(0))
-    kind = F.when(F.col("turn") % 3 == 0, "code_symbol").otherwise("other")
-    return c.select("conv_id", "turn", E.admission(word, F.col("text"), kind, F.col("text"), F.col("turn")).alias("verdict"))
+    m = spark.createDataFrame([(i, *m[:5]) for i, m in enumerate(MENTIONS)], "i long, surface string, context string, kind string, summary string, n int")
+    p = TB.read(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(MENTIONS)).alias("i"))
+    verdict = E.admission(F.col("surface"), F.col("context"), F.col("kind"), F.col("summary"), F.col("n"))
+    return p.join(F.broadcast(m), "i").select("p_partkey", verdict.alias("verdict"))
 
 
 # queues and feeds
@@ -330,14 +335,14 @@ def temporal_parse(spark, sf_dir):
     return e.select(F.col("event_id").alias("doc_id"), F.explode(TP.analyse(text, ref)["anchors"]).alias("a")).select("doc_id", "a.kind", "a.start", "a.end")
 
 
-SPANS = "m as (select o_orderkey as id, epoch_ns(date_trunc('day', o_orderdate)) as s, epoch_ns(date_trunc('day', o_orderdate)) + 86400000000000 * (1 + o_orderkey % 20) as e from orders), q as (select o_orderkey as id, epoch_ns(date_trunc('day', o_orderdate)) as s, epoch_ns(date_trunc('day', o_orderdate)) + 86400000000000 as e from orders where o_orderkey % 200 = 0)"
+SPANS = "m as (select o_orderkey as id, epoch_ns(date_trunc('day', o_orderdate)) as s, epoch_ns(date_trunc('day', o_orderdate)) + 86400000000000 * (1 + o_orderkey % 20) as e from orders), q as (select o_orderkey as id, epoch_ns(date_trunc('day', o_orderdate)) as s, epoch_ns(date_trunc('day', o_orderdate)) + 86400000000000 as e from orders where o_orderkey % 20 = 0)"
 
 
 @query(f"with {SPANS} select q.id as query_id, m.id as memory_id, (case when q.s = m.s and q.e = m.e then 0.98 else 0.75 end)::double as score from q join m on q.s < m.e and m.s < q.e")
 def temporal_match(spark, sf_dir):
     day = lambda c: F.unix_micros(F.date_trunc("day", F.col(c).cast("timestamp"))) * 1000
     o = TB.read(spark, sf_dir, "orders")
-    e = o.where("o_orderkey % 200 = 0")
+    e = o.where("o_orderkey % 20 = 0")
     m = o.select(F.col("o_orderkey").alias("memory_id"), F.lit(0).alias("place"), F.lit("day").alias("kind"), day("o_orderdate").alias("start"), (day("o_orderdate") + TP.DAY * (1 + F.col("o_orderkey") % 20)).alias("end"))
     q = e.select(F.col("o_orderkey").alias("query_id"), F.lit(0).alias("place"), F.lit("day").alias("kind"), day("o_orderdate").alias("start"), (day("o_orderdate") + TP.DAY).alias("end"))
     return TP.match(q, m)
