@@ -21,6 +21,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="mnemolake-"))
         base = f"file://{_LOCAL[0]}"
@@ -44,6 +46,30 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+#: Ids that go to every task, at most; beyond, a bitmap of so many bits goes there.
+FEW_IDS = 50_000
+BITS = 1 << 26
+PAGE = 32_768
+
+
+def among(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key is among the ids (one column) and, if there are many ids, some others: no row is moved.
+
+    Many ids are set in a bitmap of ``BITS`` bits, by their hash: what is broadcast does not grow with them.  What
+    passes besides is for an exact join later."""
+    ids = materialise(ids.toDF("_id").where("_id is not null").distinct(), "ids")
+    if ids.limit(FEW_IDS + 1).count() <= FEW_IDS:
+        return df.join(F.broadcast(ids), df[key] == ids["_id"], "left_semi")
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    page = lambda c: F.call_function("div", at(c), F.lit(PAGE))
+    maps = ids.groupBy(page("_id").alias("_page")).agg(F.bitmap_construct_agg(F.pmod(at("_id"), F.lit(PAGE))).alias("_map"))
+    place = F.pmod(at(key), F.lit(PAGE)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("_map"), F.call_function("div", place, F.lit(8)).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("div", byte, F.pow(F.lit(2), F.pmod(place, F.lit(8))).cast("int")) % 2 == 1
+    found = df.join(F.broadcast(maps), page(F.col(key)) == F.col("_page")).where(bit)  # at most BITS / 8 bytes
+    return found.select(*df.columns)
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files behind a table that ``materialise`` made and nothing reads any more."""
     spark = df.sparkSession
@@ -54,10 +80,28 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def python_ready(spark: SparkSession, rows: int = 1000) -> None:
-    """Send the package to the workers; keep Arrow batches of whole texts to a few MB (only ever lowers it)."""
-    ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Like ``materialise``, as a table bucketed by ``key``: joins and groups by it do not move its rows."""
+    spark = df.sparkSession
+    path, table = scratch_path(spark, name), f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
+class python_ready:
+    """Send the package to the workers; in a ``with``, also keep Arrow batches of whole texts to a few MB and put the
+    session's setting back."""
+
+    KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def __init__(self, spark: SparkSession, rows: int = 1000):
+        ship(spark)
+        self.spark, self.rows = spark, rows
+
+    def __enter__(self) -> None:
+        self.usual = self.spark.conf.get(self.KEY, "10000")
+        if not 0 < int(self.usual) <= self.rows:
+            self.spark.conf.set(self.KEY, str(self.rows))
+
+    def __exit__(self, *_) -> None:
+        self.spark.conf.set(self.KEY, self.usual)
