@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import endpoints as EP
@@ -9,10 +10,13 @@ from ..functions import temporal as TP
 from ..functions import text as T
 from ..operators import archive as A
 from ..operators import entities as E
+from ..operators import extraction as X
 from ..operators import freshness as FR
 from ..operators import graph as G
+from ..operators import inspection as I
 from ..operators import retrieval as R
 from ..operators import versioned as VR
+from ..sources import chat_export as S
 from . import tables as TB
 from .q_core import MEM, QUERY, REV, TOK, _LEX, _LEX_PARTS, _memories
 from .registry import query
@@ -285,6 +289,82 @@ def enumerated_field(spark, sf_dir):
     return TB.read(spark, sf_dir, "customer").select("c_custkey", EP.one_of(EP.payload(relation=kind), "relation", ["same", "related"]).alias("ok"))
 
 
+@query("select p_partkey, damerau_levenshtein(p_name, case p_partkey % 4 when 0 then p_name when 1 then substr(p_name, 2, 1) || left(p_name, 1) || substr(p_name, 3) when 2 then substr(p_name, 2) else 'Z' || p_name || 'Z' end) as distance from part")
+def edit_distances(spark, sf_dir):
+    """Names against themselves with two letters swapped, one left out, or two added."""
+    k, x = F.col("p_partkey") % 4, F.col("p_name")
+    rest = lambda n: F.expr(f"substr(p_name, {n})")
+    other = F.when(k == 0, x).when(k == 1, F.concat(F.substring(x, 2, 1), F.left(x, F.lit(1)), rest(3))).when(k == 2, rest(2)).otherwise(F.concat(F.lit("Z"), x, F.lit("Z")))
+    return TB.read(spark, sf_dir, "part").select("p_partkey", T.edit_distance()(x, other).cast("long").alias("distance"))
+
+
+@query("select conv_id, turn, left(text, len(list_filter(range(1, length(text) + 1), lambda i: strlen(left(text, i)) <= 41))) as head from conversations")
+def truncated_texts(spark, sf_dir):
+    return TB.read(spark, sf_dir, "conversations").select("conv_id", "turn", T.truncate_utf8()(F.col("text"), F.lit(41)).alias("head"))
+
+
+NUMBERS = (("seven", 7), ("Twenty-three", 23), ("ninety nine", 99), ("30", 30), ("twenty-twenty", None), ("eleventy", None), ("", None), ("nineteen", 19), ("forty", 40), ("1234567890", None))
+_NUMBERS = ", ".join(f"({i}, {'null' if n is None else n})" for i, (_, n) in enumerate(NUMBERS))
+
+
+@query(f"select p_partkey, n as number from part join (values {_NUMBERS}) t(i, n) on i = p_partkey % {len(NUMBERS)}")
+def parsed_numbers(spark, sf_dir):
+    said = F.element_at(F.array(*[F.lit(w) for w, _ in NUMBERS]), (F.col("p_partkey") % len(NUMBERS) + 1).cast("int"))
+    return TB.read(spark, sf_dir, "part").select("p_partkey", T.parse_number(said).alias("number"))
+
+
+@query("select c_custkey, c_custkey % 5 <> 3 and c_custkey % 20 >= 10 as ok from customer")
+def cited_summaries(spark, sf_dir):
+    """Summaries that cite a range of known ids; by key the ids are unknown, or the range ends after the cut."""
+    k = F.col("c_custkey")
+    summary = F.concat(F.lit("They agreed (source:"), F.when(k % 5 == 3, "zz").otherwise("n1"), F.lit("..n7) and then (source:n2..n3)."))
+    ids = F.create_map(*[x for i in range(1, 9) for x in (F.lit(f"n{i}"), F.lit(i))])
+    return TB.read(spark, sf_dir, "customer").select("c_custkey", T.citations_valid(summary, ids, F.when(k % 20 >= 10, 7).otherwise(6)).alias("ok"))
+
+
+# imports
+
+
+def _export_nodes(spark, sf_dir):
+    """Nodes of each kind of omission, by turn."""
+    c, k = TB.read(spark, sf_dir, "conversations"), F.col("turn") % 6
+    message = F.struct(
+        F.struct(F.when(k == 2, "tool").otherwise(F.col("role")).alias("role")).alias("author"), F.when(k != 4, F.col("turn").cast("double")).alias("create_time"),
+        F.struct(F.when(k == 3, "image").otherwise("text").alias("content_type"), F.array("text").alias("parts")).alias("content"), F.struct((k == 1).alias("is_visually_hidden_from_conversation")).alias("metadata"),
+    )
+    node = lambda t: F.concat_ws(":", "conv_id", t)
+    return c.select("conv_id", node("turn").alias("node_id"), F.when(F.col("turn") > 0, node(F.col("turn") - 1)).alias("parent_id"), F.when(k != 0, message).alias("m"))
+
+
+@query("select count(*) as nodes, count(*) filter (turn % 6 = 5) as accepted, count(*) filter (turn % 6 = 0) as omitted_empty, count(*) filter (turn % 6 = 1) as omitted_hidden, count(*) filter (turn % 6 = 2) as omitted_role, count(*) filter (turn % 6 = 3) as omitted_content, count(*) filter (turn % 6 = 4) as omitted_untimed, 0 as omitted_window from conversations")
+def import_coverage(spark, sf_dir):
+    return I.import_coverage(_export_nodes(spark, sf_dir).withColumn("reason", S.omission()))
+
+
+@query("select conv_id, conv_id || ':' || turn as node_id, conv_id || ':' || (turn - 1) as old_parent, case when p is not null then conv_id || ':' || p end as new_parent from (select conv_id, turn, lag(turn) over (partition by conv_id order by turn) as p from conversations where turn % 3 = 2) where turn > 0")
+def parent_mappings(spark, sf_dir):
+    """Every third turn is kept: its parent, always dropped, is replaced by the turn three before, if any."""
+    t = A.turns(TB.read(spark, sf_dir, "conversations"))
+    return S.parent_mappings(t.select("conv_id", "node_id", "parent_id", (F.col("turn") % 3 == 2).alias("kept")))
+
+
+@query("select conv_id, turn, case when turn % 2 = 0 then sha256(text) else sha256('window|' || sha256(text) || '|0|900') end as key from conversations")
+def import_keys(spark, sf_dir):
+    c = TB.read(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, S.import_key(F.col("text"))).otherwise(S.import_key(F.col("text"), 0, 900)).alias("key"))
+
+
+@query("select l_orderkey as item, case when n > 4 then 'too many requests' when l_orderkey % 4 = 0 then 'coverage' when l_orderkey % 4 = 1 and r > 1 then 'bounds' end as error from (select l_orderkey, count(distinct l_linenumber) as n, count(*) as r from lineitem group by 1)")
+def evidence_checks(spark, sf_dir):
+    """Responses leave a turn out for orders divisible by 4, and are too long for those after them."""
+    k = F.col("l_orderkey")
+    li = TB.read(spark, sf_dir, "lineitem").select(k.alias("item"), F.col("l_linenumber").alias("request"), F.concat_ws(":", k, "l_linenumber").alias("node_id"))
+    first = F.col("request") == F.min("request").over(Window.partitionBy("item"))
+    left = li.withColumn("_first", first).where((F.col("item") % 4 != 0) | ~F.col("_first")).drop("_first")
+    text = F.repeat(F.lit("x"), F.when(F.col("item") % 4 == 1, 70_000).otherwise(10))
+    return X.evidence_errors(li, left.select("item", "node_id", text.alias("text")))
+
+
 # graph
 
 

@@ -44,19 +44,28 @@ def plan_import(nodes: DataFrame, start_ns: int | None = None, end_ns: int | Non
 
 
 def remap_parents(links: DataFrame, most: int = 40) -> DataFrame:
-    """Each kept node's nearest kept ancestor: dropped parents are replaced by their parents, doubling the step."""
+    """Each kept node's nearest kept ancestor: dropped parents are replaced by their parents, doubling the step.
+
+    Parents that are still dropped after ``most`` doublings lie on a cycle, which is an error."""
     drop = links.where("not kept").select(F.col("conv_id").alias("_c"), F.col("node_id").alias("_d"), F.col("parent_id").alias("_up"))
     out = links.where("kept").select("conv_id", "node_id", "parent_id")
     for _ in range(most):
         step = out.join(drop, (F.col("conv_id") == F.col("_c")) & (F.col("parent_id") == F.col("_d")), "left")
         if step.where("_d is not null").isEmpty():
-            break
+            return out
         out = step.select("conv_id", "node_id", F.when(F.col("_d").isNotNull(), F.col("_up")).otherwise(F.col("parent_id")).alias("parent_id"))
         far = drop.select(F.col("_c").alias("_fc"), F.col("_d").alias("_fd"), F.col("_up").alias("_far"))
         drop = drop.join(far, (F.col("_c") == F.col("_fc")) & (F.col("_up") == F.col("_fd")), "left").select(
             "_c", "_d", F.when(F.col("_fd").isNotNull(), F.col("_far")).otherwise(F.col("_up")).alias("_up")
         )
-    return out
+    raise ValueError("parents form a cycle")
+
+
+def parent_mappings(links: DataFrame) -> DataFrame:
+    """(conv_id, node_id, old_parent, new_parent) of the kept nodes whose parent was dropped."""
+    old = links.where("kept").select("conv_id", "node_id", F.col("parent_id").alias("old_parent"))
+    both = old.join(remap_parents(links).withColumnRenamed("parent_id", "new_parent"), ["conv_id", "node_id"])
+    return both.where(~F.col("old_parent").eqNullSafe(F.col("new_parent")))
 
 
 def read_manifest(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -1,6 +1,7 @@
 """Operators on small tables, and all oracle queries on the smallest scale."""
 
 import collections
+import hashlib
 import heapq
 import os
 import random
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from mnemolake.operators import agentic as AG
 from mnemolake.operators import freshness as FR
 from mnemolake.operators import graph as G
+from mnemolake.operators import inspection as I
 from mnemolake.operators import queues as QU
 from mnemolake.operators import retrieval as R
 from mnemolake.operators import versioned as VR
@@ -278,6 +280,34 @@ def test_import_remaps_parents(spark, tmp_path):
     assert {r["reason"]: r["n"] for r in left_out.collect()} == {None: 2, "role": 1}
 
 
+def test_parents_on_a_cycle_are_an_error(spark):
+    links = spark.createDataFrame([("c", "a", "b", False), ("c", "b", "a", False), ("c", "k", "a", True)], "conv_id string, node_id string, parent_id string, kept boolean")
+    with pytest.raises(ValueError, match="cycle"):
+        S.remap_parents(links, 4)
+
+
+def test_manifest_and_verified_files(spark, tmp_path):
+    (tmp_path / "m.json").write_text(
+        '{"conversations":[{"id":"c"}],"turns":[{"conversation_id":"c","id":"a","parent_id":null,"role":"user","timestamp_ns":5,"content":"hi"},{"conversation_id":"c","id":"b","parent_id":"a","role":"assistant","timestamp_ns":6,"content":"yo"}],'
+        '"branches":[{"conversation_id":"c","id":"main","leaf":"b"}],"episodes":[{"conversation_id":"c","start":"a","end":"b"}]}'
+    )
+    m = S.read_manifest(spark, str(tmp_path / "m.json"))
+    assert {k: df.count() for k, df in m.items()} == {"conversations": 1, "turns": 2, "branches": 1, "episodes": 1}
+    assert m["turns"].where("id = 'b'").first()["parent_id"] == "a"
+    (tmp_path / "files").mkdir()
+    for name, body in (("x.txt", b"good"), ("y.txt", b"bad")):
+        (tmp_path / "files" / name).write_bytes(body)
+    expected = spark.createDataFrame([(n, hashlib.sha256(b"good").hexdigest()) for n in ("x.txt", "y.txt", "z.txt")], "path string, sha256 string")
+    assert [r["path"] for r in S.verified_files(spark, str(tmp_path / "files"), expected).collect()] == ["x.txt"]
+
+
+def test_stages_stop_when_one_is_held_or_missing():
+    ran = lambda x: lambda: x
+    assert I.coordinate({"entities": ran("done"), "relationships": ran("held"), "vectors": ran("done")}) == {"entities": "done", "relationships": "held"}
+    assert I.coordinate({"entities": ran("done")}) == {"entities": "done", "relationships": "missing"}
+    assert I.coordinate({"entities": ran("done")}, required=("entities",)) == {"entities": "done"}
+
+
 def test_feed_applies_in_versions_and_stops_at_a_gap(spark, tmp_path):
     src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
     first = [(1, "upsert", 1, 1, "h", True), (2, "upsert", 1, 2, "h", True), (3, "visibility", 1, 1, None, False)]
