@@ -25,7 +25,7 @@ def ledger_repair(spark, sf_dir):
     return c.select("c_custkey", EP.repaired(base, patch).alias("merged"))
 
 
-@query()
+@query("select conv_id, turn, '{\"n\":' || length(cast(to_json({'role': role, 'text': text}) as varchar)) || '}' as answer from conversations")
 def injected_endpoint(spark, sf_dir):
     """A stub model that answers with the length of its payload."""
     ask = EP.complete_json(lambda s: f'{{"n":{len(s)}}}')
