@@ -148,7 +148,11 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, confidence: fl
 
 def scored(docs: DataFrame, labels: DataFrame, held_out) -> DataFrame:
     """doc_id, held_out, score, predicted, class_prior for every row; rows where ``held_out`` holds are never learned from."""
-    python_ready(docs.sparkSession)
+    with python_ready(docs.sparkSession):
+        return materialise(_scored(docs, labels, held_out), "scores")
+
+
+def _scored(docs: DataFrame, labels: DataFrame, held_out) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("good")).where("doc_id is not null and good is not null")
     good = marks.where(~held_out).groupBy("doc_id").agg(F.max("good").alias("good")).where("good = 1")

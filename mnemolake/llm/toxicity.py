@@ -172,7 +172,11 @@ def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 400) -> np.ndarray:
 
 def scored(docs: DataFrame, labels: DataFrame, held_out) -> DataFrame:
     """doc_id, held_out, score, predicted for every row; ``held_out``: a column of doc_id whose rows are never learned from."""
-    python_ready(docs.sparkSession)
+    with python_ready(docs.sparkSession):
+        return materialise(_scored(docs, labels, held_out), "scores")
+
+
+def _scored(docs: DataFrame, labels: DataFrame, held_out) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marks = labels.where("doc_id is not null and toxic is not null").where(~held_out).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chance = F.xxhash64(F.lit(11), "doc_id")
