@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialise, packed
+from .scratch import among, materialise, packed, without
 
 #: Fixed masks: 1 compares the token, 0 ignores it.  Each begins with 11.  However the tokens that PERCENT lets differ lie
 #: in a window (or in an item shorter than one), one of these matches inside it, so no window is lost.
@@ -31,8 +31,6 @@ BROADCAST_PAIRS = 100_000
 #: And whole items, by number and bytes.
 BROADCAST_ITEMS = 10_000
 BROADCAST_BYTES = 32 << 20
-#: And ids of documents that are verified, or that go; beyond it the join shuffles.
-BROADCAST_IDS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -115,7 +113,7 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     small = n <= BROADCAST_ITEMS and size <= BROADCAST_BYTES
     found = materialise(alignments(docs, items), "alignments")
     pairs = found.join(F.broadcast(known) if small else known, "item_id")
-    texts = _with(docs.select("doc_id", F.col("text").alias("_text")), F.col("doc_id"), found.select("doc_id").distinct(), "left_semi")
+    texts = among(docs.select("doc_id", F.col("text").alias("_text")), "doc_id", found.select("doc_id"))
     checked = pairs.join(texts, "doc_id")
     # not deterministic, so the filter below stays above the tokens instead of making them for each use
     checked = checked.withColumn("_doc", F.struct(tokens(F.col("_text")).alias("tokens"), F.monotonically_increasing_id().alias("barrier")))
@@ -125,17 +123,10 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     return scored.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("width").alias("width"))
 
 
-def _with(df: DataFrame, key: Column, ids: DataFrame, how: str) -> DataFrame:
-    """The rows whose key is, or is not, among the ids; the ids are broadcast while there are few."""
-    ids = materialise(ids.select(F.col("doc_id").alias("_id")), "ids")
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, key == F.col("_id"), how)
-
-
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without a verified overlap, with the columns they came with."""
-    hit = overlaps(docs.select("doc_id", "text"), items.select("item_id", "text")).select("doc_id").distinct()
-    return _with(packed(docs), F.col("row.doc_id"), hit, "left_anti").select("row.*")
+    hit = overlaps(docs.select("doc_id", "text"), items.select("item_id", "text")).select("doc_id")
+    return without(packed(docs).withColumn("id", F.col("row.doc_id")), "id", hit).select("row.*")
 
 
 def digest(docs: DataFrame, items: DataFrame) -> DataFrame:

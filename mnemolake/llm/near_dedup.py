@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vecwords as v
-from .scratch import materialise, packed, python_ready
+from .scratch import among, drop, materialise, packed, python_ready, without
 
 SHINGLE = 5
 #: Least similarity of a link, of the stages and of op9.
@@ -39,10 +39,10 @@ MISS = 1e-4
 HUBS = 2
 #: Buckets of so many members are compared in full.
 SMALL = 8
+#: Tasks that a pivot's members are dealt to.
+SALTS = 16
 #: Pairs of one hub that are compared in one place.
 PART = 500
-#: Ids sent to every task, at most.
-BROADCAST_IDS = 50_000
 ROUNDS = 3
 _U = np.uint64
 
@@ -283,7 +283,10 @@ def _rest(differences: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     counted = placed.groupBy("a", "comp").agg(F.count("*").alias("m"), F.min("size").alias("near"))
     main = counted.groupBy("a").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
     outer = counted.join(main, "a").where("comp <> main").groupBy("a").agg(F.min("near").alias("near"))
-    live = placed.join(main.join(outer, "a"), "a").withColumn("out", F.col("comp") != F.col("main"))
+    # a pivot's members are dealt to ``SALTS`` tasks
+    known = main.join(outer, "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = placed.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    live = salted.join(known, ["a", "salt"]).drop("salt").withColumn("out", F.col("comp") != F.col("main"))
     tokens = live.select("a", "b", F.explode("tokens").alias("token"))
     shared = tokens.groupBy("a", "token").agg(F.count("*").alias("f")).where("f > 1")
     ranked = tokens.join(shared, ["a", "token"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("ranked"))
@@ -307,8 +310,11 @@ def _rest(differences: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
 
 def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id; links have a similarity of ``percent``."""
-    spark = docs.sparkSession
-    python_ready(spark)
+    with python_ready(docs.sparkSession):
+        return _classes(docs, percent)
+
+
+def _classes(docs: DataFrame, percent: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = materialise(texts.mapInArrow(_sketch(percent), SKETCH), "sketch")
     known = sketch.where("doc_id is not null and n_shingles > 0")
@@ -320,12 +326,13 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         ),
         "members",
     )
-    # (bucket, representative, size of its set)
-    buckets = materialise(
-        known.where("bands is not null").join(equal.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        .select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key")).distinct(),
-        "buckets",
-    )
+    # (bucket, representative, size of its set), of buckets with two members at least
+    whole = known.join(equal.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").where("bands is not null")
+    keyed = materialise(whole.select("doc_id", F.explode("bands").alias("key")), "keys")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    sizes = member.where("doc_id = rep").groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
+    buckets = materialise(keyed.join(shared.hint("merge"), "key", "left_semi").distinct().join(sizes, "doc_id"), "buckets")
+    drop(keyed)
     comps = materialise(buckets.where("false").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("comp")), "components")
     compared = comps.select(F.col("id").alias("a"), F.col("comp").alias("b"))
 
@@ -349,19 +356,20 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         linked = apart.where((100 - percent) * (F.col("n") + F.col("pivot_n")) >= (100 + percent) * F.col("size"))
         comps = _joined(comps, linked.select(*_ordered("a", "b")))
         confirm(_rest(apart, comps, percent))
-    return (
+    done = materialise(
         member.join(comps, member["rep"] == comps["id"], "left")
-        .select("doc_id", "n_shingles", F.coalesce("comp", "rep", "doc_id").alias("component_id"))
+        .select("doc_id", "n_shingles", F.coalesce("comp", "rep", "doc_id").alias("component_id")),
+        "near-dedup",
     )
+    for table in (sketch, equal, member, buckets):
+        drop(table)
+    return done
 
 
 def _compared(texts: DataFrame, pairs: DataFrame, function, schema: str) -> DataFrame:
     """Arrow ``function`` over the pairs (a, b) with both texts."""
     pairs = materialise(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = texts.where("doc_id is not null")
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # later rounds: only the texts that are compared
-        wanted = wanted.join(F.broadcast(ids), "doc_id", "left_semi")
+    wanted = among(texts.where("doc_id is not null"), "doc_id", pairs.select(F.explode(F.array("a", "b"))))
     packed = wanted.mapInArrow(_pack, "doc_id bigint, z binary")
     # the pairs of one hub are dealt to as many parts as they need
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts"))
@@ -383,12 +391,11 @@ def digest(docs: DataFrame, percent: int = OP9_PERCENT) -> DataFrame:
 
 def drop_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each component, with the columns it came with; of rows that repeat an id, one."""
-    kept = materialise(digest(docs, percent).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("m")), "kept")
-    whole = packed(docs)
-    key = F.col("row.doc_id").cast("long")
-    out = whole.join(kept, key == F.col("id"), "left_semi")
-    twice = kept.where("m > 1").select("id")
+    judged = digest(docs, percent)
+    whole = packed(docs).withColumn("id", F.col("row.doc_id").cast("long"))
+    out = without(whole, "id", judged.where("not kept").select("doc_id"))
+    twice = materialise(judged.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").select("doc_id"), "twice")
     if not twice.isEmpty():
-        again = whole.join(twice, key == F.col("id"), "left_semi").groupBy(key).agg(F.first("row").alias("row")).select("row")
-        out = out.join(twice, key == F.col("id"), "left_anti").unionByName(again)
-    return out.unionByName(whole.where(key.isNull())).select("row.*")
+        again = among(out, "id", twice).join(twice, F.col("id") == twice["doc_id"], "left_semi").groupBy("id").agg(F.first("row").alias("row"))
+        out = without(out, "id", twice).unionByName(again)
+    return out.select("row.*")

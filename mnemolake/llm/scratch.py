@@ -52,22 +52,40 @@ BITS = 1 << 26
 PAGE = 32_768
 
 
-def among(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """The rows whose key is among the ids (one column) and, if there are many ids, some others: no row is moved.
+def _flagged(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``df`` with ``_in``: true where the key is among the ids (column ``_id``) and, if there are many ids, for some others.
 
-    Many ids are set in a bitmap of ``BITS`` bits, by their hash: what is broadcast does not grow with them.  What
-    passes besides is for an exact join later."""
-    ids = materialise(ids.toDF("_id").where("_id is not null").distinct(), "ids")
+    Many ids are set in a bitmap of ``BITS`` bits, by their hash: what is broadcast does not grow with them, and no row
+    of ``df`` is moved."""
     if ids.limit(FEW_IDS + 1).count() <= FEW_IDS:
-        return df.join(F.broadcast(ids), df[key] == ids["_id"], "left_semi")
+        return df.join(F.broadcast(ids), df[key] == ids["_id"], "left").withColumn("_in", F.col("_id").isNotNull()).drop("_id")
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
     page = lambda c: F.call_function("div", at(c), F.lit(PAGE))
     maps = ids.groupBy(page("_id").alias("_page")).agg(F.bitmap_construct_agg(F.pmod(at("_id"), F.lit(PAGE))).alias("_map"))
     place = F.pmod(at(key), F.lit(PAGE)).cast("int")
     byte = F.conv(F.hex(F.substring(F.col("_map"), F.call_function("div", place, F.lit(8)).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.call_function("div", byte, F.pow(F.lit(2), F.pmod(place, F.lit(8))).cast("int")) % 2 == 1
-    found = df.join(F.broadcast(maps), page(F.col(key)) == F.col("_page")).where(bit)  # at most BITS / 8 bytes
-    return found.select(*df.columns)
+    found = df.join(F.broadcast(maps), page(F.col(key)) == F.col("_page"), "left")  # at most BITS / 8 bytes
+    return found.withColumn("_in", F.coalesce(bit, F.lit(False))).drop("_page", "_map")
+
+
+def _ids(ids: DataFrame) -> DataFrame:
+    return materialise(ids.toDF("_id").where("_id is not null").distinct(), "ids")
+
+
+def among(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key is among the ids (one column) and, if there are many ids, a few others, for an exact join later."""
+    return _flagged(df, key, _ids(ids)).where("_in").drop("_in")
+
+
+def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key is not among the ids (one column), null keys included.  Of many ids, only rows that may be
+    among them are moved."""
+    ids = _ids(ids)
+    flagged = _flagged(df, key, ids)
+    sure = flagged.where("not _in").drop("_in")
+    rest = flagged.where("_in").drop("_in")
+    return sure.unionByName(rest.join(ids, rest[key] == ids["_id"], "left_anti"))
 
 
 def drop(df: DataFrame) -> None:

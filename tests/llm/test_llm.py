@@ -3,20 +3,25 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mnemolake.llm import decontam, katz, mixing, near_dedup, pu_classifier, quality_rules, secrets, sharding, substring_dedup, toxicity, vecwords
+from mnemolake.llm import decontam, katz, mixing, near_dedup, pu_classifier, quality_rules, scratch, secrets, sharding, substring_dedup, toxicity, vecwords
 from mnemolake.llm.scratch import materialise
 
+END = ("end",)
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 VOCAB = [f"w{i}" for i in range(400)]
+#: Names that operators use, or used, for columns of their own.
+CLASHES = "key n z hs id m row comp _p _m _k _t _q _mix _rank _local _offset _slice _source _picked _cand _kept _base_failed uid at".split()
 
 
 def words(rng, n):
@@ -87,6 +92,42 @@ def test_substring_dedup(docs, rows, empty):
     assert substring_dedup.digest(empty).count() == 0
 
 
+def _substrings(rows):
+    """(words, removed, kept) by id, in the order of the rows."""
+    seen, out = set(), {}
+    for i, t in rows:
+        w = (t or "").encode().split()
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            g = tuple(w[k : k + 20])
+            if g in seen:
+                gone[k : k + 20] = [True] * 20
+            seen.add(g)
+        out[i] = (len(w), sum(gone), hashlib.sha256(b" ".join(x for x, y in zip(w, gone) if not y)).hexdigest())
+    return out
+
+
+def test_substring_index_goes_on_in_later_jobs(spark, rows, tmp_path):
+    rng = random.Random(6)
+    shuffled = [(i, t) for i, t in rows if t]
+    rng.shuffle(shuffled)
+    parts = [sorted(shuffled[k::4], key=lambda r: r[0]) for k in range(4)]
+    want = _substrings([r for part in parts for r in part])
+    path, history = f"file://{tmp_path}/index", []
+    substring_dedup.FingerprintIndex.create(spark, path, buckets=3, fanout=2)
+    for k, part in enumerate(parts):
+        index = substring_dedup.FingerprintIndex.open(spark, path, fanout=2)  # as another job would
+        assert index.version >= k + 1
+        df = spark.createDataFrame(part, "doc_id long, text string")
+        got = substring_dedup.extend(index, spark.createDataFrame(history, "doc_id long, text string"), df)
+        assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()} == {i: want[i] for i, _ in part}
+        history += part
+    assert len(substring_dedup.FingerprintIndex.open(spark, path).runs) <= 2
+    index = substring_dedup.FingerprintIndex.open(spark, path)
+    plan = spark.table(index.runs[0][1]).groupBy("h").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_near_dedup(docs, rows, empty):
     sets = {}
     for i, t in rows:
@@ -124,6 +165,17 @@ def test_near_duplicate_stage_links_at_80(spark):
     assert near_dedup.rows_for(85) == 8 and near_dedup.rows_for(80) == 6
 
 
+def test_ids_are_found_by_bitmap_too(spark, monkeypatch):
+    df = spark.range(30_000).select(F.when(F.col("id") % 10 > 0, F.col("id")).alias("k"), "id")
+    ids = spark.range(0, 30_000, 3).union(spark.range(5)).select(F.when(F.col("id") != 3, F.col("id")).alias("k"))
+    inside = {i for i in range(30_000) if i % 10 and i != 3 and (i % 3 == 0 or i < 5)}
+    for few in (10**6, 10):
+        monkeypatch.setattr(scratch, "FEW_IDS", few)
+        got = {r["id"] for r in scratch.among(df, "k", ids).collect()}
+        assert inside <= got and len(got) <= len(inside) + 3100  # rows without a key may share a bit
+        assert {r["id"] for r in scratch.without(df, "k", ids).collect()} == set(range(30_000)) - inside
+
+
 def test_near_dedup_links_the_smallest_sets(spark):
     rows = []
     for k in range(40):
@@ -138,7 +190,7 @@ def test_near_dedup_links_the_smallest_sets(spark):
 
 def test_rows_that_repeat_and_rows_without_id(spark):
     t = " ".join(VOCAB[:40])
-    df = spark.createDataFrame([(1, t), (1, t), (2, t), (None, t), (None, None)], "doc_id long, text string").withColumns({"key": F.lit(1), "n": F.lit(2), "z": F.lit(3), "hs": F.lit(0)})
+    df = spark.createDataFrame([(1, t), (1, t), (2, t), (None, t), (None, None)], "doc_id long, text string").withColumns({x: F.lit(k) for k, x in enumerate(CLASHES)})
     near = sorted(((r["doc_id"] or -1), r["component_id"], r["kept"]) for r in near_dedup.digest(df).collect() if r["doc_id"])
     assert near == [(1, 1, True), (1, 1, True), (2, 1, False)]
     assert near_dedup.drop_copies(df).count() == 3
@@ -146,9 +198,17 @@ def test_rows_that_repeat_and_rows_without_id(spark):
     assert sorted(sub, key=str) == sorted([(1, 0), (1, 0), (2, 40), (None, 0), (None, 0)], key=str)
     assert toxicity.digest(df, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 5
     assert katz.digest(df).count() == 5
-    for op in (quality_rules.judge, secrets.scan, sharding.shuffle_shards, mixing.with_cells):
+    for op in (quality_rules.judge, secrets.scan, sharding.shuffle_shards, mixing.calibrated):
         out = op(df.withColumn("source", F.lit(None).cast("string")).withColumn("lang", F.lit("x")))
-        assert out.count() == 5 and {"key", "n", "z", "hs"} <= set(out.columns)
+        assert out.count() == 5 and set(CLASHES) <= set(out.columns) and len(set(out.columns)) == len(out.columns)
+        own = {"_mix", "_base_failed"} if op is not secrets.scan else set()
+        for r in out.collect():
+            assert all(r[c] == k for k, c in enumerate(CLASHES) if c not in own and not (op is quality_rules.judge and c in ("_q", "_kept")))
+    for op in (quality_rules.apply_rules, mixing.mix, near_dedup.drop_copies):
+        out = op(df.withColumns({"source": F.lit(None).cast("string"), "lang": F.lit("x")}))
+        assert out.columns == [*df.columns, "source", "lang"] and all(r[c] == k for r in out.collect() for k, c in enumerate(CLASHES))
+    items = spark.createDataFrame([(1, " ".join(VOCAB[:30]))], "item_id long, text string")
+    assert decontam.clean(df, items).count() == 2 and decontam.digest(df, items).count() == 2
 
 
 def test_quality_rules(docs, rows, empty):
@@ -167,50 +227,88 @@ def test_quality_rules(docs, rows, empty):
     assert quality_rules.apply_rules(docs).columns == docs.columns
 
 
-def test_katz(docs, rows, empty):
-    got = by_id(katz.digest(docs))
-    end = ("end",)
-    toks = {i: (t or "").encode().lower().split() + [end] for i, t in rows}
-    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in toks}
-    c, b = collections.Counter(), collections.Counter()
-    for i, t in toks.items():
-        if not held[i]:
-            c.update(t)
-            b.update(zip([end, *t], t))
-    n, types = sum(c.values()), len(c)
-    hist = lambda x: [sum(1 for y in x.values() if y == r) for r in range(1, 7)]
-    model = katz.Words(n, types, hist(c))
-    p1 = lambda w: float(model.p(__import__("numpy").array([c[w]]))[0])
-    assert abs(sum(map(p1, c)) + model.unseen - 1) < 1e-9
-    b = {k: r for k, r in b.items() if c[k[0]] >= model.context}
-    d = katz.discounts(hist(b))
-    follow = collections.defaultdict(list)
-    for (u, w), r in b.items():
-        follow[u].append((w, (d[r] if r <= 5 else 1) * r))
-
-    def p2(u, w):
-        if c[u] < model.context:
-            return p1(w)
-        taken, total = sum(x for _, x in follow[u]), c[u]
+class Backoff:
+    """The model by counting n-grams one by one."""
+
+    def __init__(self, toks, held, order):
+        self.order = order
+        self.c = [collections.Counter() for _ in range(order + 1)]
+        for i, t in toks.items():
+            if not held[i]:
+                self.c[1].update((w,) for w in t)
+                for n in range(2, order + 1):
+                    # the end token stands before the first word, and no context reaches beyond it
+                    self.c[n].update(g for g in zip(*(([END, *t])[k:] for k in range(n))))
+        hist = lambda x: [sum(1 for y in x.values() if y == r) for r in range(1, 7)]
+        self.words = katz.Words(sum(self.c[1].values()), len(self.c[1]), hist(self.c[1]))
+        self.d = [None, None, *(katz.discounts(hist(x)) for x in self.c[2:])]
+        self.follow = collections.defaultdict(list)
+        for n in range(2, order + 1):
+            for g, r in self.c[n].items():
+                self.follow[g[:-1]].append((g[-1], (self.d[n][r] if r <= 5 else 1) * r))
+
+    def one(self, w):
+        return float(self.words.p(np.array([self.c[1][(w,)]]))[0])
+
+    def p(self, context, w):
+        if not context:
+            return self.one(w)
+        total = self.c[len(context)][context]
+        if not total:
+            return self.p(context[1:], w)
+        seen = dict(self.follow[context])
+        taken = sum(seen.values())
         total += taken > total - 1e-6
-        seen = dict(follow[u])
         if w in seen:
             return seen[w] / total
-        return (1 - taken / total) / max(1 - sum(p1(x) for x in seen), 1e-12) * p1(w)
+        return (1 - taken / total) / max(1 - sum(self.p(context[1:], x) for x in seen), 1e-12) * self.p(context[1:], w)
 
-    import math
+    def score(self, t):
+        before = [END, *t]
+        return sum(math.log10(self.p(tuple(before[max(0, k + 2 - self.order) : k + 1]), w)) for k, w in enumerate(t))
 
-    for i, t in toks.items():
-        r = got[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(t), sum(c[w] > 0 for w in t), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (types + 1))) for w in t))
-        assert r["score"] == pytest.approx(sum(math.log10(p2(u, w)) for u, w in zip([end, *t], t)))
+
+def _tokens(rows):
+    return {i: (t or "").encode().lower().split() + [END] for i, t in rows}
+
+
+def test_katz(docs, rows, empty):
+    toks = _tokens(rows)
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in toks}
+    for order in (2, 3):
+        model = Backoff(toks, held, order)
+        c, n, types = model.c[1], model.words.n, model.words.types
+        assert abs(sum(model.one(w) for w, in c) + model.words.unseen - 1) < 1e-9
+        got = by_id(katz.scored(docs, order))
+        for i, t in toks.items():
+            r = got[i]
+            assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(t), sum(c[w,] > 0 for w in t), n)
+            assert r["base_score"] == pytest.approx(sum(math.log10((c[w,] + 0.5) / (n + 0.5 * (types + 1))) for w in t))
+            assert r["score"] == pytest.approx(model.score(t)), (order, i)
     assert katz.digest(empty).count() == 0
 
 
-def test_katz_contexts_do_not_depend_on_the_size():
-    for n in (10, 10**6, 10**10):
-        assert katz.Words(n, n // 2 + 1, [n // 4, 0, 0, 0, 0, 0]).context <= 1
+def test_katz_distributions_sum_to_one(rows):
+    toks = _tokens(rows)
+    model = Backoff(toks, dict.fromkeys(toks, False), 3)
+    for context in [(END,), *random.Random(1).sample(sorted((g for g in model.c[2] if g[1] != END), key=repr), 5)]:
+        assert sum(model.p(context, w) for w, in model.c[1]) + model.p(context, b"never seen") == pytest.approx(1)
+
+
+def test_katz_tables_score_other_texts_in_a_later_job(spark, docs, rows, tmp_path):
+    for order in (2, 3):
+        path = f"file://{tmp_path}/model{order}"
+        katz.train(docs, path, order)
+        toks = _tokens(rows)
+        model = Backoff(toks, {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in toks}, order)
+        other = [(7000, rows[10][1][:200] + " unheard of words " + rows[12][1]), (7001, None), (7002, "wholly new text"), (7003, rows[60][1])]
+        opened = katz.load(spark, path)
+        got = by_id(katz.score(spark.createDataFrame(other, "doc_id long, text string").repartition(2), opened))
+        for i, t in _tokens(other).items():
+            assert got[i]["score"] == pytest.approx(model.score(t)), (order, i)
+        assert opened.order == order and katz.score(docs.where("false"), opened).count() == 0
+    weights = spark.read.parquet(f"{path}/weights")
+    assert {r["level"] for r in weights.select("level").distinct().collect()} == {2, 3}
 
 
 def test_katz_uses_the_bigrams_of_rare_words(spark):
@@ -248,12 +346,48 @@ def test_secrets(spark, empty):
     assert secrets.digest(empty).count() == 0
 
 
-def test_entropy_of_windows(spark):
+def _margin(s):
     import math
 
-    s = "tR9xQ2mLp7Zk4WvB8sYcaaaaaaaaaabbbbbbbbbb0123456789"
-    want = max(-sum(n / 20 * math.log2(n / 20) for n in collections.Counter(s[i : i + 20]).values()) for i in range(len(s) - 19))
-    assert spark.range(1).select(secrets.window_entropy(F.lit(s))).first()[0] == pytest.approx(want)
+    best = -1e9
+    for i in range(len(s) - 19):
+        w = s[i : i + 20]
+        bits = -sum(n / 20 * math.log2(n / 20) for n in collections.Counter(w).values())
+        kind = "hex" if re.fullmatch("[0-9a-fA-F]+", w) else "alnum" if re.fullmatch("[0-9a-zA-Z]+", w) else "base64"
+        if not w.isdigit():
+            best = max(best, bits - secrets.THRESHOLDS[kind])
+    return best
+
+
+def test_entropy_of_windows(spark):
+    rng = random.Random(2)
+    alphabets = ("0123456789", "0123456789abcdef", "ABCxyz0189", "+/=_-abcXYZ019", "ab")
+    rows = ["tR9xQ2mLp7Zk4WvB8sYcaaaaaaaaaabbbbbbbbbb0123456789", "a" * 19, "a" * 20]
+    rows += ["".join(rng.choice(rng.choice(alphabets)) for _ in range(n)) for n in (20, 21, 39, 1023, 1024, 1025, 1043, 1044, 2100) for _ in range(3)]
+    rows += ["".join(rng.choice(alphabets[k % 5]) for _ in range(60)) for k in range(20)]
+    got = spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k int, s string").select("k", secrets.window_margin(F.col("s")).alias("m")).collect()
+    for r in got:
+        assert r["m"] == pytest.approx(_margin(rows[r["k"]])), rows[r["k"]]
+
+
+def test_secrets_of_awkward_texts_take_linear_time(spark):
+    import time
+
+    rng = random.Random(3)
+    texts = ["k" * 40 + "7", "x" + "-" * 200 + "7", "aB" * 300 + "7", "=" * 5000 + "a1", "".join(rng.choice("ghiXYZPQR01+/") for _ in range(1 << 20)), " ".join(f"k{i}={'0a' * 12}{i}" for i in range(20_000)), "password" + " " * 100_000 + "x", "token=abcdef " * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    secrets.digest(df.limit(1)).collect()
+    began = time.time()
+    got = by_id(secrets.digest(df))
+    assert time.time() - began < 60
+    assert got[4]["spans"] == f"entropy:0:{1 << 20}" and got[5]["n_hex"] == 20_000 and got[7]["n_assign"] == 20_000
+    assert got[0]["spans"] == got[1]["spans"] == got[2]["spans"] == got[3]["spans"] == ""
+
+
+def test_names_are_no_secrets(spark):
+    texts = ["release-notes-2024-part-3-final", "123e4567-e89b-12d3-a456-426614174000", "the_quick_brown_fox_jumps_over_13_dogs", "kD93-xQ2mLp7Zk4WvB8sYc"]
+    got = by_id(secrets.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [got[i]["spans"] for i in range(4)] == ["", "", "", "entropy:0:22"]
 
 
 def test_sharding(docs, rows, empty):
@@ -278,6 +412,36 @@ def test_communication_matrix():
     assert [sum(r) for r in big] == [3 * 10**9, 10**9] and [sum(c) for c in zip(*big)] == [2 * 10**9] * 2
 
 
+def test_large_hypergeometric_draws_are_exact():
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for good, bad, n in ((7, 12, 9), (30, 11, 20), (5, 40, 44)):
+        draws = collections.Counter(sharding.hypergeometric(rng, good, bad, n, limit=0) for _ in range(20_000))
+        law = {k: math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) for k in range(max(0, n - bad), min(good, n) + 1)}
+        assert set(draws) <= set(law) and sum((draws[k] / 20_000 - p) ** 2 / p for k, p in law.items()) * 20_000 < 3 * len(law) + 20
+    good, bad, n = 3 * 10**10, 7 * 10**10, 2 * 10**10
+    x = np.array([sharding.hypergeometric(rng, good, bad, n) for _ in range(3000)], float)
+    mean, sd = n * 0.3, (n * 0.3 * 0.7 * 0.8) ** 0.5
+    assert abs(x.mean() - mean) < 5 * sd / 3000**0.5 and 0.93 < x.std() / sd < 1.07
+    for x in (1, 5, 17, 400, 999):
+        exact = math.log(math.comb(1000, x)) + x * math.log(0.3) + (1000 - x) * math.log(0.7)
+        assert sharding._log_binomial(x, 1000, 0.3) == pytest.approx(exact, abs=1e-9)
+
+
+def test_sharding_splits_rows_of_one_identity(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "MANY", 50)
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("same").alias("text"), F.lit(1).alias("shard"))
+    got = sharding.shuffle_shards(df, shards=5, partitions=16).collect()
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert sorted(map(len, slots.values())) == [600] * 5 and all(sorted(x) == list(range(600)) for x in slots.values())
+    assert sum(r["doc_id"] is None for r in got) == 1000 and len({r["doc_id"] for r in got}) == 2001
+
+
 def test_decontamination(spark, empty):
     rng = random.Random(5)
     items = [(k, words(rng, 30)) for k in range(6)] + [(6, None), (7, "too short")]
@@ -330,9 +494,11 @@ def test_mixing(docs, rows, empty):
     got = mixing.digest(docs).collect()
     assert len(got) == len(rows) and all(0 <= r["probability"] <= 1 for r in got)
     assert {r["doc_id"] for r in mixing.mix(docs).collect()} == {r["doc_id"] for r in got if r["selected"]}
-    spread = mixing.calibrated(docs, max_cells=1).select("doc_id", F.round("_probability", 3).alias("p")).collect()
-    few = {r["doc_id"]: r["probability"] for r in got}
-    assert all(abs(few[r["doc_id"]] - r["p"]) < 0.02 for r in spread)
+    goals = {"source": {"s0": 0.1, "s1": 0.6, "s2": 0.3}, "lang": {"en": 1.0}}
+    for targets in (None, goals):
+        both = [{r["doc_id"]: r["p"] for r in mixing.calibrated(docs, targets, max_cells=n).select("doc_id", F.col("_mix.probability").alias("p")).collect()} for n in (1, 1000)]
+        assert both[0].keys() == both[1].keys() and all(both[0][i] == pytest.approx(both[1][i], abs=1e-9) for i in both[0])
+        assert targets is not None or both[0] == pytest.approx({r["doc_id"]: r["probability"] for r in got}, abs=1e-9)
     assert mixing.digest(empty).count() == 0
 
 
@@ -370,22 +536,176 @@ def test_quality_classifier_held_out(spark):
     assert len(got) == 302 and len(wrong) <= 2 and all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_prior_is_estimated_without_negative_labels():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for share in (0.2, 0.5, 0.85):
+        positive = rng.normal(1.5, 1, (3000, pu_classifier.N_MEASURES))
+        truth = rng.random(4000) < share
+        unlabelled = np.where(truth[:, None], rng.normal(1.5, 1, (4000, pu_classifier.N_MEASURES)), rng.normal(-1.5, 1, (4000, pu_classifier.N_MEASURES)))
+        assert abs(pu_classifier.estimated_prior(positive, unlabelled) - share) < 0.06
+
+
+def test_learners_take_one_row_of_each_id(spark, empty):
+    rows = [(7, "fine words. " * 20 + str(k)) for k in range(400)] + [(i, f"odd ### {i} " * 20) for i in range(100, 140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1, 0), (7, 1, 0), (7, None, None), *[(i, 0, 1) for i in range(100, 140)]], "doc_id long, quality int, toxic int")
+    for op in (pu_classifier, toxicity):
+        got = op.digest(docs, labels).collect()
+        assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+        assert op.digest(empty, labels).count() == 0 and op.digest(docs, labels.where("false")).count() == len(rows)
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, and columns whose names operators use."""
+    rng = random.Random(14)
+    long = " ".join(rng.choice(VOCAB) for _ in range(150_000))
+    plain = words(rng, 60)
+    rows = [
+        (None, None, None, None, None), (1, None, None, None, None), (2, "", "en", None, 0), (2, "", "en", None, 0), (3, long, "en", "a", 1), (4, "x" * 200_000, "de", "a", 2), (5, plain, None, "b", 3),
+        (5, plain, None, "b", 3), (5, plain + " other", None, "b", 3), (None, plain, "en", "b", 4), (6, plain.upper(), "en", "a", 5), (7, " \n\n\t ", "fr", "a", 6), (8, "\U0001f600 \u200b caf\u00e9 " * 40, "fr", "a", 7),
+    ]
+    return spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(k) for k, c in enumerate(CLASHES)})
+
+
+@pytest.mark.parametrize("case", ["awkward", "empty"])
+@pytest.mark.parametrize("op", ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"])
+def test_every_operator_handles_awkward_tables(spark, awkward, op, case):
+    from mnemolake.llm import queries
+
+    docs = awkward if case == "awkward" else awkward.where("false")
+    labels = spark.createDataFrame([(5, 1, 0), (5, None, 1), (None, 1, 1), (6, 0, 1), (3, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, " ".join(VOCAB[:30])), (1, None), (None, ""), (2, words(random.Random(14), 30))], "item_id long, text string")
+    tables = {"documents": docs, "labels": labels, "benchmark": items}
+    read, queries._read = queries._read, lambda spark, sf_dir, table: tables[table]
+    try:
+        name = next(n for n in queries.queries() if n.split("_")[0] == op)
+        got = queries.queries()[name](spark, "").collect()
+    finally:
+        queries._read = read
+    if op != "op8":
+        assert len(got) == docs.count()
+        assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(r["doc_id"] for r in docs.select("doc_id").collect())
+    for items in (tables["benchmark"].where("false"),):
+        assert op != "op8" or decontam.clean(docs, items).count() == docs.count()
+
+
 def test_pipeline(spark, docs, tmp_path):
     docs = docs.withColumn("text", F.regexp_replace("text", r" w1\d+", " the"))
+    passage = " ".join(VOCAB[:30])
+    held = [(900, f"the {words(random.Random(1), 60)} of the {passage} and the {words(random.Random(2), 60)} that")]
+    docs = docs.unionByName(spark.createDataFrame([(i, t, "en", "s1", len(t)) for i, t in held], SCHEMA))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(0, " ".join(VOCAB[:30]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(0, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     now = docs
     for name, stage in corpus_pipeline.STAGES:
+        before = {r["doc_id"]: r["text"] or "" for r in now.collect()}
         out = materialise(stage(spark, now, str(tmp_path)), name)
         kept = {r["doc_id"] for r in out.collect()}
-        assert kept <= {r["doc_id"] for r in now.collect()}
-        if name != "sharding":
-            assert out.columns == docs.columns
+        assert out.columns == docs.columns if name != "sharding" else {"shard", "slot"} < set(out.columns)
+        if name == "quality_rules":
+            assert kept == {i for i, t in before.items() if _passes(t)} and 0 < len(kept) < len(before)
+        elif name == "near_dedup":
+            sets = {i: _shingles(t) for i, t in before.items()}
+            assert kept == {i for i, c in _brute_components(sets, 80).items() if i == c} and len(kept) < len(before)
+        elif name == "decontamination":
+            assert 900 in before and kept == {i for i, t in before.items() if not _holds(t, passage)} and 900 not in kept
+        elif name == "mixing":
+            chance = {r["doc_id"]: (r["p"], r["c"]) for r in mixing.calibrated(now).select("doc_id", F.col("_mix.probability").alias("p"), (F.shiftrightunsigned(F.xxhash64(F.lit(mixing.SEED), "doc_id"), 11) / float(1 << 53)).alias("c")).collect()}
+            assert kept == {i for i, (p, c) in chance.items() if c < p}
+        else:
+            sizes = collections.Counter(r["shard"] for r in out.collect())
+            assert kept == set(before) and max(sizes.values()) - min(sizes.get(k, 0) for k in range(24)) <= 1
         now = out
-    assert kept and "shard" in now.columns
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r["doc_id"] for r in got.collect()} == kept
+
+
+def _shingles(t):
+    w = t.encode().lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def _passes(t):
+    """The production table of quality rules, one by one."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    grams = list(zip(w, w[1:], w[2:]))
+    twice = collections.Counter(grams)
+    inside = {k + j for k, g in enumerate(grams) if twice[g] > 1 for j in range(3)}
+    if len(w) < 50 or 100 * len(inside) > 50 * len(w):
+        return False
+    lines = [x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    chars = sum(map(len, w))
+    of = {
+        "word_chars": chars, "n_words": len(w), "n_symbols": sum(c in "#*$%&|<>" for c in t), "n_marks": sum(c in "!?" for c in t), "n_upper": sum(c.isupper() for c in t),
+        "n_stop_words": sum(x in quality_rules.STOP_WORDS for x in w), "n_dup_lines": len(lines) - len(set(lines)), "n_lines": len(lines),
+    }
+    for r in quality_rules.RULES:
+        over, under = (of[x.strip()] for x in r.metric.split("/"))
+        if not under or (r.least is not None and over / under < r.least) or (r.most is not None and over / under > r.most):
+            return False
+    return True
+
+
+def _holds(t, item):
+    """Whether a window of 20 aligned tokens agrees in 80 %."""
+    cut = lambda x: [y for y in re.split(r"[\x00-/:-`{-\x7F]+", x.lower()) if y]
+    d, q = cut(t), cut(item)
+    for shift in range(-len(q), len(d)):
+        same = [0 <= shift + j < len(d) and d[shift + j] == q[j] for j in range(len(q))]
+        if any(sum(same[k : k + 20]) >= 16 for k in range(len(q) - 19)):
+            return True
+    return False
 
 
 def test_queries_are_registered():
     from mnemolake.llm import queries
 
     assert {n.split("_")[0] for n in queries.queries()} == {f"op{k}" for k in range(1, 11)}
+
+
+def _brute_components(sets, percent):
+    comp = {i: i for i in sets}
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            comp[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
+def test_near_dedup_of_a_large_group_of_which_half_is_linked(spark):
+    rng = random.Random(12)
+    base, rows = [rng.choice(VOCAB) for _ in range(150)], []
+    for i in range(700):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 5, 6, 8])):
+            k = rng.randrange(len(w))
+            w[k : k + 1] = rng.choice([[], [f"x{rng.randrange(9999)}"], [w[k], rng.choice(VOCAB)]])
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, rows[i * 40][1] + f" tail{i} end") for i in range(15)]  # links of members that lie far from the middle
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (80, 85):
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup.classes(df, percent).collect()}
+        assert got == _brute_components(sets, percent)
+
+
+def test_components_of_chains_and_stars(spark):
+    rng = random.Random(4)
+    mixed = list(range(5000, 5400))
+    rng.shuffle(mixed)
+    edges = [(i, i + 1) for i in range(2000)] + list(zip(mixed, mixed[1:])) + [(9000 + i, 9500) for i in range(300)]
+    got = {r["id"]: r["comp"] for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = dict.fromkeys(range(2001), 0) | dict.fromkeys(mixed, 5000) | dict.fromkeys([*range(9000, 9300), 9500], 9000)
+    assert got == want
