@@ -130,7 +130,8 @@ def fit(
 
 
 def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, confidence: float = 0.1) -> float:
-    """The share of positives among unlabelled texts."""
+    """The share of positives among unlabelled texts, less two standard errors: too high a prior turns negatives into
+    positives, too low a one costs little."""
     rng = np.random.default_rng(8)
     p, u = rng.permutation(len(positive)), rng.permutation(len(unlabelled))
     halves = lambda x, at: (x[at[: len(at) // 2]], x[at[len(at) // 2 :]])
@@ -143,7 +144,9 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, confidence: fl
     at = sp[: max(1, int(0.99 * len(sp)))]
     ratio = above(su, at) / above(sp, at)
     slack = ((np.log(4 / confidence) / 2) ** 0.5 * (len(su) ** -0.5 + len(sp) ** -0.5)) / above(sp, at)
-    return float(min(max(ratio[np.argmin(ratio + slack)], 0.01), 0.98))
+    best = float(ratio[np.argmin(ratio + slack)])
+    below = 2 * (max(best * (1 - best), 0) / len(su)) ** 0.5
+    return min(max(best - below, best / 2, 0.01), 0.98)
 
 
 def scored(docs: DataFrame, labels: DataFrame, held_out) -> DataFrame:
