@@ -379,26 +379,73 @@ def iso_days(text: Column) -> Column:
     return F.array_compact(F.transform(found, lambda d: F.unix_date(F.try_to_date(d, "yyyy-MM-dd"))))
 
 
+#: Days of nanoseconds in 64 bits, shifted to be positive, have this many bits.
+DAY_BITS, DAY_SHIFT = 18, 1 << 17
+
+
+def _anchors(rows: DataFrame, key: str, day_limit: int) -> tuple[DataFrame, bool, bool]:
+    """Distinct anchors by id with their first and last days; whether some id has several, and whether some are wide or open."""
+    lo, hi = F.coalesce(F.col("start"), F.lit(-(1 << 62))), F.coalesce(F.col("end"), F.lit(1 << 62))
+    each = rows.groupBy(key).agg(F.collect_set(F.struct("place", "kind", "start", "end")).alias("_a")).select(key, (F.size("_a") > 1).alias("_many"), F.explode("_a").alias("_a")).select(key, "_many", "_a.*")
+    a, b = F.floor(lo / DAY), F.floor((hi - 1) / DAY)
+    bounded = F.col("start").isNotNull() & F.col("end").isNotNull() & (F.col("end") - F.col("start") <= day_limit * DAY)
+    dated = each.select("*", lo.alias("_lo"), hi.alias("_hi"), F.least(a, b).alias("_first"), F.greatest(a, b).alias("_last"), (~F.coalesce(bounded, F.lit(False))).alias("_wide"))
+    many, wide = dated.agg(F.bool_or("_many"), F.bool_or("_wide")).first()
+    return dated, bool(many), bool(wide)
+
+
+def _cover(first: Column, last: Column) -> Column:
+    """The dyadic ranges whose disjoint union is the days from first to last, as codes of level and place."""
+    level = lambda k: (F.ceil((first + DAY_SHIFT) / (1 << k)), F.floor((last + DAY_SHIFT + 1) / (1 << k)))
+    code = lambda k, x: (x + (k << 20)).cast("long")
+    out = []
+    for k in range(DAY_BITS + 1):
+        left, right = level(k)
+        out += [F.when((left < right) & (left % 2 == 1), code(k, left)), F.when((left < right) & (right % 2 == 1), code(k, right - 1))]
+    return F.array_compact(F.array(*out))
+
+
+def _above(day: Column) -> Column:
+    """The codes of the dyadic ranges that hold a day, one a level."""
+    return F.array(*[(F.floor((day + DAY_SHIFT) / (1 << k)) + (k << 20)).cast("long") for k in range(DAY_BITS + 1)])
+
+
 def match(queries: DataFrame, memories: DataFrame, most: int = 6, day_limit: int = 400) -> DataFrame:
     """Best score of a memory for a query by overlapping anchors; the first ``most`` overlaps in list order count.
 
-    Inputs: (query_id | memory_id, place, kind, start, end); null bounds are open.  Spans of up to ``day_limit`` days
-    meet on shared days, an equality join; longer and open ones, on either side, are compared by their bounds."""
-    day = lambda c: F.floor(F.col(c) / DAY)
-    bounded = (F.col("start").isNotNull()) & (F.col("end").isNotNull()) & (F.col("end") - F.col("start") <= day_limit * DAY)
-    keyed = lambda df: df.where(bounded).withColumn("_day", F.explode(F.sequence(day("start"), F.floor((F.col("end") - 1) / DAY))))
-    q, m = queries.alias("q"), memories.alias("m")
-    overlap = (F.coalesce(F.col("q.start"), F.lit(-(1 << 62))) < F.coalesce(F.col("m.end"), F.lit(1 << 62))) & (F.coalesce(F.col("m.start"), F.lit(-(1 << 62))) < F.coalesce(F.col("q.end"), F.lit(1 << 62)))
-    cols = ["query_id", "memory_id", F.col("q.place").alias("qp"), F.col("m.place").alias("mp"), F.col("q.kind").alias("qk"), F.col("q.start").alias("qs"), F.col("q.end").alias("qe"), F.col("m.kind").alias("mk"), F.col("m.start").alias("ms"), F.col("m.end").alias("me")]
-    near = keyed(queries).alias("q").join(keyed(memories).alias("m"), (F.col("q._day") == F.col("m._day")) & overlap).select(*cols)
-    wide_q, wide_m = queries.where(~F.coalesce(bounded, F.lit(False))).alias("q"), memories.where(~F.coalesce(bounded, F.lit(False))).alias("m")
-    far = wide_q.join(m, overlap).select(*cols).union(queries.where(bounded).alias("q").join(wide_m, overlap).select(*cols))
-    pairs = near.union(far).distinct()
-    same = F.col("qk").eqNullSafe(F.col("mk")) & F.col("qs").eqNullSafe(F.col("ms")) & F.col("qe").eqNullSafe(F.col("me"))
-    exact = F.try_element_at(F.create_map(*[F.lit(x) for kv in SCORES.items() for x in kv]), F.col("qk"))
-    scored = pairs.withColumn("score", F.when(same, F.coalesce(exact, F.lit(OVERLAP))).otherwise(OVERLAP))
+    Inputs: (query_id | memory_id, place, kind, start, end); null bounds are open.  All joins are equalities, and a pair of
+    anchors leaves them once: spans of up to ``day_limit`` days meet on the first day they share; where a longer or open
+    one takes part, the first day of one lies in a dyadic range of the other.  Only ids with several anchors are grouped."""
+    q, q_many, q_wide = _anchors(queries, "query_id", day_limit)
+    m, m_many, m_wide = _anchors(memories, "memory_id", day_limit)
+    renamed = lambda df, key, x: df.select(key, *[F.col(c).alias(f"{x}{c}") for c in df.columns if c != key])
+    q, m = renamed(q, "query_id", "q"), renamed(m, "memory_id", "m")
+    overlap = (F.col("q_lo") < F.col("m_hi")) & (F.col("m_lo") < F.col("q_hi"))
+    days = lambda df, x: df.withColumn("_day", F.explode(F.sequence(f"{x}_first", f"{x}_last")))
+    codes = lambda df, c: df.withColumn("_code", F.explode(c))
+    same = F.col("qkind").eqNullSafe(F.col("mkind")) & F.col("qstart").eqNullSafe(F.col("mstart")) & F.col("qend").eqNullSafe(F.col("mend"))
+    exact = F.try_element_at(F.create_map(*[F.lit(x) for kv in SCORES.items() for x in kv]), F.col("qkind"))
+    score = F.when(same, F.coalesce(exact, F.lit(OVERLAP))).otherwise(OVERLAP).alias("score")
+
+    def met(q: DataFrame, m: DataFrame) -> DataFrame:
+        near = days(q.where("not q_wide"), "q").join(days(m.where("not m_wide"), "m"), "_day").where(overlap & (F.col("_day") == F.greatest("q_first", "m_first")))
+        parts = [near.drop("_day")]
+        for some, a, b in ((q_wide, q.where("q_wide"), m), (m_wide, q.where("not q_wide"), m.where("m_wide"))):
+            if some:
+                parts.append(codes(a, _cover(F.col("q_first"), F.col("q_last"))).join(codes(b, _above(F.col("m_first"))), "_code").where(overlap).drop("_code"))
+                parts.append(codes(a, _above(F.col("q_first"))).join(codes(b, _cover(F.col("m_first") + 1, F.col("m_last"))), "_code").where(overlap).drop("_code"))
+        all_of = parts[0]
+        for part in parts[1:]:
+            all_of = all_of.unionByName(part)
+        return all_of.select("query_id", "memory_id", F.col("qplace").alias("qp"), F.col("mplace").alias("mp"), score)
+
+    one = lambda df, x, some: df.where(f"not {x}_many") if some else df
+    found = met(one(q, "q", q_many), one(m, "m", m_many)).select("query_id", "memory_id", "score")
     k = F.row_number().over(Window.partitionBy("query_id", "memory_id").orderBy("qp", "mp"))
-    return scored.withColumn("_k", k).where(F.col("_k") <= most).groupBy("query_id", "memory_id").agg(F.max("score").alias("score"))
+    for some, pairs in ((q_many, lambda: met(q.where("q_many"), m)), (m_many, lambda: met(one(q, "q", q_many), m.where("m_many")))):
+        if some:
+            found = found.unionByName(pairs().withColumn("_k", k).where(F.col("_k") <= most).groupBy("query_id", "memory_id").agg(F.max("score").alias("score")))
+    return found
 
 
 def recurrence_match(queries: DataFrame, memories: DataFrame) -> DataFrame:
