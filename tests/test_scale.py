@@ -71,6 +71,11 @@ def test_delivery_reads_only_the_tail(spark):
     assert _rows_into_joins(found) <= 311
 
 
+def _entities(spark, n):
+    rows = [(i, f"alpha{i % 3} beta{i % 7}", [f"Alias {i % 5}", f"gamma{i % 11}"], "principal" if i % 13 == 0 else f"kind{i % 2}") for i in range(n)]
+    return rows, spark.createDataFrame(rows, "id long, name string, aliases array<string>, kind string")
+
+
 def _rows_into_joins(df):
     """The most rows that any join of an executed query has made."""
     df.collect()
@@ -89,3 +94,16 @@ def _rows_into_joins(df):
         children = node.children()
         todo += [children.apply(i) for i in range(children.size())]
     return most
+
+
+def test_mention_candidates_join_only_the_first_entities(spark):
+    rows, e = _entities(spark, 600)
+    found = E.mention_candidates(e.select(F.col("id").alias("mention_id"), F.when(F.col("id") % 2 == 0, F.upper("name")).otherwise(F.get("aliases", F.lit(1))).alias("surface")), e)
+    want = set()
+    for i, name, aliases, _ in rows:
+        surface = name.upper() if i % 2 == 0 else aliases[1]
+        plain = lambda x: "".join(c for c in x.lower() if c.isalnum())
+        hits = sorted((0 if n == surface else 1 if plain(n) == plain(surface) else 2, j) for j, n, al, _ in rows if n == surface or plain(n) == plain(surface) or surface in al)
+        want |= {(i, j, how, k + 1) for k, (how, j) in enumerate(hits[:8])}
+    assert {(r["mention_id"], r["entity"], r["how"], r["rank"]) for r in found.collect()} == want
+    assert _rows_into_joins(found) <= 3 * 8 * 600
