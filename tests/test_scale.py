@@ -107,3 +107,14 @@ def test_mention_candidates_join_only_the_first_entities(spark):
         want |= {(i, j, how, k + 1) for k, (how, j) in enumerate(hits[:8])}
     assert {(r["mention_id"], r["entity"], r["how"], r["rank"]) for r in found.collect()} == want
     assert _rows_into_joins(found) <= 3 * 8 * 600
+
+
+def test_creation_conflicts_join_only_the_first_entities(spark):
+    rows, e = _entities(spark, 600)
+    found = E.creation_conflicts(e, e.select((F.col("id") + 1000).alias("id"), "name", "kind"))
+    want = set()
+    for i, name, _, kind in rows:
+        hits = [j for j, n, _, k in rows if n == name and k == kind]
+        want |= {(i + 1000, j, k + 1) for k, j in enumerate(hits[:8])}
+    assert {(r["proposal"], r["entity"], r["rank"]) for r in found.collect()} == want
+    assert _rows_into_joins(found) <= 2 * 8 * 600
