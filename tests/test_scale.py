@@ -118,3 +118,10 @@ def test_creation_conflicts_join_only_the_first_entities(spark):
         want |= {(i + 1000, j, k + 1) for k, j in enumerate(hits[:8])}
     assert {(r["proposal"], r["entity"], r["rank"]) for r in found.collect()} == want
     assert _rows_into_joins(found) <= 2 * 8 * 600
+
+
+def test_guard_keys_split_a_surface_once(spark):
+    df = spark.createDataFrame([("Brand/HttpServer Module",), ("plain name",), ("",), ("//",), (None,)], "s string")
+    keys = df.select(T.guard_keys(F.col("s"), ["brand"]).alias("k"))
+    assert [r["k"] for r in keys.collect()] == [["brandhttpserver", "brandhttpservermodule", "httpserver", "httpservermodule"], ["plainname"], [], [], []]
+    assert _plan(keys).count("regexp_replace") <= 4
