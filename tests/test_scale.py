@@ -120,6 +120,30 @@ def test_creation_conflicts_join_only_the_first_entities(spark):
     assert _rows_into_joins(found) <= 2 * 8 * 600
 
 
+def test_reconciliation_exchanges_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(E, "SPREAD", 7)
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.sample(words, rng.choice([1, 2, 3]))), [rng.choice(words), rng.choice(words).upper()], rng.choice(["a", "b", "principal"])) for i in range(200)]
+    e = spark.createDataFrame(rows, "id long, name string, aliases array<string>, kind string")
+    count = {w: sum(w in r[1].split() for r in rows if r[3] != "principal") for w in words}
+    want = {}
+    for x, y in itertools.combinations([r for r in rows if r[3] != "principal"], 2):
+        if x[3] != y[3]:
+            continue
+        claims = [{c.lower() for c in (r[1], *r[2])} for r in (x, y)]
+        s, t = set(x[1].split()), set(y[1].split())
+        score = 1000 * len(s & t) // len(s | t)
+        if claims[0] & claims[1]:
+            want[x[0], y[0]] = (True, E.EXACT)
+        elif any(count[w] <= 12 for w in s & t) and (score >= 330 or len(s & t) == min(len(s), len(t))):
+            want[x[0], y[0]] = (False, score)
+    found = E.reconciliation_pairs(e, None, 12)
+    got = found.collect()
+    assert len(got) == len(want) and {(r["a"], r["b"]): (r["exact"], r["score"]) for r in got} == want
+    assert "keys=[a#" not in _plan(found)
+
+
 def test_guard_keys_split_a_surface_once(spark):
     df = spark.createDataFrame([("Brand/HttpServer Module",), ("plain name",), ("",), ("//",), (None,)], "s string")
     keys = df.select(T.guard_keys(F.col("s"), ["brand"]).alias("k"))
