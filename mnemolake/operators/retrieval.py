@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,9 +17,15 @@ from ..functions import vectors as V
 from .graph import _cut
 from .versioned import with_versions
 
-#: Queries that go to every task, at most; and vectors that are compared with them at a time.
+#: Queries and vectors of a block, two of which a task holds at a time; and queries whose products it holds.
+QUERY_ROWS = 2048
+BLOCK_ROWS = 8192
+CHUNK = 256
 MAX_QUERIES = 1000
-BLOCK_ROWS = 4096
+#: Communities whose sizes go to every task, at most.
+MAX_COMMUNITIES = 50_000
+#: Centroids that go to every task, at most.
+MAX_CENTROIDS = 10_000
 
 
 def lexical_matches(docs: DataFrame, query: Sequence[str], text: Column, *keep: str) -> DataFrame:
@@ -51,56 +57,96 @@ def first_of_each(ranked: DataFrame, identity: Sequence[str], rank: Sequence[str
     return ranked.groupBy(*identity).agg(F.min_by(F.struct(*rest), F.struct(*rank)).alias("_row")).select(*identity, "_row.*")
 
 
-def _blocks(rows: DataFrame, key: str, vector: str, size: int, prefix: str) -> DataFrame:
-    """Rows of up to ``size`` keys with their vectors as one matrix."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                flat = part.column("v").flatten().to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column("k")], pa.list_(pa.int64())), pa.array([flat.astype(np.float64).tobytes()], pa.binary())], names=[f"{prefix}keys", f"{prefix}data"])
-
-    plain = rows.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
-    return plain.mapInArrow(pack, f"{prefix}keys array<bigint>, {prefix}data binary")
-
-
-def _best(limit: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The best of a block of vectors for each of a block of queries, all of those tied with the last."""
-        for batch in batches:
-            out: list[list] = [[], [], []]
-            for keys, data, qkeys, qdata in zip(*(batch.column(c) for c in ("keys", "data", "qkeys", "qdata"))):
-                keys, qkeys = keys.values.to_numpy(), qkeys.values.to_numpy()
-                v, q = (np.frombuffer(x.as_py()).reshape(n, -1) for x, n in ((data, len(keys)), (qdata, len(qkeys))))
-                with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
-                    s = (q @ v.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :])
-                s = np.round(np.clip(np.where(np.isfinite(s), s, 0), -1, 1), 12)
-                last = np.partition(s, len(keys) - limit, axis=1)[:, len(keys) - limit] if len(keys) > limit else np.zeros(len(qkeys))
-                i, j = np.nonzero((s >= last[:, None]) & (s > 0))
-                for c, x in zip(out, (qkeys[i], keys[j], s[i, j])):
-                    c.append(x)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["q", "k", "score"])
+def in_blocks(vectors: DataFrame, queries: DataFrame, run: Callable, schema: str, vector_key: str = "k", query_key: str = "q") -> DataFrame:
+    """``run(key, left, right)`` on every block of ``vectors`` with every block of ``queries`` of the same ``c``, as Arrow tables.
+
+    Rows are dealt to blocks by a hash of their key and sent once for each block of the other side, so a task holds two
+    bounded blocks, nothing is broadcast and no table of pairs is made.  Without a column ``c`` there is one group."""
+    if "c" in vectors.columns:
+        count = lambda df, to, size: df.groupBy("c").agg(F.ceil(F.count("*") / size).alias(to))
+        sizes = count(vectors, "_vn", BLOCK_ROWS).join(count(queries, "_qn", QUERY_ROWS), "c")
+        groups, total = sizes.agg(F.count("*"), F.sum(F.col("_vn") * F.col("_qn"))).first()
+        sizes = F.broadcast(sizes) if groups <= MAX_COMMUNITIES else sizes
+        vectors, queries = vectors.join(sizes, "c"), queries.join(sizes, "c")
+    else:
+        counts = {"_vn": max(1, -(-vectors.count() // BLOCK_ROWS)), "_qn": max(1, -(-queries.count() // QUERY_ROWS))}
+        total = counts["_vn"] * counts["_qn"]
+        vectors, queries = (df.withColumns({"c": F.lit(""), **{k: F.lit(n).cast("long") for k, n in counts.items()}}) for df in (vectors, queries))
+    own = lambda key, n: F.pmod(F.xxhash64(key), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = vectors.withColumn("g", own(vector_key, F.col("_vn"))).withColumn("h", every("_qn")).drop("_vn", "_qn")
+    right = queries.withColumn("h", own(query_key, F.col("_qn"))).withColumn("g", every("_vn")).drop("_vn", "_qn")
+    parts = min(2000, 4 * (total or 1))  # stated, as what a task reads is small beside what it computes
+    dealt = lambda df: df.repartition(parts, "c", "g", "h").groupBy("c", "g", "h")
+    return dealt(left).cogroup(dealt(right)).applyInArrow(run, schema)
+
+
+def units(column: pa.ChunkedArray, n: int) -> np.ndarray:
+    """Rows of unit length; of zeros where a length is zero or not finite."""
+    flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else pa.array([], pa.float64())
+    x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+    with np.errstate(all="ignore"):
+        length = np.sqrt((x * x).sum(axis=1))
+        ok = np.isfinite(length) & (length > 0)
+        return np.where(ok[:, None], x / length[:, None], 0.0)
+
+
+def _best(limit: int, digits: int, scale: float, shift: float, floor: float | None):
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        """The best of a block of vectors for each of a block of queries, by rounded score, then key."""
+        out: list[list] = [[np.array([], np.int64)], [np.array([], np.int64)], [np.array([])], [np.array([])]]
+        if left.num_rows and right.num_rows:
+            left = left.sort_by("k")
+            keys, qkeys, start, end = (t.column(c).to_numpy() for t, c in ((left, "k"), (right, "q"), (left, "at"), (right, "at")))
+            v, q = units(left.column("v"), len(keys)), units(right.column("v"), len(qkeys))
+            for at in range(0, len(qkeys), CHUNK):
+                s = q[at : at + CHUNK] @ v.T
+                s[start[None, :] > end[at : at + CHUNK, None]] = -2
+                low = np.full(len(s), 5e-13 if floor is None else (floor - shift) / scale - 1e-9)  # beyond it a score is positive in 12 digits
+                if len(keys) > limit:
+                    low = np.maximum(low, np.partition(s, len(keys) - limit, axis=1)[:, len(keys) - limit] - 4 * 10.0**-digits)
+                i, j = np.nonzero(s > low[:, None])
+                score = np.round(np.clip(s[i, j], -1, 1) * scale + shift, 12)
+                place = np.round(score, digits)
+                order = np.lexsort((j, -place, i))
+                i, j, score, place = i[order], j[order], score[order], place[order]
+                kept = np.arange(len(i)) - np.searchsorted(i, i) < limit
+                for c, x in zip(out, (qkeys[at + i], keys[j], score, place)):
+                    c.append(x[kept])
+        return pa.table([np.concatenate(c) for c in out], names=["q", "k", "score", "place"])
 
     return run
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, key: str, vector: str, limit: int = 10) -> DataFrame:
+def comparable(rows: DataFrame, vector: str, width: int | None) -> DataFrame:
+    """Rows whose vector has the width and no nulls."""
+    return rows.where(F.col(vector).isNotNull() & (F.size(vector) == F.lit(width or 0)) & ~F.exists(vector, lambda x: x.isNull()))
+
+
+def _ranked(vectors: DataFrame, queries: DataFrame, key: str, limit: int, digits: int, scale: float = 1.0, shift: float = 0.0, floor: float | None = None) -> DataFrame:
+    found = in_blocks(vectors, queries, _best(limit, digits, scale, shift, floor), "q bigint, k bigint, score double, place double")
+    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("place"), "k"))
+    return found.withColumn("rank", best).where(F.col("rank") <= limit).select(F.col("q").alias("query_id"), F.col("k").alias(key), "score", "rank")
+
+
+def _plain(rows: DataFrame, key: str, vector: str, as_: str, at: Column | None, *more: Column) -> DataFrame:
+    place = F.lit(0) if at is None else at
+    return rows.select(F.col(key).cast("long").alias(as_), F.col(vector).cast("array<double>").alias("v"), place.cast("long").alias("at"), *more)
+
+
+def vector_search(
+    vectors: DataFrame, queries: DataFrame, key: str, vector: str, limit: int = 10, digits: int = 12, scale: float = 1.0, shift: float = 0.0, floor: float | None = None,
+    since: Column | None = None, until: Column | None = None,
+) -> DataFrame:
     """Exact cosine of a stated set of queries (``query_id``, ``query``) against all vectors; positive, top ``limit`` each.
 
-    Vectors and queries meet in blocks, each pair of blocks as one product of matrices of which only the best ``limit`` of
-    each query leave.  A block of up to ``MAX_QUERIES`` queries goes to the vectors; more blocks are paired by a cartesian
-    product of blocks.  Vectors of another length than the queries', zero ones and nulls match nothing."""
-    n, width = queries.agg(F.count("*"), F.max(F.size("query"))).first()
-    kept = lambda df, c: df.where(F.col(c).isNotNull() & (F.size(c) == F.lit(width or 0)) & ~F.exists(c, lambda x: x.isNull()))
-    asked = kept(queries, "query").repartition(max(1, -(-n // MAX_QUERIES)))
-    packed = _blocks(asked, "query_id", "query", MAX_QUERIES, "q")
-    blocks = _blocks(kept(vectors, vector), key, vector, BLOCK_ROWS, "")
-    pairs = blocks.join(F.broadcast(packed)) if n <= MAX_QUERIES else blocks.hint("shuffle_replicate_nl").crossJoin(packed)
-    scored = pairs.mapInArrow(_best(limit), "q bigint, k bigint, score double").select(F.col("q").alias("query_id"), F.col("k").alias(key), "score")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
-    return scored.withColumn("rank", best).where(F.col("rank") <= limit)
+    Vectors and queries meet in blocks, each pair of blocks as products of matrices of which only the best ``limit`` of each
+    query leave, by their score in ``digits`` digits, then key.  Scores are scaled and shifted, then held against ``floor`` if
+    there is one.  With ``since`` of vectors and ``until`` of queries (not null) only pairs where since <= until count.  Vectors
+    of another length than the queries', zero ones and nulls match nothing."""
+    width = queries.agg(F.max(F.size("query"))).first()[0]
+    asked = _plain(comparable(queries, "query", width), "query_id", "query", "q", until)
+    return _ranked(_plain(comparable(vectors, vector, width), key, vector, "k", since), asked, key, limit, digits, scale, shift, floor)
 
 
 def union_evidence(lexical: DataFrame, semantic: DataFrame, key: str) -> DataFrame:

@@ -3,13 +3,17 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from mnemolake.functions import temporal as TP
 from mnemolake.functions import text as T
+from mnemolake.operators import agentic as AG
 from mnemolake.operators import entities as E
 from mnemolake.operators import queues as QU
+from mnemolake.operators import retrieval as R
+from mnemolake.plans import registry
 
 
 def _plan(df):
@@ -149,3 +153,39 @@ def test_guard_keys_split_a_surface_once(spark):
     keys = df.select(T.guard_keys(F.col("s"), ["brand"]).alias("k"))
     assert [r["k"] for r in keys.collect()] == [["brandhttpserver", "brandhttpservermodule", "httpserver", "httpservermodule"], ["plainname"], [], [], []]
     assert _plan(keys).count("regexp_replace") <= 4
+
+
+VECTORS = "{0} long, {1} array<float>"
+
+
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(R, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(R, "QUERY_ROWS", 7)
+
+
+def _made(n, seed):
+    """Vectors with many copies, a zero one and odd ones."""
+    rng = np.random.default_rng(seed)
+    some = rng.normal(size=(n // 4, 4)).round(1)
+    rows = [(i, [float(x) for x in some[i % len(some)]]) for i in range(n)]
+    return rows + [(n, [0.0] * 4), (n + 1, None), (n + 2, [1.0])]
+
+
+def _cos(a, b):
+    if a is None or b is None or len(a) != len(b):
+        return 0.0
+    a, b = np.float32(a).astype(float), np.float32(b).astype(float)
+    n = np.linalg.norm(a) * np.linalg.norm(b)
+    return round(float(a @ b / n), 12) if n else 0.0
+
+
+def test_vector_search_in_blocks(spark, small_blocks):
+    vs, qs = _made(90, 1), _made(30, 2)[:32]
+    v, q = spark.createDataFrame(vs, VECTORS.format("vec_id", "embedding")), spark.createDataFrame(qs, VECTORS.format("query_id", "query"))
+    found = R.vector_search(v, q, "vec_id", "embedding", 5)
+    want = set()
+    for i, x in qs:
+        hits = sorted((-_cos(x, y), j) for j, y in vs if _cos(x, y) > 0)
+        want |= {(i, j, k + 1) for k, (_, j) in enumerate(hits[:5])}
+    assert {(r["query_id"], r["vec_id"], r["rank"]) for r in found.collect()} == want
+    assert _no_product(found)
