@@ -205,34 +205,29 @@ def community_centroids(vectors: DataFrame, community: str, key: str, vector: st
     return cents.select(F.col("c").alias(community), F.col("no").cast("int").alias("centroid_no"), F.col("cent").alias("centroid"))
 
 
-def _asked(rows: DataFrame, queries: DataFrame, few: bool) -> DataFrame:
-    """Every row with every query; few queries go to the rows."""
-    return rows.join(F.broadcast(queries)) if few else rows.hint("shuffle_replicate_nl").crossJoin(queries)
-
-
 def route(centroids: DataFrame, queries: DataFrame, community: str, top: int = 4) -> DataFrame:
     """The communities whose best sub-centroid is nearest to each query."""
-    few = queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES
-    scored = _asked(centroids, queries, few).select("query_id", community, V.cosine(F.col("query"), F.col("centroid")).alias("_cos"))
+    rows = centroids.crossJoin(queries) if centroids.limit(MAX_CENTROIDS + 1).count() > MAX_CENTROIDS else queries.join(F.broadcast(centroids))
+    scored = rows.select("query_id", community, V.cosine(F.col("query"), F.col("centroid")).alias("_cos"))
     best = scored.groupBy("query_id", community).agg(F.max("_cos").alias("_cos"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_cos"), community))
     return best.withColumn("route_rank", rank).where(F.col("route_rank") <= top)
 
 
 def routed_search(vectors: DataFrame, queries: DataFrame, centroids: DataFrame, key: str, vector: str, community: str, limit: int = 4, top: int = 4) -> DataFrame:
-    """Exact cosine over the routed communities and the unassigned; over all, flagged, if there are no communities."""
+    """Exact cosine over the routed communities and the unassigned; over all, flagged, if there are no communities.
+
+    Each community's vectors meet the queries routed to it, in blocks; the unassigned meet all queries."""
     fallback = centroids.isEmpty()
-    few = queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES
-    slim = vectors.select(key, vector, community)
-    if fallback:
-        pairs = _asked(slim.drop(community), queries, few)
-    else:
-        routes = route(centroids, queries, community, top).join(queries, "query_id").select("query_id", "query", community)  # at most `top` a query
-        routed = slim.join(F.broadcast(routes) if few else routes, community).select("query_id", "query", key, vector)
-        pairs = routed.unionByName(_asked(slim.where(F.col(community).isNull()).drop(community), queries.select("query_id", "query"), few).select("query_id", "query", key, vector))
-    scored = pairs.select("query_id", key, V.cosine(F.col("query"), F.col(vector)).alias("score")).where("score > 0")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= limit).withColumn("global_fallback", F.lit(fallback))
+    width = queries.agg(F.max(F.size("query"))).first()[0]
+    asked = comparable(queries, "query", width)
+    group = F.lit("") if fallback else F.when(F.col(community).isNull(), "").otherwise(F.concat(F.lit("="), F.col(community).cast("string")))
+    v = _plain(comparable(vectors, vector, width), key, vector, "k", None, group.alias("c"))
+    q = _plain(asked, "query_id", "query", "q", None, F.lit("").alias("c"))
+    if not fallback:
+        routes = _cut(route(centroids, asked, community, top).select("query_id", community))  # at most `top` a query
+        q = q.unionByName(_plain(routes.join(asked, "query_id"), "query_id", "query", "q", None, group.alias("c")))
+    return _ranked(v, q, key, limit, 12).withColumn("global_fallback", F.lit(fallback))
 
 
 def representatives(members: DataFrame, centroids: DataFrame, community: str, key: str, vector: str, each: int = 2, most: int = 8) -> DataFrame:

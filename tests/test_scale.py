@@ -189,3 +189,19 @@ def test_vector_search_in_blocks(spark, small_blocks):
         want |= {(i, j, k + 1) for k, (_, j) in enumerate(hits[:5])}
     assert {(r["query_id"], r["vec_id"], r["rank"]) for r in found.collect()} == want
     assert _no_product(found)
+
+
+def test_routed_search_in_blocks(spark, small_blocks):
+    vs, qs = _made(90, 4), _made(30, 5)[:30]
+    label = lambda i: None if i % 10 == 9 else i % 3
+    v = spark.createDataFrame([(i, x, label(i)) for i, x in vs], "vec_id long, embedding array<float>, c int")
+    q = spark.createDataFrame(qs, VECTORS.format("query_id", "query"))
+    cents = [(0, [1.0, 0.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0, 0.0]), (2, [-1.0, -1.0, 0.0, 0.5])]
+    found = R.routed_search(v, q, spark.createDataFrame([(c, 0, x) for c, x in cents], "c int, centroid_no int, centroid array<float>"), "vec_id", "embedding", "c", 4, 2)
+    want = set()
+    for i, x in qs:
+        near = [c for _, c in sorted((-_cos(x, y), c) for c, y in cents)][:2]
+        hits = sorted((-_cos(x, y), j) for j, y in vs if _cos(x, y) > 0 and (label(j) is None or label(j) in near))
+        want |= {(i, j, k + 1) for k, (_, j) in enumerate(hits[:4])}
+    assert {(r["query_id"], r["vec_id"], r["rank"]) for r in found.collect()} == want
+    assert _no_product(found)
