@@ -165,13 +165,13 @@ def accept_use(uses: DataFrame, amount: int = DEFAULT.access) -> DataFrame:
 
 
 def semantic_plan(candidates: DataFrame, most: int = 64) -> DataFrame:
-    """Bonuses of (fragment_id, memory_id, cosine, eligible): best first, at most ``most`` for a fragment."""
+    """Bonuses of (fragment_id, memory_id, cosine, eligible): best first in nine digits, at most ``most`` for a fragment."""
     from pyspark.sql import Window
 
     from ..functions.vectors import semantic_bonus
 
     scored = candidates.where("eligible").withColumn("bonus", semantic_bonus(F.col("cosine"))).where("bonus > 0")
-    rank = F.row_number().over(Window.partitionBy("fragment_id").orderBy(F.desc("cosine"), "memory_id"))
+    rank = F.row_number().over(Window.partitionBy("fragment_id").orderBy(F.desc(F.round("cosine", 9)), "memory_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= most)
 
 

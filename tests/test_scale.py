@@ -191,6 +191,18 @@ def test_vector_search_in_blocks(spark, small_blocks):
     assert _no_product(found)
 
 
+def test_vector_search_with_floor_and_bounds(spark, small_blocks):
+    vs = _made(90, 3)
+    v = spark.createDataFrame(vs, VECTORS.format("vec_id", "embedding"))
+    q = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    found = R.vector_search(v, q, "vec_id", "embedding", 6, 9, 0.5, 0.6, 0.75, F.col("vec_id") + 1, F.col("query_id"))
+    want = set()
+    for i, x in vs[:91]:
+        hits = sorted((-round(_cos(x, y) * 0.5 + 0.6, 9), j) for j, y in vs[:91] if j < i and _cos(x, y) * 0.5 + 0.6 >= 0.75 and any(x) and any(y))
+        want |= {(i, j, k + 1) for k, (_, j) in enumerate(hits[:6])}
+    assert {(r["query_id"], r["vec_id"], r["rank"]) for r in found.collect()} == want
+
+
 def test_routed_search_in_blocks(spark, small_blocks):
     vs, qs = _made(90, 4), _made(30, 5)[:30]
     label = lambda i: None if i % 10 == 9 else i % 3
