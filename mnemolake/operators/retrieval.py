@@ -256,19 +256,16 @@ def _in_order(key: str) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct("at", key))), lambda x: x[key]).alias("ids")
 
 
-def diversify(candidates: DataFrame, overlaps: DataFrame, limit: int, pool: int = 1000) -> DataFrame:
+def diversify(candidates: DataFrame, overlaps: DataFrame | None, limit: int, pool: int = 1000) -> DataFrame:
     """Greedy ranking per query: score times the product of 1 - overlap with chosen items of the same conversation.
 
-    ``candidates``: query_id, id, conversation, score; ``overlaps``: a, b, overlap in both directions.  The pool of a
-    query is its best ``pool`` candidates, the operator's bound."""
+    ``candidates``: query_id, id, conversation, score; ``overlaps``: a, b, overlap in both directions.  Without overlaps the
+    candidates' column ``vector`` tells them, by positive cosines within a query's pool.  The pool of a query is its best
+    ``pool`` candidates, the operator's bound."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     top = candidates.withColumn("_r", rank).where(F.col("_r") <= pool).drop("_r")
-    a, b = top.alias("a"), top.alias("b")
-    near = a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.conversation") == F.col("b.conversation")) & (F.col("a.id") < F.col("b.id")))
-    pairs = near.select(F.col("a.query_id").alias("query_id"), F.col("a.id").alias("a"), F.col("b.id").alias("b")).join(overlaps, ["a", "b"])
 
-    def run(key, items: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        over = {(x, y): z for x, y, z in zip(near["a"], near["b"], near["overlap"])}
+    def greedy(key, items: pd.DataFrame, over) -> pd.DataFrame:
         left = {i: (s, c) for i, s, c in zip(items["id"], items["score"], items["conversation"])}
         factor = dict.fromkeys(left, 1.0)
         out = []
@@ -278,10 +275,33 @@ def diversify(candidates: DataFrame, overlaps: DataFrame, limit: int, pool: int
             out.append((key[0], best, score * factor.pop(best), len(out) + 1))
             for i, (_, c) in left.items():
                 if c == conv:
-                    factor[i] *= 1 - over.get((min(i, best), max(i, best)), 0.0)
+                    factor[i] *= 1 - over(min(i, best), max(i, best))
         return pd.DataFrame(out, columns=["query_id", "id", "score", "rank"])
 
-    return top.groupBy("query_id").cogroup(pairs.groupBy("query_id")).applyInPandas(run, "query_id long, id long, score double, rank int")
+    schema = "query_id long, id long, score double, rank int"
+    if overlaps is None:
+
+        def by_vectors(key, items: pd.DataFrame) -> pd.DataFrame:
+            vectors = {i: np.asarray(v, np.float64) for i, v in zip(items["id"], items["vector"])}
+            dot = lambda x, y: float(np.cumsum(x * y)[-1])  # noqa: E731, in the order of the expressions' sums
+            length = {i: np.sqrt(dot(v, v)) for i, v in vectors.items()}
+
+            def over(a, b) -> float:
+                both = length[a] * length[b]
+                return max(0.0, min(1.0, dot(vectors[a], vectors[b]) / both)) if 0 < both < np.inf else 0.0
+
+            return greedy(key, items, over)
+
+        return top.groupBy("query_id").applyInPandas(by_vectors, schema)
+    a, b = top.alias("a"), top.alias("b")
+    near = a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.conversation") == F.col("b.conversation")) & (F.col("a.id") < F.col("b.id")))
+    pairs = near.select(F.col("a.query_id").alias("query_id"), F.col("a.id").alias("a"), F.col("b.id").alias("b")).join(overlaps, ["a", "b"])
+
+    def run(key, items: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        told = {(x, y): z for x, y, z in zip(near["a"], near["b"], near["overlap"])}
+        return greedy(key, items, lambda x, y: told.get((x, y), 0.0))
+
+    return top.groupBy("query_id").cogroup(pairs.groupBy("query_id")).applyInPandas(run, schema)
 
 
 def max_merge(scores: DataFrame, key: str) -> DataFrame:

@@ -217,3 +217,11 @@ def test_routed_search_in_blocks(spark, small_blocks):
         want |= {(i, j, k + 1) for k, (_, j) in enumerate(hits[:4])}
     assert {(r["query_id"], r["vec_id"], r["rank"]) for r in found.collect()} == want
     assert _no_product(found)
+
+
+def test_diversify_by_vectors(spark):
+    vs = _made(60, 6)[:60]
+    cand = spark.createDataFrame([(q, i, i % 2, 1.0 / (1 + (i * 7 + q) % 13), x) for q in range(3) for i, x in vs], "query_id long, id long, conversation long, score double, vector array<float>")
+    over = spark.createDataFrame([(i, j, max(0.0, _cos(x, y))) for i, x in vs for j, y in vs if i < j], "a long, b long, overlap double")
+    plain = lambda df: sorted((r["query_id"], r["rank"], round(r["score"], 9)) for r in df.collect())
+    assert plain(R.diversify(cand, None, 8)) == plain(R.diversify(cand.drop("vector"), over, 8))
