@@ -225,3 +225,12 @@ def test_diversify_by_vectors(spark):
     over = spark.createDataFrame([(i, j, max(0.0, _cos(x, y))) for i, x in vs for j, y in vs if i < j], "a long, b long, overlap double")
     plain = lambda df: sorted((r["query_id"], r["rank"], round(r["score"], 9)) for r in df.collect())
     assert plain(R.diversify(cand, None, 8)) == plain(R.diversify(cand.drop("vector"), over, 8))
+
+
+def test_coverage_has_no_cut(spark, tmp_path):
+    """A fragment's only eligible memory comes after 1,100 closer ones."""
+    x, near = [1.0] + [0.0] * 63, [0.8, 0.6] + [0.0] * 62
+    rows = [(1, near, 0)] + [(3 * i, x, 0) for i in range(1, 1200)] + [(4100, x, 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["fragment_id"]: r["coverage"] for r in registry.queries()["semantic_coverage"](spark, str(tmp_path)).collect()}
+    assert got[4100] == "event-planned"
