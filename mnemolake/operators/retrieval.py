@@ -21,7 +21,6 @@ from .versioned import with_versions
 QUERY_ROWS = 2048
 BLOCK_ROWS = 8192
 CHUNK = 256
-MAX_QUERIES = 1000
 #: Communities whose sizes go to every task, at most.
 MAX_COMMUNITIES = 50_000
 #: Centroids that go to every task, at most.
@@ -81,6 +80,16 @@ def in_blocks(vectors: DataFrame, queries: DataFrame, run: Callable, schema: str
     return dealt(left).cogroup(dealt(right)).applyInArrow(run, schema)
 
 
+def together(vectors: DataFrame, queries: DataFrame, pairs: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``run(key, rows, pairs)`` on blocks of both tables' rows (``what``, ``k``, ...), with the pairs (``s``, ``k``) that fall into each."""
+    g, h = (max(1, -(-df.count() // size)) for df, size in ((vectors, BLOCK_ROWS), (queries, QUERY_ROWS)))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n).cast("long"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    rows = vectors.select("*", own("k", g).alias("g"), every(h).alias("h")).unionByName(queries.select("*", own("k", h).alias("h"), every(g).alias("g")))
+    dealt = lambda df: df.repartition(min(2000, 4 * g * h), "g", "h").groupBy("g", "h")
+    return dealt(rows).cogroup(dealt(pairs.select("*", own("k", g).alias("g"), own("s", h).alias("h")))).applyInArrow(run, schema)
+
+
 def units(column: pa.ChunkedArray, n: int) -> np.ndarray:
     """Rows of unit length; of zeros where a length is zero or not finite."""
     flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else pa.array([], pa.float64())

@@ -227,6 +227,24 @@ def test_diversify_by_vectors(spark):
     assert plain(R.diversify(cand, None, 8)) == plain(R.diversify(cand.drop("vector"), over, 8))
 
 
+def test_query_turn_in_blocks(spark, small_blocks):
+    vs, qs = _made(90, 7), _made(12, 8)
+    m = spark.createDataFrame([(i, i * 7 % 20, x, "needle" if i % 31 == 0 else "hay") for i, x in vs], "id long, freshness int, vector array<float>, text string")
+    s = spark.createDataFrame(qs, VECTORS.format("session", "query"))
+    chosen = {(q, i) for q, _ in qs for i, _ in vs if (q + i) % 4 == 0}
+    sel = spark.createDataFrame(sorted(chosen), "session long, id long")
+    turn = AG.query(m, s, ["needle"], F.col("text"), sel, lambda o: o.where("session % 2 = 0 and id % 3 = 0"))
+    raw = {(q, i) for q, x in qs for i, y in vs if i % 31 == 0 or _cos(x, y) > 0}
+    off = set()
+    for q, _ in qs:
+        off |= set(sorted((x for x in raw - chosen if x[0] == q), key=lambda x: (-(x[1] * 7 % 20), x[1]))[:10])
+    yes = {(q, i) for q, i in off if q % 2 == 0 and i % 3 == 0}
+    pairs = lambda df: {(r["session"], r["id"]) for r in df.collect()}
+    assert pairs(turn.searched) == off and pairs(turn.approved) == yes
+    assert pairs(turn.provided) == {x for x in raw & chosen if x[0] not in {q for q, _ in yes}}
+    assert _no_product(turn.searched) and _no_product(turn.provided)
+
+
 def test_coverage_has_no_cut(spark, tmp_path):
     """A fragment's only eligible memory comes after 1,100 closer ones."""
     x, near = [1.0] + [0.0] * 63, [0.8, 0.6] + [0.0] * 62
