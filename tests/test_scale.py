@@ -245,6 +245,10 @@ def test_query_turn_in_blocks(spark, small_blocks):
     assert _no_product(turn.searched) and _no_product(turn.provided)
 
 
+def test_traverse_makes_no_product(spark):
+    assert _no_product(registry.queries()["agentic_traverse"](spark, "/root/testdata/sf0.001"))
+
+
 def test_coverage_has_no_cut(spark, tmp_path):
     """A fragment's only eligible memory comes after 1,100 closer ones."""
     x, near = [1.0] + [0.0] * 63, [0.8, 0.6] + [0.0] * 62
