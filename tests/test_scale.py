@@ -265,3 +265,20 @@ def test_coverage_has_no_cut(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r["fragment_id"]: r["coverage"] for r in registry.queries()["semantic_coverage"](spark, str(tmp_path)).collect()}
     assert got[4100] == "event-planned"
+
+
+def test_inferences_are_dealt_by_rows(spark, monkeypatch):
+    """Ten rows a task, whatever they weigh; a text meets its inferences once, and is not sorted again."""
+    monkeypatch.setattr(TP, "SHARE", 10, raising=False)
+    texts = spark.range(45).select("id", F.lit("It began yesterday.").alias("text"))
+    row = lambda i, *x: (i, *x, 1715731200 * 10**9)
+    said = [row(i, "relative", 9, 18, "yesterday", "2024-01-01" if i % 3 else "some day") for i in range(40)]
+    said += [row(7, "relative", 9, 18, "yesterday", "2024-01-01"), row(41, "relative", 0, 2, "It", "2024-01-01"), row(42, "relative", 9, 18, "today", "2024-01-01"), row(99, "relative", 9, 18, "yesterday", "2024-01-01"), row(None, "relative", 9, 18, "yesterday", "2024-01-01")]
+    asked = spark.createDataFrame(said, "id long, kind string, start int, end int, evidence string, expression string, ref long")
+    got = TP.with_inferences(texts, asked)
+    want = [(i, "repeated" if i == 7 else "accepted" if i % 3 else "not resolvable") for i in range(40)] + [(7, "repeated"), (41, "no such indication"), (42, "evidence differs"), (99, "evidence differs")]
+    assert sorted((r["id"], r["verdict"]) for r in got.where("id is not null").collect()) == sorted(want)
+    assert [r["verdict"] for r in got.where("id is null").collect()] == ["evidence differs"]
+    plan = _plan(got)
+    assert plan.count("REPARTITION_BY_NUM") == plan.count("Exchange hashpartitioning(id") == 3
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
