@@ -37,8 +37,9 @@ def retained_groups(clauses: DataFrame, signature: list[str], most: int = 64) ->
 
 def evidence_errors(requests: DataFrame, responses: DataFrame, most: int = 4, most_turns: int = 64, most_bytes: int = 128 * 1024) -> DataFrame:
     """Per item: too many requests, a response that covers other turns than asked, or bounds exceeded."""
-    asked = requests.groupBy("item").agg(F.count_distinct("request").alias("n"), F.array_sort(F.collect_set("node_id")).alias("a"))
-    got = responses.groupBy("item").agg(F.array_sort(F.collect_set("node_id")).alias("b"), F.count("*").alias("t"), F.sum(F.octet_length("text")).alias("bytes"))
+    asked = requests.groupBy("item").agg(F.size(F.collect_set("request")).alias("n"), F.array_sort(F.collect_set("node_id")).alias("a"))
+    sizes = responses.select("item", "node_id", F.octet_length("text").alias("_bytes"))  # texts are not sorted with the turns
+    got = sizes.groupBy("item").agg(F.array_sort(F.collect_set("node_id")).alias("b"), F.count("*").alias("t"), F.sum("_bytes").alias("bytes"))
     both = asked.join(got, "item", "full_outer")
     error = F.when(F.col("n") > most, "too many requests").when(~F.col("a").eqNullSafe(F.col("b")), "coverage").when((F.col("t") > most_turns) | (F.col("bytes") > most_bytes), "bounds")
     return both.select("item", error.alias("error"))

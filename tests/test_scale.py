@@ -11,6 +11,7 @@ from mnemolake.functions import temporal as TP
 from mnemolake.functions import text as T
 from mnemolake.operators import agentic as AG
 from mnemolake.operators import entities as E
+from mnemolake.operators import extraction as X
 from mnemolake.operators import queues as QU
 from mnemolake.operators import retrieval as R
 from mnemolake.plans import registry
@@ -282,3 +283,13 @@ def test_inferences_are_dealt_by_rows(spark, monkeypatch):
     plan = _plan(got)
     assert plan.count("REPARTITION_BY_NUM") == plan.count("Exchange hashpartitioning(id") == 3
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_evidence_sorts_no_texts(spark):
+    """Sizes of texts, not texts, meet the turns; a null request counts as none."""
+    asked = spark.createDataFrame([(i, r, f"{i}:{r}") for i in range(6) for r in range(5 if i == 4 else 2)] + [(5, None, "5:x")], "item long, request int, node_id string")
+    said = spark.createDataFrame([(r["item"], r["node_id"], ("é" * 40_000 if r["item"] == 1 else "x") if r["item"] != 3 else None) for r in asked.where("item <> 2").collect()], "item long, node_id string, text string")
+    got = X.evidence_errors(asked, said)
+    assert {r["item"]: r["error"] for r in got.collect()} == {0: None, 1: "bounds", 2: "coverage", 3: None, 4: "too many requests", 5: None}
+    groups = [x for x in _plan(got).splitlines() if "Aggregate" in x]
+    assert groups and not any("octet_length" in x for x in groups)
