@@ -52,12 +52,12 @@ BITS = 1 << 26
 PAGE = 32_768
 
 
-def _flagged(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """``df`` with ``_in``: true where the key is among the ids (column ``_id``) and, if there are many ids, for some others.
+def _flagged(df: DataFrame, key: str, ids: DataFrame, few: int = FEW_IDS) -> DataFrame:
+    """``df`` with ``_in``: true where the key is among the ids (column ``_id``) and, if there are more than ``few``, for some others.
 
     Many ids are set in a bitmap of ``BITS`` bits, by their hash: what is broadcast does not grow with them, and no row
     of ``df`` is moved."""
-    if ids.limit(FEW_IDS + 1).count() <= FEW_IDS:
+    if ids.limit(few + 1).count() <= few:
         return df.join(F.broadcast(ids), df[key] == ids["_id"], "left").withColumn("_in", F.col("_id").isNotNull()).drop("_id")
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
     page = lambda c: F.call_function("div", at(c), F.lit(PAGE))
@@ -78,6 +78,13 @@ def among(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return _flagged(df, key, _ids(ids)).where("_in").drop("_in")
 
 
+def parted(df: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key is among the ids (one column) with, at times, a few others, and the rest, null keys included.
+    What is broadcast is a bitmap at every size."""
+    flagged = _flagged(df, key, _ids(ids), few=0)
+    return flagged.where("_in").drop("_in"), flagged.where("not _in").drop("_in")
+
+
 def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """The rows whose key is not among the ids (one column), null keys included.  Of many ids, only rows that may be
     among them are moved."""

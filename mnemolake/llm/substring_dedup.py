@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import vecwords as v
 from .near_dedup import _pack
-from .scratch import among, drop, materialise, python_ready, scratch_path
+from .scratch import among, drop, materialise, parted, python_ready, scratch_path
 
 WINDOW = 20
 ANCHOR = 8
@@ -229,21 +229,23 @@ def _plain(docs: DataFrame) -> DataFrame:
 def _resolved(generations: list[DataFrame], holders: DataFrame | None) -> DataFrame:
     """The digest of the last generation's texts; generations before it, and ids within one, come first."""
     pack = lambda texts: texts.mapInArrow(_pack, "doc_id bigint, z binary")
-    asked = pack(generations[-1])
+    unmarked = lambda texts: pack(texts).withColumns({"hs": F.lit(None).cast("array<bigint>"), "firsts": F.lit(None).cast("array<int>")}).mapInArrow(_removed, OUT)
     if holders is None:
-        return asked.withColumns({"hs": F.lit(None).cast("array<bigint>"), "firsts": F.lit(None).cast("array<int>")}).mapInArrow(_removed, OUT)
+        return unmarked(generations[-1])
     holders = materialise(holders, "holders")
     last = len(generations) - 1
+    # only the texts that share something are moved
+    shared, rest = parted(generations[-1], "doc_id", holders.select("doc_id"))
+    asked = pack(shared)
     windows = None
     for age, texts in enumerate(generations):
-        # of a history only the texts that share something are read on; of a batch most do
-        some = pack(texts if age == last else among(texts, "doc_id", holders.select("doc_id"))).join(holders, "doc_id").withColumn("age", F.lit(age))
+        some = (asked if age == last else pack(among(texts, "doc_id", holders.select("doc_id")))).join(holders, "doc_id").withColumn("age", F.lit(age))
         found = some.mapInArrow(_windows, "f bigint, g int, age int, doc_id bigint, start int")
         windows = found if windows is None else windows.unionByName(found)
     first = windows.groupBy("f", "g").agg(F.min(F.struct("age", "doc_id", "start")).alias("first")).where(F.col("first.age") == last)
     firsts = materialise(first.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list("first.start").alias("firsts")), "firsts")
     marks = holders.join(firsts, "doc_id", "left")
-    return asked.join(marks, "doc_id", "left").mapInArrow(_removed, OUT)
+    return asked.join(marks, "doc_id", "left").mapInArrow(_removed, OUT).unionByName(unmarked(rest))
 
 
 def extend(index: FingerprintIndex, history: DataFrame, batch: DataFrame) -> DataFrame:

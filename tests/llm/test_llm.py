@@ -709,3 +709,20 @@ def test_components_of_chains_and_stars(spark):
     got = {r["id"]: r["comp"] for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = dict.fromkeys(range(2001), 0) | dict.fromkeys(mixed, 5000) | dict.fromkeys([*range(9000, 9300), 9500], 9000)
     assert got == want
+
+
+def test_substring_moves_only_texts_that_share(spark, monkeypatch):
+    """Of six texts two share a passage: only these are looked at again, and every row has its digest."""
+    told = []
+
+    def parted(df, key, ids):
+        shared, rest = scratch.parted(df, key, ids)
+        told.append((sorted(r["doc_id"] for r in shared.collect()), sum(r["doc_id"] is None for r in rest.collect()), rest.count()))
+        return shared, rest
+
+    monkeypatch.setattr(substring_dedup, "parted", parted, raising=False)
+    same = " ".join(f"s{i}" for i in range(30))
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40)) + (" " + same if i in (1, 4) else "")) for i in range(5)] + [(None, same)]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: (40, 0), 1: (70, 0), 2: (40, 0), 3: (40, 0), 4: (70, 30), None: (30, 0)}
+    assert told == [([1, 4], 1, 4)]
