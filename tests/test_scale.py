@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mnemolake.functions import temporal as TP
 from mnemolake.functions import text as T
 from mnemolake.operators import agentic as AG
+from mnemolake.operators import candidates as CD
 from mnemolake.operators import entities as E
 from mnemolake.operators import extraction as X
 from mnemolake.operators import queues as QU
@@ -293,3 +294,10 @@ def test_evidence_sorts_no_texts(spark):
     assert {r["item"]: r["error"] for r in got.collect()} == {0: None, 1: "bounds", 2: "coverage", 3: None, 4: "too many requests", 5: None}
     groups = [x for x in _plan(got).splitlines() if "Aggregate" in x]
     assert groups and not any("octet_length" in x for x in groups)
+
+
+def test_ranked_candidates_makes_its_pool_once(spark, monkeypatch):
+    made, pool = [], CD.discovery_pool
+    monkeypatch.setattr(CD, "discovery_pool", lambda *x: made.append(1) or pool(*x))
+    got = registry.queries()["ranked_candidates"](spark, "/root/testdata/sf0.001")
+    assert len(made) == 1 and "split(" not in _plan(got)
