@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks as BL
 from .text import TENS, UNITS, osa_distance
 
 NS = 1_000_000_000
@@ -396,42 +397,58 @@ def iso_days(text: Column) -> Column:
 DAY_BITS, DAY_SHIFT = 18, 1 << 17
 
 
-def _anchors(rows: DataFrame, key: str, day_limit: int) -> tuple[DataFrame, bool, bool]:
-    """Distinct anchors by id with their first and last days; whether some id has several, and whether some are wide or open."""
+def _dated(anchors: DataFrame) -> DataFrame:
+    """Anchors with their bounds, where open ones end far away, and their first and last days."""
     lo, hi = F.coalesce(F.col("start"), F.lit(-(1 << 62))), F.coalesce(F.col("end"), F.lit(1 << 62))
-    each = rows.groupBy(key).agg(F.collect_set(F.struct("place", "kind", "start", "end")).alias("_a")).select(key, (F.size("_a") > 1).alias("_many"), F.explode("_a").alias("_a")).select(key, "_many", "_a.*")
-    a, b = F.floor(lo / DAY), F.floor((hi - 1) / DAY)
+    day = lambda ns: F.call_function("div", ns, F.lit(DAY)) - (ns % DAY < 0).cast("long")
+    a, b = day(lo), day(hi - 1)  # doubles would take the end of a day for the next one
+    return anchors.select("*", lo.alias("_lo"), hi.alias("_hi"), F.least(a, b).alias("_first"), F.greatest(a, b).alias("_last"))
+
+
+def _anchors(rows: DataFrame, key: str, day_limit: int) -> tuple[DataFrame, bool, bool, int]:
+    """Distinct anchors by id with their first and last days; whether some id has several, and whether some are wide or open;
+    the most days that an only anchor takes.
+
+    Only where an id is repeated are anchors grouped; rows without an id go with the ids of several."""
+    repeated = (rows.groupBy(key).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0) > 1
+    each = rows.select(key, F.col(key).isNull().alias("_many"), "place", "kind", "start", "end")
+    if repeated:
+        each = rows.groupBy(key).agg(F.collect_set(F.struct("place", "kind", "start", "end")).alias("_a")).select(key, ((F.size("_a") > 1) | F.col(key).isNull()).alias("_many"), F.explode("_a").alias("_a")).select(key, "_many", "_a.*")
     bounded = F.col("start").isNotNull() & F.col("end").isNotNull() & (F.col("end") - F.col("start") <= day_limit * DAY)
-    dated = each.select("*", lo.alias("_lo"), hi.alias("_hi"), F.least(a, b).alias("_first"), F.greatest(a, b).alias("_last"), (~F.coalesce(bounded, F.lit(False))).alias("_wide"))
-    many, wide = dated.agg(F.bool_or("_many"), F.bool_or("_wide")).first()
-    return dated, bool(many), bool(wide)
+    dated = _dated(each).withColumn("_wide", ~F.coalesce(bounded, F.lit(False)))
+    many, wide, days = dated.agg(F.bool_or("_many"), F.bool_or("_wide"), F.max(F.when(~F.col("_many"), F.col("_last") - F.col("_first") + 1))).first()
+    return dated, bool(many), bool(wide), days or 0
 
 
-def _cover(first: Column, last: Column) -> Column:
+def _cover(first: Column, last: Column, levels: int = DAY_BITS + 1) -> Column:
     """The dyadic ranges whose disjoint union is the days from first to last, as codes of level and place."""
     level = lambda k: (F.ceil((first + DAY_SHIFT) / (1 << k)), F.floor((last + DAY_SHIFT + 1) / (1 << k)))
     code = lambda k, x: (x + (k << 20)).cast("long")
     out = []
-    for k in range(DAY_BITS + 1):
+    for k in range(levels):
         left, right = level(k)
         out += [F.when((left < right) & (left % 2 == 1), code(k, left)), F.when((left < right) & (right % 2 == 1), code(k, right - 1))]
     return F.array_compact(F.array(*out))
 
 
-def _above(day: Column) -> Column:
+def _above(day: Column, levels: int = DAY_BITS + 1) -> Column:
     """The codes of the dyadic ranges that hold a day, one a level."""
-    return F.array(*[(F.floor((day + DAY_SHIFT) / (1 << k)) + (k << 20)).cast("long") for k in range(DAY_BITS + 1)])
+    return F.array(*[(F.floor((day + DAY_SHIFT) / (1 << k)) + (k << 20)).cast("long") for k in range(levels)])
 
 
 def match(queries: DataFrame, memories: DataFrame, most: int = 6, day_limit: int = 400) -> DataFrame:
     """Best score of a memory for a query by overlapping anchors; the first ``most`` overlaps in list order count.
 
     Inputs: (query_id | memory_id, place, kind, start, end); null bounds are open.  All joins are equalities, and a pair of
-    anchors leaves them once: spans of up to ``day_limit`` days meet on the first day they share; where a longer or open
-    one takes part, the first day of one lies in a dyadic range of the other.  Only ids with several anchors are grouped."""
-    q, q_many, q_wide = _anchors(queries, "query_id", day_limit)
-    m, m_many, m_wide = _anchors(memories, "memory_id", day_limit)
+    anchors leaves them once.  Ids with one anchor travel in blocks of those whose spans are equal, and their pairs are made
+    last: the first day of one span lies in a dyadic range of the other.  Only ids with several anchors are grouped: their
+    spans of up to ``day_limit`` days meet on the first day they share; longer or open ones as above."""
+    q, q_many, q_wide, q_days = _anchors(queries, "query_id", day_limit)
+    m, m_many, m_wide, m_days = _anchors(memories, "memory_id", day_limit)
     renamed = lambda df, key, x: df.select(key, *[F.col(c).alias(f"{x}{c}") for c in df.columns if c != key])
+    only = lambda df, some: df.where("not _many") if some else df
+    alike = lambda df, key, x: renamed(_dated(BL.packed(df.select(key, "kind", "start", "end"), key, ["kind", "start", "end"])), "ids", x)
+    q_alike, m_alike = alike(only(q, q_many), "query_id", "q"), alike(only(m, m_many), "memory_id", "m")
     q, m = renamed(q, "query_id", "q"), renamed(m, "memory_id", "m")
     overlap = (F.col("q_lo") < F.col("m_hi")) & (F.col("m_lo") < F.col("q_hi"))
     days = lambda df, x: df.withColumn("_day", F.explode(F.sequence(f"{x}_first", f"{x}_last")))
@@ -440,7 +457,11 @@ def match(queries: DataFrame, memories: DataFrame, most: int = 6, day_limit: int
     exact = F.try_element_at(F.create_map(*[F.lit(x) for kv in SCORES.items() for x in kv]), F.col("qkind"))
     score = F.when(same, F.coalesce(exact, F.lit(OVERLAP))).otherwise(OVERLAP).alias("score")
 
-    def met(q: DataFrame, m: DataFrame) -> DataFrame:
+    def met_alike(a: DataFrame, b: DataFrame) -> DataFrame:
+        blocks = BL.met(a, b, ["_code"], overlap).select(F.col("l.ids").alias("qs"), F.col("r.ids").alias("ms"), score)
+        return BL.each(blocks, "qs", "ms").select(F.col("x").alias("query_id"), F.col("y").alias("memory_id"), "score")
+
+    def found_in(q: DataFrame, m: DataFrame) -> DataFrame:
         near = days(q.where("not q_wide"), "q").join(days(m.where("not m_wide"), "m"), "_day").where(overlap & (F.col("_day") == F.greatest("q_first", "m_first")))
         parts = [near.drop("_day")]
         for some, a, b in ((q_wide, q.where("q_wide"), m), (m_wide, q.where("not q_wide"), m.where("m_wide"))):
@@ -452,10 +473,14 @@ def match(queries: DataFrame, memories: DataFrame, most: int = 6, day_limit: int
             all_of = all_of.unionByName(part)
         return all_of.select("query_id", "memory_id", F.col("qplace").alias("qp"), F.col("mplace").alias("mp"), score)
 
+    levels = max(1, m_days.bit_length())
+    found = met_alike(codes(q_alike, _above(F.col("q_first"), levels)), codes(m_alike, _cover(F.col("m_first"), F.col("m_last"), levels)))
+    if q_days > 1:
+        levels = q_days.bit_length()
+        found = found.unionByName(met_alike(codes(q_alike, _cover(F.col("q_first") + 1, F.col("q_last"), levels)), codes(m_alike, _above(F.col("m_first"), levels))))
     one = lambda df, x, some: df.where(f"not {x}_many") if some else df
-    found = met(one(q, "q", q_many), one(m, "m", m_many)).select("query_id", "memory_id", "score")
     k = F.row_number().over(Window.partitionBy("query_id", "memory_id").orderBy("qp", "mp"))
-    for some, pairs in ((q_many, lambda: met(q.where("q_many"), m)), (m_many, lambda: met(one(q, "q", q_many), m.where("m_many")))):
+    for some, pairs in ((q_many, lambda: found_in(q.where("q_many"), m)), (m_many, lambda: found_in(one(q, "q", q_many), m.where("m_many")))):
         if some:
             found = found.unionByName(pairs().withColumn("_k", k).where(F.col("_k") <= most).groupBy("query_id", "memory_id").agg(F.max("score").alias("score")))
     return found

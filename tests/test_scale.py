@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from mnemolake.functions import blocks as BL
 from mnemolake.functions import temporal as TP
 from mnemolake.functions import text as T
 from mnemolake.operators import agentic as AG
@@ -59,6 +60,25 @@ def test_match_is_a_loop_without_products(spark, wide):
     assert _no_product(found)
 
 
+@pytest.mark.parametrize("bounds", [(128, 65_536, 16_384), (3, 7, 10)])
+def test_match_joins_blocks_of_equal_spans(spark, monkeypatch, bounds):
+    """Single spans of equal bounds meet as blocks: no join makes the pairs, in large groups and in small ones, open or far away."""
+    for name, n in zip(("BLOCK", "GATHERED", "SPREAD"), bounds):
+        monkeypatch.setattr(BL, name, n)
+    at = lambda day, ns=0: day * TP.DAY + ns
+    kinds = [("day", at(9000), at(9001)), ("day", at(9000), at(9004)), ("week", at(8999, 5), at(9000, 1)), ("day", at(9001), at(9002)), ("day", at(9003, -1), at(9003, -1)), ("day", None, at(8990)), ("day", at(9300), None), ("day", at(-3, -7), at(9000, 1))]
+    qs = [(i, 0, *kinds[i % 3 + i % 2 * 5 % 8]) for i in range(40)] + [(900, 0, *kinds[6]), (901, 0, *kinds[4])]
+    ms = [(i, i % 2, *kinds[i % 8]) for i in range(400)]
+    low, high = (lambda x: -(1 << 62) if x is None else x), (lambda x: 1 << 62 if x is None else x)
+    want = {(q[0], m[0]): TP.SCORES.get(q[2], TP.OVERLAP) if q[2:] == m[2:] else TP.OVERLAP for q in qs for m in ms if low(q[3]) < high(m[4]) and low(m[3]) < high(q[4])}
+    found = TP.match(spark.createDataFrame(qs, SPAN.format("query_id")), spark.createDataFrame(ms, SPAN.format("memory_id")))
+    rows = found.collect()
+    assert len(rows) == len(want) > 5000 and {(r["query_id"], r["memory_id"]): r["score"] for r in rows} == want
+    assert _no_product(found)
+    if bounds[0] == 128:
+        assert _rows_into_joins(found) < 500
+
+
 def test_delivery_reads_only_the_tail(spark):
     log = spark.createDataFrame([(i, 10 + i) for i in range(1, 301)], "sequence long, bytes int")
     cursors = spark.createDataFrame([(c, c) for c in range(0, 311)], "subscriber long, cursor long")
