@@ -170,6 +170,33 @@ def test_reconciliation_exchanges_no_pairs(spark, monkeypatch):
     assert "keys=[a#" not in _plan(found)
 
 
+@pytest.mark.parametrize("bounds", [(128, 65_536, 16_384), (5, 11, 8)])
+def test_reconciliation_joins_blocks_of_equal_entities(spark, monkeypatch, bounds):
+    """Entities with equal claims and tokens meet as blocks: no join makes their pairs; those of a repeated id are merged."""
+    monkeypatch.setattr(BL, "BLOCK", bounds[0])
+    monkeypatch.setattr(BL, "GATHERED", bounds[1])
+    monkeypatch.setattr(E, "SPREAD", bounds[2])
+    rows = [(i, f"common{i % 3} thing{i % 2}", [f"Alias {i % 3}", None, "  "], "a" if i % 5 else "b") for i in range(300)]
+    rows += [(1000 + i, f"rare{i // 6} word{i}", None, "a") for i in range(30)] + [(7, "common1 thing1", ["Alias 2"], "a"), (7, "common1 thing1", ["Alias 2"], "a"), (1001, "other1 rare2", [], "a"), (None, "common1 thing1", [], "a")]
+    count = {w: sum(w in r[1].split() for r in rows) for r in rows for w in r[1].split()}
+    claims = [{c.strip().lower() for c in (r[1], *(r[2] or ())) if c and c.strip()} for r in rows]
+    want = {}
+    for (x, p), (y, q) in itertools.permutations(list(zip(rows, claims)), 2):
+        if x[0] is None or y[0] is None or x[3] != y[3] or x[0] >= y[0]:
+            continue
+        s, t = set(x[1].split()), set(y[1].split())
+        score, inside = 1000 * len(s & t) // len(s | t), len(s & t) == min(len(s), len(t))
+        lexical = score if any(count[w] <= 32 for w in s & t) and (inside or score >= 330) else -1
+        if p & q or lexical >= 0:
+            old = want.get((x[0], y[0]), (False, -1))
+            want[x[0], y[0]] = (old[0] or bool(p & q), max(old[1], E.EXACT if p & q else lexical))
+    e = spark.createDataFrame(rows, "id long, name string, aliases array<string>, kind string")
+    got = E.reconciliation_pairs(e, None).collect()
+    assert {(r["a"], r["b"]): (r["exact"], r["score"]) for r in got} == want and len(got) == len(want) > 10_000
+    if bounds[0] == 128:
+        assert _rows_into_joins(E.reconciliation_pairs(e.where("id <> 7"), None)) < 1000
+
+
 def test_guard_keys_split_a_surface_once(spark):
     df = spark.createDataFrame([("Brand/HttpServer Module",), ("plain name",), ("",), ("//",), (None,)], "s string")
     keys = df.select(T.guard_keys(F.col("s"), ["brand"]).alias("k"))
